@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions.text import MAX_ARTICLE_BYTES, clip_bytes, trim_ws
 
@@ -158,12 +159,12 @@ def main_text(html: str | None) -> str | None:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _main_text_batch(html: pd.Series) -> pd.Series:
     return html.map(main_text)
 
 
-@F.pandas_udf("struct<pre: string, body: string>")
+@F.pandas_udf(T.StructType().add("pre", T.StringType()).add("body", T.StringType()))
 def _shell_texts_batch(html: pd.Series) -> pd.DataFrame:
     pages = [None if h is None else _regions(h) for h in html]
     return pd.DataFrame(

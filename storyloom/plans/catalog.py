@@ -1,6 +1,7 @@
 """All registered queries."""
 
-import storyloom.plans.listing_queries  # noqa: F401
+import storyloom.plans.listing_queries
+import storyloom.plans.scalar_queries  # noqa: F401
 from storyloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

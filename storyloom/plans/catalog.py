@@ -1,7 +1,9 @@
 """All registered queries."""
 
 import storyloom.plans.listing_queries
-import storyloom.plans.scalar_queries  # noqa: F401
+import storyloom.plans.scalar_queries
+import storyloom.plans.story_queries
+import storyloom.plans.table_queries  # noqa: F401
 from storyloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -84,77 +84,93 @@ def save_events(save_logs: DataFrame) -> DataFrame:
 # -- counters -----------------------------------------------------------
 
 
-def _family(df: DataFrame, name: str, labels: dict[str, Column], amount: Column | None = None) -> DataFrame:
-    """(metric, label_1, value_1, label_2, value_2, total): one counter family with up to two labels."""
-    keys = list(labels)
-    value = F.count(F.lit(1)) if amount is None else F.coalesce(F.sum(amount), F.lit(0))
-    grouped = df.groupBy(*[c.alias(f"_{k}") for k, c in labels.items()]).agg(value.cast("double").alias("total"))
-    cols = []
-    for i in range(2):
-        cols.append(F.lit(keys[i] if i < len(keys) else "").alias(f"label_{i + 1}"))
-        cols.append((F.col(f"_{keys[i]}") if i < len(keys) else F.lit("")).cast("string").alias(f"value_{i + 1}"))
-    return grouped.select(F.lit(name).alias("metric"), *cols, "total")
+def _family(metric: str, labels: dict[str, Column], when: Column | bool = True, amount: str = "n") -> Column:
+    """One counter family over a table of tallies: which rows feed it, under which labels."""
+    pairs = [*labels.items(), ("", F.lit("")), ("", F.lit(""))][:2]
+    parts = [F.lit(metric).alias("metric")]
+    for i, (name, value) in enumerate(pairs, 1):
+        parts += [F.lit(name).alias(f"label_{i}"), value.cast("string").alias(f"value_{i}")]
+    row = F.struct(*parts, F.col(amount).cast("double").alias("amount"))
+    return F.when(F.lit(when) if isinstance(when, bool) else when, row)
+
+
+def _spread(tallies: DataFrame, families: Sequence[Column]) -> DataFrame:
+    rows = F.filter(F.array(*families), lambda f: f.isNotNull())
+    return tallies.select(F.explode(rows).alias("f")).select("f.*")
 
 
 def counter_metrics(
     fetch_logs: DataFrame, admission: DataFrame, summary_logs: DataFrame, webhook_logs: DataFrame
 ) -> DataFrame:
-    """Counter families as event tallies. ``admission``: items with their status."""
-    feed, status = F.col("feed_url"), F.col("status")
-    past_dates = admission.filter(status.isin("skipped_duplicate", "processed", "save_failed"))
-    attempts = summary_logs.filter(status != "failed")
-    finished = summary_logs.filter(status != "retry_failed")
-    failed_fetch = fetch_logs.filter(status == "error")
-    code = F.col("response_code")
-    outcome = F.when(delivery_ok(code), "success").otherwise("error")
-    families = [
-        _family(fetch_logs, "rss_fetch_total", {"feed_url": feed, "status": status}),
-        _family(
-            failed_fetch,
-            "rss_fetch_errors_total",
-            {"feed_url": feed, "error_type": http_error_type(F.col("message"))},
-        ),
-        _family(
-            fetch_logs.filter(status == "success"),
-            "new_articles_found_total",
-            {"feed_url": feed},
-            F.col("new_articles"),
-        ),
-        _family(admission, "articles_processed_by_feed_total", {"feed_url": feed, "status": status}),
-        _family(
-            admission.filter(status == "skipped_before_cutoff"),
-            "articles_filtered_pre_cutoff_total",
-            {"feed_url": feed},
-        ),
-        _family(past_dates, "articles_processed_post_cutoff_total", {"feed_url": feed}),
-        _family(
-            admission.filter(status.isin("processed", "save_failed")),
-            "articles_processed_total",
-            {"status": F.when(status == "processed", "success").otherwise("failed")},
-        ),
-        _family(
-            attempts,
-            "summary_api_requests_total",
-            {"model": F.col("model"), "status": F.when(status == "success", "success").otherwise("error")},
+    """(metric, label_1, value_1, label_2, value_2, total): every counter family as event tallies.
+
+    Each log is read once and reduced to its label values; the families are cut from those tallies.
+    ``admission``: items with their status.
+    """
+    feed, status, model = F.col("feed_url"), F.col("status"), F.col("model")
+    n = F.count(F.lit(1)).alias("n")
+    fetches = fetch_logs.groupBy(
+        "feed_url", "status", F.when(status == "error", http_error_type(F.col("message"))).alias("error_type")
+    ).agg(n, F.sum("new_articles").alias("fresh"))
+    outcome = F.when(status == "success", "success").otherwise("error")
+    saved = status.isin("processed", "save_failed")
+    delivered = webhook_logs.groupBy(
+        delivery_ok(F.col("response_code")).alias("ok"), delivery_error_class(F.col("response_code")).alias("error_type")
+    ).agg(n)
+    parts = [
+        _spread(
+            fetches,
+            [
+                _family("rss_fetch_total", {"feed_url": feed, "status": status}),
+                _family(
+                    "rss_fetch_errors_total", {"feed_url": feed, "error_type": F.col("error_type")}, status == "error"
+                ),
+                _family("new_articles_found_total", {"feed_url": feed}, status == "success", "fresh"),
+            ],
         ),
-        _family(
-            attempts.filter(status == "retry_failed"),
-            "summary_api_errors_total",
-            {"model": F.col("model"), "error_type": F.lit("api_call_failed")},
+        _spread(
+            admission.groupBy("feed_url", "status").agg(n),
+            [
+                _family("articles_processed_by_feed_total", {"feed_url": feed, "status": status}),
+                _family(
+                    "articles_filtered_pre_cutoff_total", {"feed_url": feed}, status == "skipped_before_cutoff"
+                ),
+                _family(
+                    "articles_processed_post_cutoff_total", {"feed_url": feed}, saved | (status == "skipped_duplicate")
+                ),
+                _family(
+                    "articles_processed_total",
+                    {"status": F.when(status == "processed", "success").otherwise("failed")},
+                    saved,
+                ),
+            ],
         ),
-        _family(
-            finished,
-            "summarization_requests_processed_total",
-            {"model": F.col("model"), "status": F.when(status == "success", "success").otherwise("error")},
+        _spread(
+            summary_logs.groupBy("model", "status").agg(n),
+            [
+                _family("summary_api_requests_total", {"model": model, "status": outcome}, status != "failed"),
+                _family(
+                    "summary_api_errors_total",
+                    {"model": model, "error_type": F.lit("api_call_failed")},
+                    status == "retry_failed",
+                ),
+                _family(
+                    "summarization_requests_processed_total",
+                    {"model": model, "status": outcome},
+                    status != "retry_failed",
+                ),
+            ],
         ),
-        _family(webhook_logs, "discord_webhook_requests_total", {"status": outcome}),
-        _family(
-            webhook_logs.filter(~delivery_ok(code)),
-            "discord_webhook_errors_total",
-            {"error_type": delivery_error_class(code)},
+        _spread(
+            delivered,
+            [
+                _family("discord_webhook_requests_total", {"status": F.when(F.col("ok"), "success").otherwise("error")}),
+                _family("discord_webhook_errors_total", {"error_type": F.col("error_type")}, ~F.col("ok")),
+            ],
         ),
     ]
-    return reduce(DataFrame.unionByName, families)
+    labels = ["metric", "label_1", "value_1", "label_2", "value_2"]
+    return reduce(DataFrame.unionByName, parts).groupBy(*labels).agg(F.sum("amount").alias("total"))
 
 
 def breaker_trip_counts(replay: DataFrame) -> DataFrame:
@@ -184,8 +200,9 @@ def latency_histogram(df: DataFrame, seconds: Column, labels: Sequence[str], bou
     return wide.select(*labels, F.explode(buckets).alias("b")).select(*labels, "b.le", "b.n")
 
 
-def histogram_totals(df: DataFrame, seconds: Column, labels: Sequence[str]) -> DataFrame:
-    return df.groupBy(*labels).agg(F.count(seconds).alias("observations"), F.avg(seconds).alias("mean_seconds"))
+def histogram_totals(df: DataFrame, millis: str, labels: Sequence[str]) -> DataFrame:
+    """Number and exact sum of the observations per label set."""
+    return df.groupBy(*labels).agg(F.count(millis).alias("observations"), F.sum(millis).alias("total_ms"))
 
 
 def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float) -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 import storyloom.plans.listing_queries
+import storyloom.plans.metric_queries
 import storyloom.plans.scalar_queries
 import storyloom.plans.story_queries
 import storyloom.plans.table_queries  # noqa: F401

@@ -4,6 +4,7 @@ import storyloom.plans.listing_queries
 import storyloom.plans.metric_queries
 import storyloom.plans.scalar_queries
 import storyloom.plans.story_queries
+import storyloom.plans.stream_queries
 import storyloom.plans.table_queries  # noqa: F401
 from storyloom.plans.registry import ORACLES, QUERIES
 

@@ -26,6 +26,13 @@ WEBHOOKS = (
 )
 
 
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    df = spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
+
+
 def base(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     if name == "events":
@@ -43,12 +50,14 @@ def _before_a(seconds: Column) -> Column:
 
 def articles(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:
     docs = base(spark, sf, "documents")
-    if vectors:
-        emb = base(spark, sf, "embeddings").select("vec_id", "embedding")
-        docs = docs.join(emb, F.col("vec_id") == F.col("doc_id"), "left")
-        embedding = F.col("embedding")
-    else:
-        embedding = F.lit(None).cast("array<float>")
+    if not vectors:
+        return articles_from(docs)
+    emb = base(spark, sf, "embeddings").select("vec_id", "embedding")
+    return articles_from(docs.join(emb, F.col("vec_id") == F.col("doc_id"), "left"), F.col("embedding"))
+
+
+def articles_from(docs: DataFrame, embedding: Column | None = None) -> DataFrame:
+    embedding = F.lit(None).cast("array<float>") if embedding is None else embedding
     r = (F.col("doc_id") * 37) % 101
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/a/"), F.col("doc_id").cast("string"))
     title = F.substring_index("text", "\n", 1)
@@ -86,7 +95,10 @@ def stored_articles(spark: SparkSession, sf: str, vectors: bool = False) -> Data
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """Every article as a feed item, and once more an hour later from a mirroring feed."""
-    arts = articles(spark, sf)
+    return items_from(articles(spark, sf))
+
+
+def items_from(arts: DataFrame) -> DataFrame:
     doc = F.col("id") - 1
     link = F.when(doc % 41 != 0, F.col("url"))
     text = [F.col("title"), F.col("publish_date").alias("published"), F.col("full_content").alias("description")]
@@ -108,7 +120,10 @@ def _tenths(c: str) -> Column:
 
 
 def fetch_logs(spark: SparkSession, sf: str) -> DataFrame:
-    ev = base(spark, sf, "events")
+    return fetch_logs_from(base(spark, sf, "events"))
+
+
+def fetch_logs_from(ev: DataFrame) -> DataFrame:
     bad = F.col("event_type") == "error"
     code = F.element_at(F.array(*[F.lit(c) for c in (403, 429, 500, 503, 520)]), (_mod("event_id", 5) + 1).cast("int"))
     found = _mod("event_id", 30)

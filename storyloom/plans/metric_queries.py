@@ -418,17 +418,45 @@ def _attempts(spark, sf):
     )
 
 
-@query("breaker_replay")
+BREAKER_SQL = """WITH RECURSIVE ev AS MATERIALIZED (SELECT feed_url AS name, epoch_us(created_at) // 10 AS us,
+      id AS seq, status = 'success' AS ok, row_number() OVER (PARTITION BY feed_url ORDER BY created_at, id) AS rn
+      FROM fetch_logs),
+    run(name, rn, us, seq, ok, allowed, before, state, f, s, fail_us, trip) AS (
+      SELECT name, 0::BIGINT, 0::BIGINT, 0::BIGINT, true, true, 'closed', 'closed', 0, 0, NULL::BIGINT, false
+        FROM ev WHERE rn = 1
+      UNION ALL
+      SELECT name, rn, us, seq, ok, allowed, before,
+        CASE WHEN NOT allowed THEN 'open' WHEN NOT ok THEN CASE WHEN mode = 'half_open' OR f0 + 1 >= 3 THEN 'open'
+          ELSE mode END WHEN mode = 'half_open' AND s0 + 1 >= 2 THEN 'closed' ELSE mode END,
+        CASE WHEN NOT allowed THEN f0 WHEN NOT ok THEN f0 + 1 WHEN mode = 'half_open' AND s0 + 1 < 2 THEN f0 ELSE 0 END,
+        CASE WHEN NOT allowed THEN s0 WHEN NOT ok THEN 0 WHEN mode = 'half_open' AND s0 + 1 < 2 THEN s0 + 1 ELSE 0 END,
+        CASE WHEN allowed AND NOT ok THEN us ELSE fail_us END,
+        allowed AND NOT ok AND (mode = 'half_open' OR f0 + 1 >= 3)
+      FROM (SELECT e.*, r.state AS before, r.fail_us, NOT (r.state = 'open' AND e.us - r.fail_us <= 120000000) AS allowed,
+          CASE WHEN r.state = 'open' THEN 'half_open' ELSE r.state END AS mode,
+          CASE WHEN r.state = 'closed' AND e.us - r.fail_us > 300000000 THEN 0 ELSE r.f END AS f0,
+          CASE WHEN r.state = 'open' THEN 0 ELSE r.s END AS s0
+        FROM run r JOIN ev e ON e.name = r.name AND e.rn = r.rn + 1))
+    SELECT name, make_timestamp(us) AS ts, seq, ok, allowed, before AS state_before, state AS state_after, trip
+    FROM run WHERE rn > 0"""
+
+
+@query("breaker_replay", BREAKER_SQL)
 def _(spark, sf):
     return breaker.breaker_replay(_attempts(spark, sf))
 
 
-@query("breaker_trips")
+@query("breaker_trips", f"SELECT name, count(*) FILTER (WHERE trip) AS trips FROM ({BREAKER_SQL}) GROUP BY 1")
 def _(spark, sf):
     return metrics.breaker_trip_counts(breaker.breaker_replay(_attempts(spark, sf)))
 
 
-@query("breaker_health")
+@query(
+    "breaker_health",
+    f"""SELECT count(*) AS breakers, count(*) FILTER (WHERE s = 'open') AS open_breakers,
+          CASE WHEN count(*) FILTER (WHERE s = 'open') > 0 THEN 'degraded' ELSE 'healthy' END AS status
+        FROM (SELECT name, arg_max(state_after, (ts, seq)) AS s FROM ({BREAKER_SQL}) GROUP BY 1)""",
+)
 def _(spark, sf):
     states = breaker.breaker_states(breaker.breaker_replay(_attempts(spark, sf)))
     return stats.breaker_health(states.filter("value = 1"))

@@ -41,10 +41,13 @@ def rows_of(columns, rows) -> Counter:
     return Counter(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name: str, query, sql: str | None, sf_dir: str) -> str:
+def compare(spark, con, name: str, query, sql: str | None, sf_dir: str, seconds: list | None = None) -> str:
     """Empty when equal, else what differs."""
+    start = time.monotonic()
     df = query(spark, sf_dir)
     mine = [tuple(r) for r in df.collect()]
+    if seconds is not None:
+        seconds.append(time.monotonic() - start)
     if sql is None:
         return "" if df.columns else "no columns"
     cur = con.execute(sql)
@@ -78,14 +81,14 @@ def main(sf_dir: str, names: list[str]) -> int:
     for name, query in queries().items():
         if names and name not in names:
             continue
-        start = time.monotonic()
+        start, spent = time.monotonic(), []
         try:
-            diff = compare(spark, con, name, query, sqls.get(name), sf_dir)
+            diff = compare(spark, con, name, query, sqls.get(name), sf_dir, spent)
         except Exception as exc:  # report and go on with the others
             diff = f"{type(exc).__name__}: {str(exc)[:1500]}"
         bad += bool(diff)
         mark = "DIFF" if diff else ("ok" if name in sqls else "rows")
-        print(f"{mark:5} {name:28} {time.monotonic() - start:6.2f}s {diff}", flush=True)
+        print(f"{mark:5} {name:28} spark {sum(spent):6.2f}s all {time.monotonic() - start:6.2f}s {diff}", flush=True)
     print(f"{bad} differ")
     return 1 if bad else 0
 

@@ -92,8 +92,8 @@ def on_ticks(
     """Fill absent ticks with zero: (labels, tick, increase) for every series and tick of the period."""
     seconds = int(step.total_seconds())
     ticks = F.sequence(F.unix_seconds(F.lit(start)), F.unix_seconds(F.lit(end)), F.lit(seconds).cast("long"))
-    grid = series.select(*labels).distinct().withColumn("at", F.explode(ticks))
-    grid = grid.select(*labels, F.timestamp_seconds("at").alias("tick"))
+    grid = series.select(*labels).distinct().withColumn("_at", F.explode(ticks))
+    grid = grid.select(*labels, F.timestamp_seconds("_at").alias("tick"))
     filled = grid.join(samples, [*labels, "tick"], "left")
     return filled.select(*labels, "tick", F.coalesce("increase", F.lit(0)).alias("increase"))
 

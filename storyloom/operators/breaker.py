@@ -120,7 +120,7 @@ def _settled_starts(sliced: DataFrame, config: BreakerConfig) -> DataFrame:
     """The state in which each slice of each name begins: one row per (name, slice)."""
     key = ["name", "_slice"]
     fresh = [F.lit(v).cast(t).alias(n) for v, (n, t) in zip(FRESH, _state_types(), strict=True)]
-    starts = durable(sliced.select(*key).distinct().select(*key, *fresh))
+    starts = _renewed(durable(sliced.select(*key).distinct().select(*key, *fresh)))
 
     def end_state(group, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         if not len(start):
@@ -147,18 +147,20 @@ def _settled_starts(sliced: DataFrame, config: BreakerConfig) -> DataFrame:
                 for c, f in zip(STATE_FIELDS, fresh, strict=True)
             ],
         )
-        carried = durable(carried)
+        carried = _renewed(durable(carried))
         old = starts.select(*key, F.struct(*STATE_FIELDS).alias("_old"))
-        todo = durable(
-            carried.join(old, key)
-            .filter(~F.struct(*STATE_FIELDS).eqNullSafe(F.col("_old")))
-            .drop("_old")
-        )
+        changed = ~F.struct(*STATE_FIELDS).eqNullSafe(F.col("_old"))
+        todo = _renewed(durable(carried.join(old, key).filter(changed).drop("_old")))
         starts = carried
         if todo.isEmpty():
             return starts
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, for joins with frames they came from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _state_types() -> list[tuple[str, str]]:
     return [tuple(part.split()) for part in STATE_SCHEMA.split(", ")]
 

@@ -190,14 +190,14 @@ def latency_histogram(df: DataFrame, seconds: Column, labels: Sequence[str], bou
 
     One aggregate reads each row once; buckets are unpivoted afterwards.
     """
-    counts = [F.count_if(seconds <= F.lit(b)).alias(f"b{i}") for i, b in enumerate(bounds)]
-    wide = df.groupBy(*labels).agg(*counts, F.count(seconds).alias("inf"))
+    counts = [F.count_if(seconds <= F.lit(b)).alias(f"_b{i}") for i, b in enumerate(bounds)]
+    wide = df.groupBy(*labels).agg(*counts, F.count(seconds).alias("_inf"))
     names = [*map(_bound_text, bounds), "+Inf"]
-    cells = [*(f"b{i}" for i in range(len(bounds))), "inf"]
+    cells = [*(f"_b{i}" for i in range(len(bounds))), "_inf"]
     buckets = F.array(
         *[F.struct(F.lit(le).alias("le"), F.col(c).alias("n")) for le, c in zip(names, cells, strict=True)]
     )
-    return wide.select(*labels, F.explode(buckets).alias("b")).select(*labels, "b.le", "b.n")
+    return wide.select(*labels, F.explode(buckets).alias("_b")).select(*labels, "_b.le", "_b.n")
 
 
 def histogram_totals(df: DataFrame, millis: str, labels: Sequence[str]) -> DataFrame:
@@ -208,22 +208,22 @@ def histogram_totals(df: DataFrame, millis: str, labels: Sequence[str]) -> DataF
 def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float) -> DataFrame:
     """Quantile by linear interpolation inside its bucket; the last finite bound caps it."""
     le = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").cast("double"))
-    w = Window.partitionBy(*labels).orderBy("bound")  # one row per bucket
+    w = Window.partitionBy(*labels).orderBy("_bound")  # one row per bucket
     rows = (
-        buckets.select(*labels, le.alias("bound"), "n")
-        .withColumn("prev_bound", F.coalesce(F.lag("bound").over(w), F.lit(0.0)))
-        .withColumn("prev_n", F.coalesce(F.lag("n").over(w), F.lit(0)))
-        .withColumn("total", F.max("n").over(Window.partitionBy(*labels)))
-        .withColumn("rank", F.col("total") * F.lit(q))
-        .filter((F.col("n") >= F.col("rank")) & (F.col("total") > 0))
+        buckets.select(*labels, le.alias("_bound"), F.col("n").alias("_n"))
+        .withColumn("_prev_bound", F.coalesce(F.lag("_bound").over(w), F.lit(0.0)))
+        .withColumn("_prev_n", F.coalesce(F.lag("_n").over(w), F.lit(0)))
+        .withColumn("_total", F.max("_n").over(Window.partitionBy(*labels)))
+        .withColumn("_rank", F.col("_total") * F.lit(q))
+        .filter((F.col("_n") >= F.col("_rank")) & (F.col("_total") > 0))
     )
-    inside = F.col("prev_bound") + (F.col("bound") - F.col("prev_bound")) * (
-        (F.col("rank") - F.col("prev_n")) / F.nullif(F.col("n") - F.col("prev_n"), F.lit(0))
+    inside = F.col("_prev_bound") + (F.col("_bound") - F.col("_prev_bound")) * (
+        (F.col("_rank") - F.col("_prev_n")) / F.nullif(F.col("_n") - F.col("_prev_n"), F.lit(0))
     )
-    value = F.when(F.col("bound") == float("inf"), F.col("prev_bound")).otherwise(
-        F.coalesce(inside, F.col("bound"))
+    value = F.when(F.col("_bound") == float("inf"), F.col("_prev_bound")).otherwise(
+        F.coalesce(inside, F.col("_bound"))
     )
-    return rows.groupBy(*labels).agg(F.min_by(value, "bound").alias("quantile"))
+    return rows.groupBy(*labels).agg(F.min_by(value, "_bound").alias("quantile"))
 
 
 def latency_p95(events: DataFrame, now: datetime, window: timedelta, bounds: Sequence[float]) -> DataFrame:
@@ -280,12 +280,12 @@ def sliding_increase(
     value = F.count(F.lit(1)) if amount is None else F.coalesce(F.sum(amount), F.lit(0))
     # A tick covers (tick - window, tick]: an event at a step boundary belongs to the step it ends.
     slot = F.ceil(F.unix_micros("ts") / F.lit(size * 1_000_000)).cast("long")
-    steps = events.groupBy(*labels, slot.alias("slot")).agg(value.cast("long").alias("v"))
-    spread = steps.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    steps = events.groupBy(*labels, slot.alias("_slot")).agg(value.cast("long").alias("_v"))
+    spread = steps.withColumn("_shift", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return (
-        spread.groupBy(*labels, ((F.col("slot") + F.col("k")) * size).alias("at"))
-        .agg(F.sum("v").alias("increase"))
-        .select(*labels, F.timestamp_seconds("at").alias("tick"), "increase")
+        spread.groupBy(*labels, ((F.col("_slot") + F.col("_shift")) * size).alias("_at"))
+        .agg(F.sum("_v").alias("increase"))
+        .select(*labels, F.timestamp_seconds("_at").alias("tick"), "increase")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def append(df: DataFrame, path: str, day_of: str | None = None) -> None:

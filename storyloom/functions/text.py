@@ -47,7 +47,7 @@ _ASCII_WS = r"[\t\n\f\r ]"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_extract(c, r"(?Us)^\s*(.*\S)?", 1)
 
 
 def is_blank(c: Column) -> Column:
@@ -70,7 +70,7 @@ def safe_truncate(c: Column, n: int) -> Column:
     """At most ``n`` bytes, never ending inside a character."""
     if n <= 0:
         return F.when(c.isNotNull(), F.lit(""))
-    raw = F.encode(c, "UTF-8")
+    raw = F.encode(F.substring(c, 1, n + 1), "UTF-8")  # n bytes never reach past n characters
 
     def inside_char(back: int) -> Column:
         return F.hex(F.substring(raw, n + 1 - back, 1)).between("80", "BF")
@@ -109,12 +109,14 @@ def content_hash(title: Column, url: Column, content: Column) -> Column:
 
 def clean_summary(c: Column) -> Column:
     """Remove reasoning blocks, then stray tags, then squeeze blanks."""
+    tagged = c
     for tag in REASONING_TAGS:
         close = rf"</{tag}{_ASCII_WS}*>"
-        c = F.regexp_replace(c, rf"(?isu)<{tag}{_ASCII_WS}*>.*?{close}", "")
-        c = F.regexp_replace(c, rf"(?iu)</?{tag}{_ASCII_WS}*>", "")
+        tagged = F.regexp_replace(tagged, rf"(?isu)<{tag}{_ASCII_WS}*>.*?{close}", "")
+        tagged = F.regexp_replace(tagged, rf"(?iu)</?{tag}{_ASCII_WS}*>", "")
+    c = F.when(F.contains(c, F.lit("<")), tagged).otherwise(c)
     c = trim_ws(F.regexp_replace(c, rf"{_ASCII_WS}+", " "))
-    return F.when(c == "", F.lit(SUMMARY_FILTERED_OUT)).otherwise(c)
+    return F.regexp_replace(c, r"\A\z", SUMMARY_FILTERED_OUT)
 
 
 def summary_prompt(

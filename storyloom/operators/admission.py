@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.html import extract_main_content
 from storyloom.functions.text import content_hash, sanitize_utf8
+from storyloom.operators.skew import lookup_join
 
 # Admission outcomes, in the order they are tested.
 NO_LINK = "skipped_no_link"
@@ -48,8 +49,11 @@ def first_per_url(items: DataFrame) -> DataFrame:
 
 
 def dedup_anti(items: DataFrame, stored_urls: DataFrame) -> DataFrame:
-    """First item per link among those whose link is not stored yet."""
-    return first_per_url(items.join(stored_urls.select(F.col("url").alias("link")), "link", "left_anti"))
+    """First item per link among those whose link is not stored yet.
+
+    Links are made unique first, so that the stored table meets one row per link.
+    """
+    return first_per_url(items).join(stored_urls.select(F.col("url").alias("link")), "link", "left_anti")
 
 
 def admission_status(items: DataFrame, stored_urls: DataFrame, cutoff: datetime, initiation: datetime) -> DataFrame:
@@ -64,20 +68,14 @@ def admission_status(items: DataFrame, stored_urls: DataFrame, cutoff: datetime,
     # Rows already rejected get a key of their own: they match nothing and cannot pile up on one link.
     own_key = F.concat_ws("\n", F.lit(""), "feed_url", "item_no")
     keyed = judged.withColumn("_key", F.when(F.col("_early").isNull(), F.col("link")).otherwise(own_key))
-    winners = first_per_url(
-        judged.filter(F.col("_early").isNull()).select("link", "published", "feed_url", "item_no")
-    ).select(F.col("link").alias("_key"), F.col("feed_url").alias("_win_feed"), F.col("item_no").alias("_win_no"))
-    stored = stored_urls.select(F.col("url").alias("_key"), F.lit(True).alias("_stored"))
-    is_winner = F.col("_win_feed").eqNullSafe(F.col("feed_url")) & (F.col("_win_no") == F.col("item_no"))
-    status = (
-        F.when(F.col("_early").isNotNull(), F.col("_early"))
-        .when(F.col("_stored").isNotNull() | ~is_winner, DUPLICATE)
-        .otherwise(PROCESSED)
+    passing = judged.filter(F.col("_early").isNull()).select("link", "published", "feed_url", "item_no")
+    winners = dedup_anti(passing, stored_urls).select(
+        F.col("link").alias("_key"), F.col("feed_url").alias("_win_feed"), F.col("item_no").alias("_win_no")
     )
-    return (
-        keyed.join(winners, "_key", "left")
-        .join(stored, "_key", "left")
-        .select(*[F.col(c) for c in items.columns], status.alias("status"))
+    is_winner = F.col("_win_feed").eqNullSafe(F.col("feed_url")) & (F.col("_win_no") == F.col("item_no"))
+    status = F.coalesce("_early", F.when(is_winner, PROCESSED).otherwise(DUPLICATE))
+    return lookup_join(keyed, winners, "_key", ["feed_url", "item_no"]).select(
+        *[F.col(c) for c in items.columns], status.alias("status")
     )
 
 
@@ -140,7 +138,8 @@ def fetch_log_rows(
     """
     runs = feed_run_summary(statuses)
     ok = F.col("status") == "success"
-    return fetches.join(runs, "feed_url", "left").select(
+    spread_by = [c for c in fetches.columns if c != "feed_url"]
+    return lookup_join(fetches, runs, "feed_url", spread_by).select(
         "feed_url",
         "status",
         "message",

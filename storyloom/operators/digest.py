@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.time import CLUSTER_WINDOW_DAYS, digest_count_since, digest_since
 from storyloom.operators.listing import LIST_COLUMNS, newest, view_rows
+from storyloom.operators.skew import lookup_join
 
 # Fixed value: other feeds that make a story important.
 IMPORTANT_FEEDS = 2
@@ -36,15 +37,13 @@ def digest_rows(
     listed = articles.filter(
         (F.col("publish_date") >= F.lit(since)) & (F.col("publish_date") <= F.lit(now))
     ).select(*LIST_COLUMNS, "story_cluster_id")
-    # Unclustered articles look up their own negative id. It matches no cluster and, unlike NULL,
-    # does not send them all to one task.
-    lookup = F.coalesce("story_cluster_id", -F.col("id"))
+    # Unclustered articles look up their own negative id, which matches no cluster.
+    listed = listed.withColumn("_story", F.coalesce("story_cluster_id", -F.col("id")))
     counts = counts.withColumnRenamed("story_cluster_id", "_story")
     return (
-        listed.withColumn("_lookup", lookup)
-        .join(counts, F.col("_lookup") == F.col("_story"), "left")
+        lookup_join(listed, counts, "_story", ["id"])
         .withColumn("cross_feed_count", F.coalesce(F.col("distinct_feeds") - 1, F.lit(0)).cast("long"))
-        .drop("_lookup", "_story", "distinct_feeds")
+        .drop("_story", "distinct_feeds")
     )
 
 

@@ -12,6 +12,7 @@ from storyloom.functions.text import is_blank, truncate_words
 from storyloom.functions.time import rfc3339
 from storyloom.functions.urls import UNKNOWN_FEED, delivery_error_class, feed_excluded, feed_title, mask_webhook_url
 from storyloom.operators.ordering import SLICE_ROWS, number_rows
+from storyloom.operators.skew import lookup_join
 
 # Message format and limits.
 TITLE_BYTES = 256
@@ -163,7 +164,7 @@ def numbered_attempts(
     numbered = number_rows(new_rows, ["article_id"], order, out="_no", slice_rows=slice_rows)
     last = webhook_logs.groupBy("article_id").agg(F.max("attempt").alias("_last"))
     return (
-        numbered.join(last, "article_id", "left")
+        lookup_join(numbered, last, "article_id", ["id"])
         .withColumn("attempt", (F.col("_no") + F.coalesce("_last", F.lit(0))).cast("int"))
         .drop("_no", "_last")
     )

@@ -43,8 +43,9 @@ def system_stats(articles: DataFrame, fetch_logs: DataFrame, now: datetime) -> D
         F.count_if((F.col("status") == "error") & recent).alias("failed_fetches_24h"),
         F.avg(F.when(ok, F.col("duration_ms"))).alias("avg_fetch_time_ms"),
     )
-    one = F.lit(1).alias("_one")  # both sides are a single row
-    return of_articles.select("*", one).join(of_fetches.select("*", one), "_one").drop("_one")
+    # Two single rows with different columns; the maximum picks the one value of each.
+    both = of_articles.unionByName(of_fetches, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def article_stats(articles: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators.ordering import SLICE_ROWS, number_rows
@@ -57,11 +57,9 @@ def with_new_ids(
 
 def new_by_url(articles: DataFrame, incoming: DataFrame, order: Sequence[Column]) -> DataFrame:
     """First incoming row per url, in ``order``, among urls not stored yet."""
-    from pyspark.sql import Window
-
-    fresh = incoming.join(articles.select("url"), "url", "left_anti")
     w = Window.partitionBy("url").orderBy(*order)
-    return fresh.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    first = incoming.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return first.join(articles.select("url"), "url", "left_anti")
 
 
 def insert_ignore(articles: DataFrame, incoming: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.time import (
@@ -10,6 +11,7 @@ from storyloom.functions.time import (
     digest_since_column,
 )
 from storyloom.operators import cluster, digest, listing, metrics, stats, tables
+from storyloom.operators.skew import lookup_join
 from storyloom.plans import derived as d
 from storyloom.plans.registry import query
 from storyloom.sources.pages import url_scan
@@ -66,15 +68,13 @@ def _(spark, sf):
 def _(spark, sf):
     ranked = digest.digest(d.articles(spark, sf), "yearly", d.ARTICLE_NOW).select("id", "cross_feed_count")
     # Coverage takes few values, so ranks come from a count per value, not from one sorted task.
-    sizes = ranked.groupBy("cross_feed_count").agg(F.count(F.lit(1)).alias("n"))
-    above = sizes.select(F.col("cross_feed_count").alias("c2"), "n")
+    above = Window.orderBy(F.col("cross_feed_count").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
-        sizes.select("cross_feed_count")
-        .join(above, F.col("c2") > F.col("cross_feed_count"), "left")
-        .groupBy("cross_feed_count")
-        .agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("coverage_rank"))
+        ranked.groupBy("cross_feed_count")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("cross_feed_count", (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).alias("coverage_rank"))
     )
-    return ranked.join(ranks, "cross_feed_count").select("id", "cross_feed_count", "coverage_rank")
+    return lookup_join(ranked, ranks, "cross_feed_count", ["id"]).select("id", "cross_feed_count", "coverage_rank")
 
 
 @query(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 import time
-import zlib
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -47,7 +47,7 @@ def word_hash_vector(text: str, dims: int = 64) -> np.ndarray:
     """Default embedder: signed word counts in hash slots."""
     vector = np.zeros(dims, dtype=np.float32)
     for word in text.lower().split():
-        h = zlib.crc32(word.encode("utf-8", "replace"))
+        h = int.from_bytes(md5(word.encode("utf-8", "replace")).digest()[:4], "big")
         vector[h % dims] += 1.0 if h >> 31 else -1.0
     return vector
 

@@ -289,7 +289,7 @@ def _(spark, sf):
 
 
 @query(
-    "notification_payloads",
+    "notification_sink",
     f"""SELECT id, url AS article_url, w AS webhook_url, payload, strlen(payload) <= 2000 AS size_ok
         FROM ({payload_sql(ELIGIBLE_SQL)}), unnest(['{d.WEBHOOKS[0]}', '{d.WEBHOOKS[1]}']) AS u(w)""",
 )

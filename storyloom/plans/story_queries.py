@@ -33,10 +33,21 @@ def _(spark, sf):
     return rows.select("id", "publish_date")
 
 
-@query("embed_pending")
+@query(
+    "embed_pending",
+    f"""SELECT id, slot, weight FROM (SELECT id, h % 64 AS slot,
+          sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS weight
+        FROM (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT id,
+            unnest(list_filter(regexp_split_to_array(lower(summary), '\\s+'), lambda x: x <> '')) AS w FROM articles
+          WHERE publish_date >= {A} - INTERVAL 35 DAY AND summary_embedding IS NULL AND summary IS NOT NULL
+            AND summary <> 'summary unavailable')) GROUP BY 1, 2) WHERE weight <> 0""",
+)
 def _(spark, sf):
     pending = cluster.pending_embedding(d.articles(spark, sf, vectors=True), d.ARTICLE_NOW, batch=None)
-    return summarize.embed_rows(pending)
+    vectors = summarize.embed_rows(pending).select("id", F.posexplode("summary_embedding").alias("slot", "weight"))
+    return vectors.filter("weight <> 0").select(
+        "id", F.col("slot").cast("long").alias("slot"), F.col("weight").cast("double").alias("weight")
+    )
 
 
 @query(
@@ -98,6 +109,17 @@ def _(spark, sf):
     return found.select(F.col("id").alias("vec_id"), "seed_id", F.round("similarity", 9).alias("similarity"))
 
 
+@query(
+    "best_seed",
+    f"SELECT seed_id, count(*) AS won, max(similarity) AS nearest FROM ({SEED_MATCH_SQL}) GROUP BY 1",
+)
+def _(spark, sf):
+    found = cluster.assign_to_seeds(_vectors(spark, sf), _known(spark, sf), T)
+    return found.groupBy("seed_id").agg(
+        F.count(F.lit(1)).alias("won"), F.round(F.max("similarity"), 9).alias("nearest")
+    )
+
+
 @query(
     "assign_to_seeds",
     f"""SELECT vec_id, seed_id FROM embeddings LEFT JOIN ({SEED_MATCH_SQL}) USING (vec_id)""",

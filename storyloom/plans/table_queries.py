@@ -362,7 +362,16 @@ def _summary_attempts(spark, sf):
     return summarize.summary_attempts(summarize.pending_summary(d.articles(spark, sf)))
 
 
-@query("summarize_pending")
+LEAD_SQL = r"""SELECT id, url, CASE WHEN s = '' THEN
+      'Summary content was filtered out - please check model configuration'
+      WHEN len(w) > 220 THEN array_to_string(w[1:200], ' ') || '...' ELSE s END AS summary
+    FROM (SELECT *, string_split(s, ' ') AS w FROM (SELECT id, url, regexp_replace(trim(array_to_string(
+        list_transform(regexp_extract_all(regexp_replace(full_content, '^\s+|\s+$', '', 'g'),
+          '(?s).*?[.!?]\s+|.+')[1:3], lambda x: regexp_replace(x, '\s+$', '')), ' ')), '\s+', ' ', 'g') AS s
+      FROM articles WHERE summary IS NULL AND regexp_replace(full_content, '\s+', '', 'g') <> ''))"""
+
+
+@query("summarize_pending", LEAD_SQL)
 def _(spark, sf):
     return summarize.final_summaries(_summary_attempts(spark, sf))
 

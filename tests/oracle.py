@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -28,9 +29,12 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = bool(os.environ.get("ORACLE_EXACT"))  # compare doubles to the last bit
+
+
 def _plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.10g}")
+        return "nan" if math.isnan(v) else v if EXACT else float(f"{v:.10g}")
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     return v

@@ -307,12 +307,15 @@ SQL = {
             || '</summary></entry></feed>' END AS x
         FROM (SELECT *, replace(replace(title, '&', '&amp;'), '<', '&lt;') AS t,
           replace(replace(full_content, '&', '&amp;'), '<', '&lt;') AS c FROM articles WHERE publish_date IS NOT NULL)""",
-    # Text of the article element of a page: markup dropped, entities decoded, blanks trimmed.
+    # Text of the article element of a page: markup dropped, entities decoded (the semicolon may be
+    # missing), blanks trimmed.
     "page_texts": r"""
-        SELECT page_id, url, regexp_replace(replace(replace(replace(replace(regexp_replace(
-            regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<[^>]*>', '', 'g'),
-            '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
-            '^[\s\x{0085}\x{00A0}]+|[\s\x{0085}\x{00A0}]+$', '', 'g') AS body FROM pages""",
+        SELECT page_id, url, regexp_replace(replace(t, chr(1), ''),
+            '^[\s\x{0085}\x{00A0}]+|[\s\x{0085}\x{00A0}]+$', '', 'g') AS body
+        FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<', chr(1) || '<'),
+            '(?s)<[^>]*>', '', 'g'),
+            '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS t FROM pages)""",
     "page_contents": """
         SELECT page_id, url, CASE WHEN strlen(body) <= 10000 THEN body ELSE decode(unhex(substr(hex(encode(body)), 1,
           2 * CASE WHEN substr(hex(encode(body)), 20001, 2) NOT BETWEEN '80' AND 'BF' THEN 10000

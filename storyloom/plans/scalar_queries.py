@@ -423,5 +423,7 @@ def _(spark, sf):
             F.struct(F.lit(200).alias("status"), shell.alias("response")).alias("solution"),
         )
     )
-    return _feed_documents(spark, sf).select("id", F.md5(unwrap_feed_xml(solver_response(envelope))).alias("digest"))
+    landed = _feed_documents(spark, sf).select("id", envelope.alias("envelope"))
+    shells = landed.select("id", solver_response(F.col("envelope")).alias("shell"))
+    return shells.select("id", unwrap_feed_xml(F.col("shell")).alias("xml")).select("id", F.md5("xml").alias("digest"))
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.time import rfc3339
@@ -63,16 +63,18 @@ EMBED_COLORS = {FIRING: 15158332, RESOLVED: 3066993}
 ATTACHMENT_COLORS = {FIRING: "danger", RESOLVED: "good"}
 
 
-def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    rows = [
-        (r.name, r.metric, r.operator, float(r.threshold), r.severity, r.description, int(r.hold.total_seconds()))
-        for r in rules
-    ]
-    schema = (
-        "rule string, metric string, operator string, threshold double, severity string, "
-        "description string, hold_seconds long"
-    )
-    return spark.createDataFrame(rows, schema)
+def _rule_literal(r: Rule) -> Column:
+    values = {
+        "rule": r.name,
+        "metric": r.metric,
+        "operator": r.operator,
+        "threshold": float(r.threshold),
+        "severity": r.severity,
+        "description": r.description,
+        "hold_seconds": int(r.hold.total_seconds()),
+    }
+    parts = [F.lit(v).cast("long") if k == "hold_seconds" else F.lit(v) for k, v in values.items()]
+    return F.struct(*[p.alias(k) for k, p in zip(values, parts, strict=True)])
 
 
 def condition(operator: Column, value: Column, threshold: Column) -> Column:
@@ -99,9 +101,11 @@ def on_ticks(
 
 
 def evaluate(samples: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Every sample against every rule of its metric. The rule list is configuration and stays small."""
-    table = rules_frame(samples.sparkSession, rules)
-    return samples.join(F.broadcast(table), "metric").withColumn(
+    """Every sample against every rule of its metric. The rules are configuration and travel as literals."""
+    mine = F.filter(F.array(*[_rule_literal(r) for r in rules]), lambda r: r["metric"] == F.col("metric"))
+    ruled = samples.withColumn("_rule", F.explode(mine))
+    fields = ["rule", "operator", "threshold", "severity", "description", "hold_seconds"]
+    return ruled.select(*samples.columns, *[f"_rule.{f}" for f in fields]).withColumn(
         "firing", condition(F.col("operator"), F.col("value"), F.col("threshold"))
     )
 

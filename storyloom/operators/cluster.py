@@ -23,7 +23,7 @@ from storyloom.session import durable
 SIMILARITY_THRESHOLD = 0.85
 EMBED_BATCH_SIZE = 200
 
-PREFIX_ROWS = 65_536
+PREFIX_ROWS = BLOCK_ROWS
 
 
 def pending_embedding(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from storyloom.operators.admission import PROCESSED, admission_status, as_articles
+from storyloom.operators.admission import PROCESSED, admission_status, as_articles, known_urls
 from storyloom.schemas import ARTICLES
 from storyloom.sources.tables import append, read_table
 
@@ -44,9 +44,11 @@ def ingest_stream(
     append(spark.createDataFrame([], schema), table_path)  # an empty file, so that the path exists
 
     def save(batch: DataFrame, _: int) -> None:
+        batch.persist()
         stored = read_table(batch.sparkSession, table_path, schema).select("url")
-        _, rows = admit_batch(batch, stored, cutoff, initiation, now)
+        _, rows = admit_batch(batch, known_urls(batch, stored), cutoff, initiation, now)
         append(rows, table_path)
+        batch.unpersist()
 
     writer = items.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": POLL_INTERVAL})).start()

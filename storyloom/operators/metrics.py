@@ -14,27 +14,28 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.urls import delivery_error_class
 
-# Histogram bounds in seconds, service-level targets, fetch error types.
+# Histogram bounds in seconds, service-level targets, fetch error types by message start.
 DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 SUMMARY_BOUNDS = (0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 15.0, 30.0, 60.0)
 WEBHOOK_BOUNDS = (0.01, 0.05, 0.1, 0.5, 1.0, 2.5, 5.0, 10.0)
 PROCESSING_BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
 SUCCESS_TARGETS = {"fetch": 0.97, "save": 0.98, "delivery": 0.99, "summary": 0.99}
-FETCH_ERROR_TYPES = (
-    "circuit_breaker_open", "request_creation_failed", "http_request_failed",
-    "http_error", "parse_failed", "flaresolverr_failed",
-)
+FETCH_ERROR_TYPES = {
+    "Circuit breaker is open": "circuit_breaker_open",
+    "Failed to create request": "request_creation_failed",
+    "Failed to fetch feed": "http_request_failed",
+    "HTTP ": "http_error",
+    "Failed to parse feed": "parse_failed",
+    "FlareSolverr: ": "flaresolverr_failed",
+}
 
 
-def http_error_type(message: Column) -> Column:
-    """Error type of a failed fetch by its log message."""
-    return (
-        F.when(F.startswith(message, F.lit("circuit breaker")), "circuit_breaker_open")
-        .when(F.startswith(message, F.lit("HTTP ")), "http_error")
-        .when(F.startswith(message, F.lit("FlareSolverr")), "flaresolverr_failed")
-        .when(F.contains(F.lower(message), F.lit("parse")), "parse_failed")
-        .otherwise("http_request_failed")
-    )
+def fetch_error_type(message: Column) -> Column:
+    """Error type of a failed fetch, by how its log message starts."""
+    kind = F.lit("unknown")
+    for start, name in FETCH_ERROR_TYPES.items():
+        kind = F.when(F.startswith(message, F.lit(start)), name).otherwise(kind)
+    return kind
 
 
 def delivery_ok(code: Column) -> Column:
@@ -110,7 +111,7 @@ def counter_metrics(
     feed, status, model = F.col("feed_url"), F.col("status"), F.col("model")
     n = F.count(F.lit(1)).alias("n")
     fetches = fetch_logs.groupBy(
-        "feed_url", "status", F.when(status == "error", http_error_type(F.col("message"))).alias("error_type")
+        "feed_url", "status", F.when(status == "error", fetch_error_type(F.col("message"))).alias("error_type")
     ).agg(n, F.sum("new_articles").alias("fresh"))
     outcome = F.when(status == "success", "success").otherwise("error")
     saved = status.isin("processed", "save_failed")
@@ -311,7 +312,7 @@ def feeds_erroring(fetch_logs: DataFrame, since: datetime, until: datetime) -> D
 def top_feeds_by_errors(fetch_logs: DataFrame, top: int) -> DataFrame:
     return (
         fetch_logs.filter(F.col("status") == "error")
-        .groupBy("feed_url", http_error_type(F.col("message")).alias("error_type"))
+        .groupBy("feed_url", fetch_error_type(F.col("message")).alias("error_type"))
         .agg(F.count(F.lit(1)).alias("errors"))
         .orderBy(F.col("errors").desc_nulls_last(), F.col("feed_url").asc_nulls_last(), "error_type")
         .limit(top)
@@ -364,7 +365,7 @@ def error_rate_by_type(
     return reduce(
         DataFrame.unionByName,
         [
-            part(fetch_logs.filter(F.col("status") == "error"), "fetch", http_error_type(F.col("message"))),
+            part(fetch_logs.filter(F.col("status") == "error"), "fetch", fetch_error_type(F.col("message"))),
             part(summary_logs.filter(F.col("status") == "retry_failed"), "summary", F.lit("api_call_failed")),
             part(webhook_logs.filter(~delivery_ok(code)), "delivery", delivery_error_class(code)),
             part(save_logs.filter(F.col("status") == "save_failed"), "save", F.lit("save_failed")),

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import is_blank, truncate_words
+from storyloom.functions.text import SUMMARY_UNAVAILABLE, is_blank, truncate_words
 from storyloom.functions.time import rfc3339
 from storyloom.functions.urls import UNKNOWN_FEED, delivery_error_class, feed_excluded, feed_title, mask_webhook_url
 from storyloom.operators.ordering import SLICE_ROWS, number_rows
@@ -23,14 +23,31 @@ JSON_ESCAPES = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e"}
 SENDER_NAME = "storyloom"
 
 
-def notify_eligible(articles: DataFrame, cutoff: datetime, excluded_feeds: Sequence[str] = ()) -> DataFrame:
-    """Summarized articles that were not posted yet, are recent enough and not from an excluded feed."""
+def _with_details(articles: DataFrame, now: datetime) -> DataFrame:
+    """Feed title and date as announced; without feed or date: an unknown feed, now."""
+    known = F.col("feed_url").isNotNull() & F.col("publish_date").isNotNull()
+    return articles.withColumns(
+        {
+            "feed_title": F.when(known, feed_title(F.col("feed_url"))).otherwise(UNKNOWN_FEED),
+            "feed_url": F.when(known, F.col("feed_url")).otherwise(""),
+            "publish_date": F.when(known, F.col("publish_date")).otherwise(F.lit(now)),
+        }
+    )
+
+
+def notify_eligible(
+    articles: DataFrame, now: datetime, cutoff: datetime, excluded_feeds: Sequence[str] = ()
+) -> DataFrame:
+    """Summarized articles that were not posted yet, are recent enough and not from an excluded feed.
+
+    Adds ``feed_title``; ``feed_url`` and ``publish_date`` become the announced ones.
+    """
     posted = F.coalesce(F.col("posted_to_discord"), F.lit(False))
-    return articles.filter(
+    return _with_details(articles, now).filter(
         F.col("summary").isNotNull()
-        & (F.col("summary") != "summary unavailable")
+        & (F.col("summary") != SUMMARY_UNAVAILABLE)
         & ~posted
-        & ~feed_excluded(F.coalesce("feed_url", F.lit("")), excluded_feeds)
+        & ~feed_excluded(F.col("feed_url"), excluded_feeds)
         & (F.col("publish_date") >= F.lit(cutoff))
         & ~is_blank(F.col("title"))
         & ~is_blank(F.col("url"))
@@ -89,15 +106,16 @@ def payload_size_ok(payload: Column) -> Column:
 def notification_payloads(
     articles: DataFrame,
     webhooks: Sequence[str],
+    now: datetime,
     cutoff: datetime,
     excluded_feeds: Sequence[str] = (),
     sender: str = SENDER_NAME,
 ) -> DataFrame:
     """One message per eligible article and webhook."""
     targets = [w for w in webhooks if w.strip()]
-    rows = notify_eligible(articles, cutoff, excluded_feeds)
-    feed = F.when(F.col("feed_url").isNull(), UNKNOWN_FEED).otherwise(feed_title(F.col("feed_url")))
-    payload = message_json(F.col("title"), F.col("url"), F.col("summary"), F.col("publish_date"), feed, sender)
+    rows = notify_eligible(articles, now, cutoff, excluded_feeds)
+    parts = [F.col(c) for c in ("title", "url", "summary", "publish_date", "feed_title")]
+    payload = message_json(*parts, sender)
     return (
         rows.select("id", F.col("url").alias("article_url"), payload.alias("payload"))
         .withColumn("size_ok", payload_size_ok(F.col("payload")))
@@ -130,6 +148,11 @@ def deliver(payloads: DataFrame, send: Callable[[str, str], int | None], attempt
     return payloads.mapInPandas(run, schema)
 
 
+def posted_updates(attempts: DataFrame) -> DataFrame:
+    """(id, posted_to_discord) of articles that reached at least one webhook, for a keyed update."""
+    return attempts.groupBy("id").agg(F.bool_or("ok").alias("posted_to_discord")).filter("posted_to_discord")
+
+
 def delivery_errors(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
     """Error-log rows of failed attempts, with the webhook token hidden.
 

@@ -20,6 +20,11 @@ STORED_BEFORE = ARTICLE_NOW - timedelta(days=22)
 VECTOR_THRESHOLD = 0.35
 
 _A = int(ARTICLE_NOW.timestamp())
+FETCH_ERRORS = (
+    "HTTP 403", "HTTP 429", "HTTP 500", "HTTP 503", "HTTP 520", "Circuit breaker is open",
+    "Failed to create request: bad url", "Failed to fetch feed: timeout", "Failed to parse feed: EOF",
+    "FlareSolverr: solved with HTTP 403", "something else",
+)
 WEBHOOKS = (
     "https://chat.example.com/api/webhooks/1001/token-a",
     "https://chat.example.com/api/webhooks/1002/token-b",
@@ -125,13 +130,13 @@ def fetch_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def fetch_logs_from(ev: DataFrame) -> DataFrame:
     bad = F.col("event_type") == "error"
-    code = F.element_at(F.array(*[F.lit(c) for c in (403, 429, 500, 503, 520)]), (_mod("event_id", 5) + 1).cast("int"))
+    message = F.element_at(F.array(*[F.lit(m) for m in FETCH_ERRORS]), (_mod("event_id", 11) + 1).cast("int"))
     found = _mod("event_id", 30)
     return ev.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("https://src"), _mod("user_id", 20).cast("string"), F.lit(".example.com/feed")).alias("feed_url"),
         F.when(bad, "error").otherwise("success").alias("status"),
-        F.when(bad, F.concat(F.lit("HTTP "), code.cast("string"))).otherwise("").alias("message"),
+        F.when(bad, message).otherwise("").alias("message"),
         _tenths("value").alias("duration_ms"),
         F.when(bad, 0).otherwise(found).cast("int").alias("articles_found"),
         F.when(bad, 0).otherwise(F.floor(found / 4)).cast("int").alias("new_articles"),
@@ -248,12 +253,18 @@ SQL = {
     "fetch_logs": """
         SELECT event_id AS id, 'https://src' || (user_id % 20) || '.example.com/feed' AS feed_url,
           CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
-          CASE WHEN event_type = 'error' THEN 'HTTP ' || ([403,429,500,503,520])[event_id % 5 + 1] ELSE '' END
-            AS message,
+          CASE WHEN event_type = 'error' THEN (['HTTP 403', 'HTTP 429', 'HTTP 500', 'HTTP 503', 'HTTP 520',
+            'Circuit breaker is open', 'Failed to create request: bad url', 'Failed to fetch feed: timeout',
+            'Failed to parse feed: EOF', 'FlareSolverr: solved with HTTP 403', 'something else'])[event_id % 11 + 1]
+            ELSE '' END AS message,
           CAST(floor(value*10) AS INTEGER) AS duration_ms,
           CAST(CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 30 END AS INTEGER) AS articles_found,
           CAST(CASE WHEN event_type = 'error' THEN 0 ELSE (event_id % 30) // 4 END AS INTEGER) AS new_articles,
           ts AS created_at FROM events""",
+    "failed_fetches": """
+        SELECT *, CASE WHEN message LIKE 'HTTP %' THEN 'http_error'
+          ELSE ['circuit_breaker_open', 'request_creation_failed', 'http_request_failed', 'parse_failed',
+            'flaresolverr_failed', 'unknown'][id % 11 - 4] END AS error_type FROM fetch_logs WHERE status = 'error'""",
     "webhook_logs": """
         SELECT event_id AS id, event_id // 8 + 1 AS article_id, CAST(event_id % 8 + 1 AS INTEGER) AS attempt,
           CAST(CASE event_type WHEN 'signup' THEN 500 WHEN 'view' THEN 404 WHEN 'click' THEN 204

@@ -335,8 +335,8 @@ def _(spark, sf):
 
 @query(
     "top_feeds_by_errors",
-    """SELECT feed_url, 'http_error' AS error_type, count(*) AS errors FROM fetch_logs WHERE status = 'error'
-       GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10""",
+    """SELECT feed_url, error_type, count(*) AS errors FROM failed_fetches
+       GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10""",
 )
 def _(spark, sf):
     return metrics.top_feeds_by_errors(d.fetch_logs(spark, sf), 10)

@@ -47,8 +47,7 @@ COUNTERS_SQL = " UNION ALL ".join(
     [
         _family_sql("rss_fetch_total", {"feed_url": "feed_url", "status": "status"}, "fetch_logs"),
         _family_sql(
-            "rss_fetch_errors_total", {"feed_url": "feed_url", "error_type": "'http_error'"}, "fetch_logs",
-            "status = 'error'",
+            "rss_fetch_errors_total", {"feed_url": "feed_url", "error_type": "error_type"}, "failed_fetches",
         ),
         _family_sql(
             "new_articles_found_total", {"feed_url": "feed_url"}, "fetch_logs", "status = 'success'",
@@ -246,7 +245,7 @@ def _(spark, sf):
 @query(
     "error_rate_by_type",
     f"""SELECT date_trunc('hour', created_at) AS bucket, source, error_type, count(*) AS errors FROM (
-          SELECT created_at, 'fetch' AS source, 'http_error' AS error_type FROM fetch_logs WHERE status = 'error'
+          SELECT created_at, 'fetch' AS source, error_type FROM failed_fetches
           UNION ALL SELECT created_at, 'summary', 'api_call_failed' FROM summary_logs WHERE status = 'retry_failed'
           UNION ALL SELECT created_at, 'delivery', {_CLASS} FROM webhook_logs WHERE NOT {OK_CODE}
           UNION ALL SELECT created_at, 'save', 'save_failed' FROM save_logs WHERE status = 'save_failed') GROUP BY ALL""",

@@ -253,7 +253,12 @@ def _(spark, sf):
 
 # -- message payloads ---------------------------------------------------
 
-ELIGIBLE_SQL = """SELECT * FROM articles WHERE summary IS NOT NULL AND summary <> 'summary unavailable'
+# An article without feed or date is announced as coming from an unknown feed, now.
+DETAILED_SQL = """SELECT id, url, title, summary, posted_to_discord,
+    CASE WHEN publish_date IS NOT NULL THEN feed_url END AS feed_url,
+    CASE WHEN feed_url IS NOT NULL AND publish_date IS NOT NULL THEN publish_date
+      ELSE TIMESTAMP '2025-07-15 14:30:00' END AS publish_date FROM articles"""
+ELIGIBLE_SQL = f"""SELECT * FROM ({DETAILED_SQL}) WHERE summary IS NOT NULL AND summary <> 'summary unavailable'
     AND NOT posted_to_discord AND NOT coalesce(contains(lower(feed_url), 'src4'), false)
     AND publish_date >= TIMESTAMP '2025-07-15 14:30:00' - INTERVAL 100 DAY
     AND trim(title) <> '' AND trim(url) <> ''"""
@@ -285,7 +290,7 @@ def _(spark, sf):
 
 @query("notify_eligible", f"SELECT id, url FROM ({ELIGIBLE_SQL})")
 def _(spark, sf):
-    return notify.notify_eligible(d.articles(spark, sf), d.CUTOFF, [" SRC4 ", ""]).select("id", "url")
+    return notify.notify_eligible(d.articles(spark, sf), d.ARTICLE_NOW, d.CUTOFF, [" SRC4 ", ""]).select("id", "url")
 
 
 @query(
@@ -294,7 +299,8 @@ def _(spark, sf):
         FROM ({payload_sql(ELIGIBLE_SQL)}), unnest(['{d.WEBHOOKS[0]}', '{d.WEBHOOKS[1]}']) AS u(w)""",
 )
 def _(spark, sf):
-    return notify.notification_payloads(d.articles(spark, sf), [*d.WEBHOOKS, " "], d.CUTOFF, [" SRC4 ", ""])
+    hooks = [*d.WEBHOOKS, " "]
+    return notify.notification_payloads(d.articles(spark, sf), hooks, d.ARTICLE_NOW, d.CUTOFF, [" SRC4 ", ""])
 
 
 @query(

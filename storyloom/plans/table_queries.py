@@ -81,7 +81,7 @@ def _(spark, sf):
           count(*) FILTER (WHERE status = 'processed') AS m FROM admission GROUP BY 1) r USING (feed_url)""",
 )
 def _(spark, sf):
-    fetches = d.fetch_logs(spark, sf).select("feed_url", "status", "message", "duration_ms")
+    fetches = d.fetch_logs(spark, sf).select("id", "feed_url", "status", "message", "duration_ms")
     return admission.fetch_log_rows(_statuses(spark, sf), fetches, d.ARTICLE_NOW)
 
 

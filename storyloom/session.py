@@ -41,9 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialize in the checkpoint folder: cuts lineage and survives lost executors."""
+    """Materialize in the checkpoint folder: cuts lineage and survives lost executors.
+
+    A checkpoint computes its input twice (once to run, once to write) unless it is cached meanwhile.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

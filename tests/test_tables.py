@@ -117,6 +117,31 @@ def test_deliver_stops_at_success_and_never_sends_oversized(spark):
     }
 
 
+def test_eligibility_and_details(spark):
+    old = NOW - timedelta(days=30)
+    rows = [
+        article(1, summary="s", feed="https://a.example/feed"),
+        article(2, summary="s", posted_to_discord=True),
+        article(3, summary="summary unavailable"),
+        article(4, old, summary="s"),
+        article(5, None, summary="s"),  # undated: announced as new, from an unknown feed
+        article(6, summary="s", feed="https://noisy.example/feed"),
+        article(7, summary="s", feed=None),
+        article(8, summary="s", title="  "),
+        article(9),
+    ]
+    got = notify.notify_eligible(table(spark, rows), NOW, NOW - timedelta(days=7), ["NOISY.example"])
+    assert {r.id: r.feed_title for r in got.collect()} == {1: "a.example", 5: "Unknown Feed", 7: "Unknown Feed"}
+    sent = notify.notification_payloads(table(spark, rows), ["https://h/1", " ", "https://h/2"], NOW, NOW, ["noisy"])
+    assert sorted((r.id, r.webhook_url) for r in sent.collect()) == [
+        (i, h) for i in (1, 5, 7) for h in ("https://h/1", "https://h/2")
+    ]
+    log = notify.deliver(sent, lambda url, body: 200 if url.endswith("1") else None, attempts=1)
+    updates = notify.posted_updates(log)
+    after = tables.keyed_update(table(spark, rows), updates, "id", ["posted_to_discord"], LATER)
+    assert sorted(r.id for r in after.filter("posted_to_discord").collect()) == [1, 2, 5, 7]
+
+
 def test_message_leaves_out_absent_parts_and_escapes(spark):
     df = spark.createDataFrame([("T <b> & c", "u", "", NOW, " ")], "t string, u string, s string, p timestamp, f string")
     (body,) = df.select(notify.message_json(F.col("t"), F.col("u"), F.col("s"), F.col("p"), F.col("f"))).first()

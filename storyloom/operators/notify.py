@@ -128,7 +128,8 @@ def deliver(payloads: DataFrame, send: Callable[[str, str], int | None], attempt
     """Call ``send(webhook_url, payload)`` per message until it returns a 2xx code; log every attempt.
 
     ``send`` returns the response code, or None when the transport failed. Oversized messages
-    are never sent.
+    are never sent. Delivery is at least once: a retried task sends again, and so does evaluating
+    the result twice, so store it before use.
     """
     import pandas as pd
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import (
     MAX_SUMMARY_WORDS,
     SUMMARY_UNAVAILABLE,
+    WORD_SLACK,
     clean_summary,
     is_blank,
     limit_words,
@@ -91,12 +92,16 @@ def summary_attempts(
     model: str = "lead-sentences",
     max_words: int = MAX_SUMMARY_WORDS,
     max_retries: int = MAX_RETRIES,
-    slack: int = 20,
+    slack: int = WORD_SLACK,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One log row per attempt, plus a final ``failed`` row when every attempt failed.
 
-    ``articles``: id, url, full_content. Answers are cleaned and cut to ``max_words``.
+    ``articles``: id, url, full_content. Answers are cleaned and cut to ``max_words``. ``tasks``
+    sets how many model calls run side by side. The model is called again each time the result is
+    evaluated, so store it before using it twice.
     """
+    articles = articles if tasks is None else articles.repartition(tasks)
     asked = articles.select(
         "id",
         "url",

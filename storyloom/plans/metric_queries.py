@@ -450,6 +450,16 @@ def _(spark, sf):
     return metrics.breaker_trip_counts(breaker.breaker_replay(_attempts(spark, sf)))
 
 
+@query(
+    "breaker_states",
+    f"""SELECT name, state, CASE WHEN state = s THEN 1.0 ELSE 0.0 END::DOUBLE AS value
+        FROM (SELECT name, arg_max(state_after, (ts, seq)) AS s FROM ({BREAKER_SQL}) GROUP BY 1),
+          unnest(['closed', 'half_open', 'open']) AS u(state)""",
+)
+def _(spark, sf):
+    return breaker.breaker_states(breaker.breaker_replay(_attempts(spark, sf)))
+
+
 @query(
     "breaker_health",
     f"""SELECT count(*) AS breakers, count(*) FILTER (WHERE s = 'open') AS open_breakers,

@@ -177,14 +177,7 @@ def _(spark, sf):
     return d.webhook_logs(spark, sf).select("id", ux.delivery_error_class(F.col("response_code")).alias("error_class"))
 
 
-PROMPT_SQL = """'Please provide a concise summary of the following article in exactly 200 words or less. The summary should be:
-- Written in clear, simple language that non-technical users can understand
-- Focused on the main points and key takeaways
-- Objective and factual
-- Complete sentences with proper grammar
-
-Article text:
-'"""
+PROMPT_SQL = "'" + tx.SUMMARY_PROMPT.replace("%d", "200").split("%s")[0] + "'"
 
 
 @query(
@@ -303,6 +296,24 @@ def _(spark, sf):
     return notify.notification_payloads(d.articles(spark, sf), hooks, d.ARTICLE_NOW, d.CUTOFF, [" SRC4 ", ""])
 
 
+def _answer(webhook_url: str, payload: str) -> int:
+    return 204 if webhook_url.endswith("token-a") else 500
+
+
+@query(
+    "notification_delivery",
+    f"""SELECT id, url AS article_url, hook AS webhook_url, n AS attempt,
+          CASE WHEN strlen(payload) > 2000 THEN NULL WHEN hook LIKE '%token-a' THEN 204 ELSE 500 END::BIGINT
+            AS response_code, strlen(payload) <= 2000 AND hook LIKE '%token-a' AS ok
+        FROM ({payload_sql(ELIGIBLE_SQL)}), unnest(['{d.WEBHOOKS[0]}', '{d.WEBHOOKS[1]}']) AS u(hook),
+          unnest([1, 2, 3]::BIGINT[]) AS t(n)
+        WHERE n = 1 OR hook LIKE '%token-b' OR strlen(payload) > 2000""",
+)
+def _(spark, sf):
+    payloads = notify.notification_payloads(d.articles(spark, sf), d.WEBHOOKS, d.ARTICLE_NOW, d.CUTOFF, ["src4"])
+    return notify.deliver(payloads, _answer)
+
+
 @query(
     "article_details",
     """SELECT w.id, 'https://src' || ((w.article_id - 1) % 20) || '.example.com/a/' || (w.article_id - 1) AS url,

@@ -19,6 +19,8 @@ def build_session(app: str = "storyloom", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Pages and articles are large rows: bound what one Python batch holds.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
         **conf,
     }
     for key, value in settings.items():

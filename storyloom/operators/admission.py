@@ -58,15 +58,15 @@ def dedup_anti(items: DataFrame, stored_urls: DataFrame) -> DataFrame:
     return first_per_url(items).join(stored_urls.select(F.col("url").alias("link")), "link", "left_anti")
 
 
-def known_urls(items: DataFrame, stored_urls: DataFrame) -> DataFrame:
-    """The stored urls that ``items`` link to: the only ones a small batch has to be compared with.
+def linked_rows(items: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of ``table`` (keyed by ``url``) that ``items`` link to: all that a small batch can meet.
 
-    The links of a small batch travel to the stored table, which is then scanned but not shuffled.
+    The links of a small batch travel to the table, which is then scanned but not shuffled.
     """
     links = items.filter(_has_link(F.col("link"))).select(F.col("link").alias("url")).distinct()
     if links.count() <= SHIPPED_LINKS:
         links = F.broadcast(links)
-    return stored_urls.select("url").join(links, "url", "left_semi")
+    return table.join(links, "url", "left_semi")
 
 
 def admission_status(items: DataFrame, stored_urls: DataFrame, cutoff: datetime, initiation: datetime) -> DataFrame:

@@ -95,3 +95,12 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole landed documents of any kind (XML, browser shell): (feed_url = file path, xml)."""
     files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("feed_url"), unwrap_feed_xml(F.col("value")).alias("xml"))
+
+
+def stream_feed_files(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
+    """Items of feed documents as they land in ``path``."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
+    documents = files.select(
+        F.col("_metadata.file_path").alias("feed_url"), unwrap_feed_xml(F.col("value")).alias("xml")
+    )
+    return parse_feeds(documents)

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from storyloom.operators.admission import PROCESSED, admission_status, as_articles, known_urls
+from storyloom.operators.admission import (
+    PROCESSED,
+    admission_status,
+    as_articles,
+    feed_run_summary,
+    linked_rows,
+    with_page_text,
+)
 from storyloom.schemas import ARTICLES
 from storyloom.sources.tables import append, read_table
 
@@ -16,12 +23,23 @@ from storyloom.sources.tables import append, read_table
 POLL_INTERVAL = "5 minutes"
 
 
-def admit_batch(items: DataFrame, stored_urls: DataFrame, cutoff: datetime, initiation: datetime, now: datetime):
-    """(item statuses, article rows to append without id) of one micro-batch."""
+def admit_batch(
+    items: DataFrame,
+    stored_urls: DataFrame,
+    cutoff: datetime,
+    initiation: datetime,
+    now: datetime,
+    pages: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(item statuses, article rows to append without id) of one micro-batch.
+
+    ``pages``: url, html of fetched pages; without a page the item's description is the content.
+    """
     statuses = admission_status(items, stored_urls, cutoff, initiation)
     accepted = statuses.filter(F.col("status") == PROCESSED)
-    content = accepted if "content" in accepted.columns else accepted.withColumn("content", F.col("description"))
-    return statuses, as_articles(content, now)
+    if pages is None:
+        return statuses, as_articles(accepted.withColumn("content", F.col("description")), now)
+    return statuses, as_articles(with_page_text(accepted, linked_rows(items, pages)), now)
 
 
 def ingest_stream(
@@ -32,28 +50,46 @@ def ingest_stream(
     initiation: datetime,
     now: datetime,
     trigger: dict | None = None,
+    pages: DataFrame | None = None,
+    log_path: str | None = None,
 ) -> StreamingQuery:
     """Append admitted items to ``table_path``. The table itself is the memory of seen urls.
 
-    A replayed batch finds its urls stored and appends nothing twice; a batch that failed to save
+    With ``log_path``, every batch adds a fetch-log row per feed it held items of. A replayed batch finds its urls stored and appends nothing twice; a batch that failed to save
     left no rows, so its items are tried again. Article ids are given when the table is compacted.
     """
     spark = items.sparkSession
-    columns = [f for f in ARTICLES if f.name != "id"]
-    schema = type(ARTICLES)(columns)
+    schema = type(ARTICLES)([f for f in ARTICLES if f.name != "id"])
     append(spark.createDataFrame([], schema), table_path)  # an empty file, so that the path exists
 
     def save(batch: DataFrame, _: int) -> None:
         batch.persist()
-        stored = read_table(batch.sparkSession, table_path, schema).select("url")
-        _, rows = admit_batch(batch, known_urls(batch, stored), cutoff, initiation, now)
+        stored = linked_rows(batch, read_table(batch.sparkSession, table_path, schema).select("url"))
+        # The stored files were listed above, so statuses stay the same after the append.
+        statuses, rows = admit_batch(batch, stored, cutoff, initiation, now, pages)
         append(rows, table_path)
+        if log_path is not None:
+            append(batch_log(statuses, now), log_path)
         batch.unpersist()
 
     writer = items.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": POLL_INTERVAL})).start()
 
 
+def batch_log(statuses: DataFrame, now: datetime) -> DataFrame:
+    """Fetch-log rows of one batch: how many items each feed had and how many were new."""
+    fetched = feed_run_summary(statuses).filter(F.col("feed_url").isNotNull())
+    return fetched.select(
+        "feed_url",
+        F.lit("success").alias("status"),
+        F.lit("").alias("message"),
+        F.lit(None).cast("int").alias("duration_ms"),
+        F.col("articles_found").cast("int").alias("articles_found"),
+        F.col("new_articles").cast("int").alias("new_articles"),
+        F.lit(now).cast("timestamp").alias("created_at"),
+    )
+
+
 def bounded_dedup(items: DataFrame, delay: str = "35 days") -> DataFrame:
     """Stream variant with bounded memory: one item per link within the watermark."""
     dated = items.filter(F.col("published").isNotNull() & (F.coalesce("link", F.lit("")) != ""))

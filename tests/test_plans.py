@@ -54,7 +54,7 @@ def test_first_per_url_is_limited_before_the_shuffle(spark):
 
 def test_small_batches_do_not_shuffle_the_stored_table(spark, stored):
     items = spark.createDataFrame([("f", 0, "u1", "t", NOW, "d")], ITEMS)
-    known = admission.known_urls(items, read_table(spark, stored, ARTICLES))
+    known = admission.linked_rows(items, read_table(spark, stored, ARTICLES).select("url"))
     assert [r.url for r in known.collect()] == ["u1"]
     assert "BroadcastHashJoin" in plan(known) and "SortMergeJoin" not in plan(known)
 

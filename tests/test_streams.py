@@ -2,6 +2,7 @@ from datetime import datetime, timedelta, timezone
 
 from storyloom.operators.breaker import breaker_replay
 from storyloom.schemas import ITEMS
+from storyloom.sources.feeds import stream_feed_files
 from storyloom.streaming.alerts import breaker_stream
 from storyloom.streaming.clusters import ASSIGNMENTS, cluster_stream
 from storyloom.streaming.ingest import ingest_stream
@@ -30,6 +31,31 @@ def test_ingest_skips_what_is_stored_and_survives_a_replay(spark, tmp_path):
     assert run("lost-checkpoint") == ["a", "b"]
 
 
+def test_landed_feed_documents_become_articles_with_page_text(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "articles")
+    landing.mkdir()
+    log = str(tmp_path / "log")
+    item = "<item><title>{0}</title><link>https://e.example/{0}</link><pubDate>{1}</pubDate><description>d{0}</description></item>"
+    new, old = "Sun, 01 Jun 2025 10:00:00 GMT", "Wed, 01 Jan 2020 10:00:00 GMT"
+
+    def rss(*items):
+        return '<rss version="2.0"><channel>' + "".join(item.format(n, at) for n, at in items) + "</channel></rss>"
+
+    pages = spark.createDataFrame([("https://e.example/b", "<article>page b</article>")], "url string, html string")
+
+    def run():
+        items = stream_feed_files(spark, str(landing), 1)
+        ingest_stream(items, out, str(tmp_path / "state"), T0, EARLY, T0, DRAIN, pages, log).awaitTermination()
+        return {r.url[-1]: r.full_content for r in spark.read.parquet(out).collect()}
+
+    (landing / "one.xml").write_text(rss(("a", new), ("b", new), ("z", old)))
+    assert run() == {"a": "da", "b": "page b"}
+    (landing / "two.xml").write_text(rss(("a", new), ("c", new)))
+    assert run() == {"a": "da", "b": "page b", "c": "dc"}
+    logged = {r.feed_url[-7:]: (r.articles_found, r.new_articles) for r in spark.read.parquet(log).collect()}
+    assert logged == {"one.xml": (3, 2), "two.xml": (2, 1)}
+
+
 def test_clusters_grow_over_batches(spark, tmp_path):
     schema = "id long, publish_date timestamp, summary_embedding array<float>"
     landing, out = str(tmp_path / "landing"), str(tmp_path / "assigned")

@@ -23,6 +23,9 @@ MAX_PIVOTS = 1_024
 TILE_ROWS = 1_024
 # Similarities are compared at this many decimals, so summation order cannot change a tie.
 DECIMALS = 12
+ROUNDING = 1e-9
+# Near pairs listed at a time inside one tile.
+PAIRS = 1_000_000
 ANGLE_SLACK = 1e-6
 
 FIRST = -(2**63)
@@ -55,21 +58,33 @@ def _usable(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[keep]
 
 
-def _best_in_block(items: pd.DataFrame, others: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _prepared(others: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, positions and unit vectors in id order, so that the first of equals has the smallest id."""
+    others = others.sort_values("id")
+    return others["id"].to_numpy(), others["pos"].to_numpy(), _unit(others["vector"])
+
+
+def _best_in_block(items: pd.DataFrame, others: tuple, threshold: float) -> pd.DataFrame:
     """Best earlier match of each item within one bounded block; both sides have one length."""
-    others = others.sort_values("id")  # argmax then takes the smallest id among equals
-    o_ids, o_pos = others["id"].to_numpy(), others["pos"].to_numpy()
-    o_unit = _unit(others["vector"])
+    o_ids, o_pos, o_unit = others
     out = []
     for lo in range(0, len(items), TILE_ROWS):
         tile = items.iloc[lo : lo + TILE_ROWS]
-        ids, pos = tile["id"].to_numpy()[:, None], tile["pos"].to_numpy()[:, None]
-        sim = np.round(_unit(tile["vector"]) @ o_unit.T, DECIMALS)
-        sim[(sim < threshold) | (o_pos > pos) | ((o_pos == pos) & (o_ids >= ids))] = -np.inf
-        best = sim.argmax(axis=1)
-        top = sim[np.arange(len(tile)), best]
-        hit = top > -np.inf
-        out.append(pd.DataFrame({"id": ids[hit, 0], "match_id": o_ids[best[hit]], "similarity": top[hit]}))
+        ids, pos = tile["id"].to_numpy(), tile["pos"].to_numpy()
+        sim = _unit(tile["vector"]) @ o_unit.T
+        near = sim >= threshold - ROUNDING
+        # Rows in a dense story are cut into groups, so that the list of near pairs stays bounded.
+        per_row = np.maximum(near.sum(axis=1), 1)
+        for rows in np.split(np.arange(len(tile)), np.flatnonzero(np.diff(np.cumsum(per_row) // PAIRS)) + 1):
+            r, c = np.nonzero(near[rows])
+            r = rows[r]
+            s = np.round(sim[r, c], DECIMALS)
+            fits = (s >= threshold) & ((o_pos[c] < pos[r]) | ((o_pos[c] == pos[r]) & (o_ids[c] < ids[r])))
+            r, c, s = r[fits], c[fits], s[fits]
+            order = np.lexsort((c, -s, r))
+            r, c, s = r[order], c[order], s[order]
+            first = np.flatnonzero(np.diff(r, prepend=-1))
+            out.append(pd.DataFrame({"id": ids[r[first]], "match_id": o_ids[c[first]], "similarity": s[first]}))
     return pd.concat(out) if out else pd.DataFrame(columns=["id", "match_id", "similarity"])
 
 
@@ -79,7 +94,7 @@ def _by_length(pdf: pd.DataFrame):
 
 def _against(others: pd.DataFrame, threshold: float):
     others = _usable(others)
-    sides = {n: g for n, g in _by_length(others)} if len(others) else {}
+    sides = {n: _prepared(g) for n, g in _by_length(others)} if len(others) else {}
 
     def match(batches):
         for pdf in batches:
@@ -161,7 +176,7 @@ def _blocked_matches(
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "match_id": [], "similarity": []})
-        return _best_in_block(left, right, threshold)
+        return _best_in_block(left, _prepared(right), threshold)
 
     block = ["cell", "a", "b"]
     per_block = placed_visits.groupBy(*block).cogroup(placed_home.groupBy(*block)).applyInPandas(match, _MATCH_SCHEMA)

@@ -14,7 +14,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import SUMMARY_FILTERED_OUT, SUMMARY_UNAVAILABLE, is_blank
+from storyloom.functions.text import SUMMARY_FILTERED_OUT, SUMMARY_UNAVAILABLE
 from storyloom.functions.time import CLUSTER_WINDOW_DAYS
 from storyloom.operators.matching import BLOCK_ROWS, FIRST, earlier_matches, vector_frame
 from storyloom.session import durable

@@ -1,4 +1,4 @@
-"""All registered queries."""
+"""All registered queries: importing the query modules fills the registry."""
 
 import storyloom.plans.listing_queries
 import storyloom.plans.metric_queries

@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 
 import oracle
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from storyloom.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
@@ -17,9 +18,9 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert oracle.compare(spark, con, name, queries()[name], oracle_sql().get(name), SF) == ""
+    assert oracle.compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF) == ""
 
 
 def test_entry(spark):

@@ -4,8 +4,8 @@ from datetime import timedelta
 
 import pytest
 
-from __spark_entry__ import queries
 from storyloom.operators import admission, digest, stats
+from storyloom.plans.catalog import QUERIES
 from storyloom.schemas import ARTICLES, ITEMS
 from storyloom.sources.tables import append, read_table
 from test_listing import NOW, article, table
@@ -59,7 +59,7 @@ def test_small_batches_do_not_shuffle_the_stored_table(spark, stored):
     assert "BroadcastHashJoin" in plan(known) and "SortMergeJoin" not in plan(known)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries() if "stream" not in n and "windowed" not in n and n != "late_data"))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "stream" not in n and "windowed" not in n and n != "late_data"))
 def test_no_query_pairs_every_row_with_every_row(spark, name):
-    text = plan(queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -43,9 +43,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs:
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     weight_left = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    reached = weighed.withColumn("_level", left / weight_left)
-    open_level = F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))
-    level = F.min(open_level).over(everything)
+    at = F.row_number().over(by_level)
+    reached = weighed.withColumn("_level", left / weight_left).withColumn("_at", at)
+    open_level = F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct(F.col("_at"), F.col("_level")))
+    level = F.min(open_level).over(everything)["_level"]
     return reached.withColumn("_found", level).select(
         "source",
         "source_size",

@@ -45,6 +45,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM sized GROUP BY source
     ), reached AS (
         SELECT *, 3.0::DOUBLE * source_size AS cap,
+               row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source IS NULL, encode(source)) AS place,
                (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER earlier, 0))
                / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0)) AS level
         FROM sources
@@ -52,7 +53,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), filled AS (
         SELECT source, source_size,
-               least(cap, coalesce(w * (SELECT min(level) FROM reached WHERE level * w <= cap), cap)) AS target
+               least(cap, coalesce(w * (SELECT arg_min(level, place) FROM reached WHERE level * w <= cap), cap)) AS target
         FROM reached
     ), planned AS (
         SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM filled

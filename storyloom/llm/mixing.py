@@ -57,36 +57,35 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): the only pass over the texts."""
-    named = pick(docs, id_col, source_col, text_col)
+    """(doc_id, source, size, row, key): the first of two passes over the texts. Write it before ``mix`` reads it.
+
+    ``row`` numbers the rows, so that equal rows stay apart; it is fixed once the table is written.
+    ``key`` is a hash of the whole row, by which ``repeated`` finds it again.
+    """
+    named = pick(docs.withColumn("_key", F.xxhash64(*docs.columns)), id_col, source_col, text_col, "_key")
     return named.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("_key").alias("key"),
     )
 
 
-def mix(
-    rows: DataFrame,
-    weights: Sequence[float] = (1, 2, 3),
-    max_epochs: float = 3,
-    seed: int = 7,
-    tie: Sequence[str] = (),
-) -> DataFrame:
-    """``rows`` (doc_id, source, size, ...) plus source_size, target and copies.
-
-    Every row of a source is taken floor(target / source_size) times whole; what is missing to the target
-    is taken once more from rows in the order of a seeded draw, up to the row at whose middle or before
-    the target lies, so a source ends within half a row of its target. The draw is cut into slots that
-    are summed per source first: only the one slot in which the target falls is ordered row by row, so a
-    source that holds a third of all rows costs no task more than 1/4096 of it.
-
-    Nulls: a null source is one source, the last; a null id draws like an empty one. Rows without words
-    are taken with the same draw and add nothing. A source of no words has target 0. Ties in the draw
-    are ordered by id and ``tie`` columns; equal rows are interchangeable. No rows give no rows. Other
-    columns of ``rows`` stay; ``source_size``, ``target`` and ``copies`` replace columns of these names.
+def mix(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3, seed: int = 7) -> DataFrame:
+    """``rows`` (doc_id, source, size, row, key) plus source_size, target and copies.
+
+    Every row of a source is taken floor(target / source_size) times whole. What is missing to the target
+    is taken once more from rows in the order of a seeded draw as long as they fit, and then from the one
+    row left whose size is nearest to the rest, if that is nearer than none. The draw is cut into slots
+    that are summed per source first: only the one slot in which the target falls is ordered row by row,
+    so a source that holds a third of all rows costs no task more than 1/4096 of it.
+
+    Nulls: a null source is one source, the last; a null id draws like an empty one. A source of no words
+    has target 0 and no copies. Ties in the draw are ordered by id, size and row. No rows give no rows.
+    Other columns of ``rows`` are left out.
     """
-    rows = rows.drop("source_size", "target", "copies")
+    rows = rows.select("doc_id", "source", "size", "row", "key")
     drawn = rows.withColumn("_draw", _draw(seed, F.col("doc_id"))).withColumn(
         "_slot", F.shiftright("_draw", 20).cast("int")
     )
@@ -101,24 +100,55 @@ def mix(
         slots.withColumn("_before", F.coalesce(F.sum("_slot_size").over(earlier), F.lit(0)))
         .withColumnRenamed("source", "_s")
         .join(sources, F.col("_s").eqNullSafe(F.col("source")))
-        .drop("_s")
         .withColumn("_after", F.col("_before") + F.col("_slot_size"))
-    )
-    plan = plan.select(
-        F.col("source").alias("_s"), F.col("_slot").alias("_t"), "source_size", "target", "_whole", "_missing", "_before",
-        # All of a slot is taken, none of it, or it is the one in which the target falls.
-        F.when(F.col("_missing") <= 0, 0).when(F.col("_after") <= F.col("_missing"), 1).when(F.col("_before") >= F.col("_missing"), 0).alias("_all"),
+        .select(
+            "_s", F.col("_slot").alias("_t"), "source_size", "target", "_whole", "_missing", "_before",
+            # All of a slot is taken, none of it, or it is the one in which the target falls.
+            F.when(F.col("_after") <= F.col("_missing"), 1).when(F.col("_before") >= F.col("_missing"), 0).alias("_all"),
+        )
     )
     met = drawn.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slot") == F.col("_t")))
-    plain = met.filter(F.col("_all").isNotNull()).withColumn("_more", F.col("_all"))
-    order = [F.col(c).asc_nulls_last() for c in ("_draw", "doc_id", "size", *tie)]
+    met = met.drop("_s", "_t")
+    order = [F.col(c).asc_nulls_last() for c in ("_draw", "doc_id", "size", "row")]
     within = (
         Window.partitionBy("source", "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    middle = F.col("_before") + F.sum("size").over(within) - F.col("size") / 2
-    split = met.filter(F.col("_all").isNull()).withColumn("_more", (middle <= F.col("_missing")).cast("int"))
-    return (
-        plain.unionByName(split)
-        .withColumn("copies", (F.col("_whole") + F.col("_more")).cast("int"))
-        .select(*rows.columns, "source_size", "target", "copies")
+    fits = F.col("_before") + F.sum("size").over(within) <= F.col("_missing")
+    drawn_in = (
+        met.filter(F.col("_all").isNotNull())
+        .withColumn("_more", F.col("_all"))
+        .unionByName(met.filter(F.col("_all").isNull()).withColumn("_more", fits.cast("int")))
+    )
+    # One row a source fills what the drawn rows leave open.
+    gaps = drawn_in.groupBy("source").agg(
+        (F.max("_missing") - F.sum(F.col("size") * F.col("_more"))).alias("_gap")
+    )
+    gaps = gaps.withColumnRenamed("source", "_s").filter(F.col("_gap") > 0)
+    off = F.abs(F.col("size") - F.col("_gap"))
+    fillers = (
+        drawn_in.filter((F.col("_more") == 0) & (F.col("size") > 0))
+        .join(gaps, F.col("source").eqNullSafe(F.col("_s")))
+        .filter(off < F.col("_gap"))
+        .groupBy("source")
+        .agg(F.min(F.struct(off.alias("off"), "_draw", "doc_id", "row"))["row"].alias("row"))
+        .select("row", F.lit(1).alias("_fill"))
+    )
+    more = F.col("_more") + F.coalesce("_fill", F.lit(0))
+    return drawn_in.join(fillers, "row", "left").select(
+        "doc_id", "source", "size", "row", "key", "source_size", "target",
+        F.when(F.col("source_size") > 0, F.col("_whole") + more).otherwise(0).cast("int").alias("copies"),
+    )
+
+
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with every row as often as ``mixed`` says, in place of its copies.
+
+    Equal rows are met as one, with the sum of their copies, so repeated rows do not multiply.
+    """
+    wanted = mixed.groupBy("doc_id", "key").agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
+    wanted = wanted.withColumnRenamed("doc_id", "_wanted")
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns)).withColumn("_id", F.col(id_col).cast("long"))
+    met = keyed.dropDuplicates(["_key", "_id"]).join(
+        wanted, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("_wanted"))
     )
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import mixing, simhash
+from storyloom.llm import lines, mixing, quality, simhash
 from storyloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,15 +58,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), planned AS (
         SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM filled
     ), drawn AS (
-        SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS missing,
-               sum(size) OVER (PARTITION BY source ORDER BY
-                   ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id, size
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS middle
+        SELECT *, target - whole * source_size AS missing,
+               ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS draw
         FROM sized JOIN planned USING (source)
+    ), counted AS (
+        SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= missing AND missing > 0)::INT AS more
+        FROM drawn
+    ), gaps AS (
+        SELECT source, max(missing) - sum(size * more) AS gap FROM counted GROUP BY source
+    ), fillers AS (
+        SELECT arg_min(doc_id, (abs(size - gap), draw, doc_id)) AS doc_id, 1 AS fill
+        FROM counted JOIN gaps USING (source)
+        WHERE more = 0 AND size > 0 AND gap > 0 AND abs(size - gap) < gap
+        GROUP BY source
     )
-    SELECT doc_id, size, source_size, target,
-           (size * (whole + CASE WHEN missing > 0 AND middle <= missing THEN 1 ELSE 0 END))::BIGINT AS taken
-    FROM drawn
+    SELECT doc_id, size, source_size, target, (size * (whole + more + coalesce(fill, 0)))::BIGINT AS taken
+    FROM counted LEFT JOIN fillers USING (doc_id)
     """,
 )
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,3 +82,32 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+@query(
+    "op3_line_dedup",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, line, place,
+               translate(trim(line, E' \t\n\x0B\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS place
+              FROM (SELECT doc_id, string_split(coalesce("text", ''), E'\n') AS l FROM documents))
+    ), shared AS (
+        SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+    )
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(shared.key)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, E'\n' ORDER BY place) FILTER (shared.key IS NULL), '')) AS kept_sha256
+    FROM lines LEFT JOIN shared USING (key)
+    GROUP BY doc_id
+    """,
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, forest).select("doc_id", *quality.ADDED)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour and contracts; self links and repeated links
     disappear, so the edges left shrink fast. A component's smallest node hooks to itself in every round
-    and so names it in the end. Edges never leave the executors. Loops and nulls are ignored; the result
-    of no edges is empty.
+    and so names it in the end. Edges never leave the executors; every step is checkpointed, so plans stay
+    as small as one step. Loops and nulls are ignored; the result of no edges is empty.
     """
     left = durable(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())
     rounds: list[DataFrame] = []
@@ -33,20 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
         )
         parents = durable(both.groupBy("node").agg(F.least("node", F.min("to")).alias("parent")))
         rounds.append(parents)
-        moved = _moved(_moved(left, parents, "a", "b"), parents, "b", "a")
-        left = durable(
-            moved.filter(F.col("a") != F.col("b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
+        one = durable(_moved(left, parents, "a", "b").filter(F.col("a") != F.col("b")).distinct())
+        moved = _moved(one, parents, "b", "a").filter(F.col("a") != F.col("b"))
+        left = durable(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-
-    def follow(found: DataFrame, parents: DataFrame) -> DataFrame:
-        step = parents.select(F.col("node").alias("root"), F.col("parent"))
-        return lookup_join(found, step, "root", ["node"]).select(
-            "node", F.coalesce("parent", "root").alias("root")
-        )
-
-    first = rounds[0].select("node", F.col("parent").alias("root"))
-    return reduce(follow, rounds[1:], first)
+    found = rounds[0].select("node", F.col("parent").alias("root"))
+    for parents in rounds[1:]:
+        step = lookup_join(found, parents.withColumnRenamed("node", "root"), "root", ["node"])
+        found = durable(step.select("node", F.coalesce("parent", "root").alias("root")))
+    return found

@@ -74,40 +74,37 @@ def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
 
 
 def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links within ``radius`` between rows of two tiles (n x lanes), thinned to a spanning forest.
+    """Links within ``radius`` between rows of two tiles (n x lanes), as (fingerprint, smallest linked one).
 
-    Every linked pair is found; of the pairs in one component only those that join two parts are kept, so
-    a dense group of n fingerprints gives n - 1 links and not n^2 / 2.
+    Every linked pair is found. A component of n fingerprints gives n - 1 links to its smallest one and
+    not all its pairs, so a dense group stays small.
     """
-    n = len(left)
-    parent = np.arange(n + (0 if same else len(right)))
-    kept_a: list[np.ndarray] = []
-    kept_b: list[np.ndarray] = []
+    nodes = left if same else np.concatenate([left, right])
+    order = np.lexsort(nodes.T[::-1])
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    rank_left, rank_right = rank[: len(left)], rank if same else rank[len(left) :]
+    parent = np.arange(len(nodes))
     step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
-    for at in range(0, n, step):
-        rows = left[at : at + step]
-        other = right[at:] if same else right  # within a tile, only later rows
+    for at in range(0, len(left), step):
+        start = at if same else 0  # within a tile, only later rows
+        rows, other = left[at : at + step], right[start:]
         gap = np.bitwise_count(rows[:, None, 0] ^ other[None, :, 0])
         for lane in range(1, left.shape[1]):
             gap = gap + np.bitwise_count(rows[:, None, lane] ^ other[None, :, lane])
         a, b = np.nonzero(gap <= radius)
-        a += at
-        b += at if same else n
+        a, b = rank_left[a + at], rank_right[b + start]
         while len(a):
-            ra, rb = _roots(parent, a), _roots(parent, b)
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            if not len(a):
-                break
-            # Each root hooks to one smaller root, through one link: links that lose are tried again.
-            high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+            a, b = _roots(parent, a), _roots(parent, b)
+            apart = a != b
+            high, low = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            # A root hooks to one smaller root at a time; links that lose are tried again.
             hooked, first = np.unique(high, return_index=True)
             parent[hooked] = low[first]
-            kept_a.append(a[first])
-            kept_b.append(b[first])
-    if not kept_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(kept_a), np.concatenate(kept_b)
+            a, b = high, low
+    roots = _roots(parent, np.arange(len(nodes)))
+    moved = np.nonzero(roots != np.arange(len(nodes)))[0]
+    return nodes[order[roots[moved]]], nodes[order[moved]]
 
 
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -142,7 +139,7 @@ def tiles(distinct: DataFrame, lanes: int) -> tuple[DataFrame, dict[int, int]]:
 
 
 def links(distinct: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
-    """(a, b): a spanning forest of all pairs in ``distinct`` (fingerprint) that differ in at most ``radius`` bits.
+    """(a, b): links that join the same components as all pairs in ``distinct`` (fingerprint) that differ in at most ``radius`` bits.
 
     Every pair of tiles whose population counts are within the radius is compared in full: other pairs
     cannot match, since each differing bit moves the count by one. A tile travels once for each tile that
@@ -183,8 +180,7 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
                 one = batch.slice(i, 1)
                 left, right = (_lanes(one.column(c)[0].as_py(), lanes) for c in ("left", "right"))
                 a, b = _forest(left, right, radius, same)
-                nodes = left if same else np.concatenate([left, right])
-                yield pa.RecordBatch.from_arrays([_hex(nodes[a]), _hex(nodes[b])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([_hex(a), _hex(b)], ["a", "b"])
 
     return in_batches(spread, work, "a string, b string")
 
@@ -214,9 +210,10 @@ def near_duplicates(
         "component", F.coalesce("root", "fingerprint")
     )
     # Components of a third of all nodes are possible: the smallest id is aggregated first, then dealt back.
-    whole = whole.select("fingerprint", "first", "component")
+    whole = written(whole.select("fingerprint", "first", "component"), "simhash-components")
     smallest = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     named = lookup_join(whole, smallest, "component", ["fingerprint"]).select("fingerprint", "component", "component_id")
+    named = written(named, "simhash-named")
     return lookup_join(marked, named, "fingerprint", ["doc_id"]).select(
         "doc_id", "fingerprint", "component_id", "component"
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import lines, mixing, quality, simhash
+from storyloom.llm import lines, mixing, packing, quality, simhash, token_files
 from storyloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Where the vocabulary files of the public tokenizers are; None asks the package that installs them.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS is not None:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         QUERIES[name] = build
@@ -111,3 +124,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest).select("doc_id", *quality.ADDED)
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    path = tokenizer_path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, path, end_id=2, vocabulary=49_408)
+    return token_files.read_documents(spark, folder, vocabulary=49_408)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    return packing.packed_documents(table(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)

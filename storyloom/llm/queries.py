@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import lines, mixing, packing, quality, simhash, token_files
+from storyloom.llm import lines, mixing, packing, quality, simhash, token_files, toxicity
 from storyloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     return packing.packed_documents(table(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

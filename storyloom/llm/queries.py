@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import lines, mixing, packing, quality, simhash, token_files, toxicity
+from storyloom.llm import html_region, lines, mixing, packing, quality, simhash, token_files, toxicity
 from storyloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.filter(~held_out))
     found = toxicity.score(docs, model)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_region.extract(pages, html_region.fit(pages))
+    text = F.col("main_text").alias("text")
+    return found.select("page_id", "url", text, F.length("main_text").cast("long").alias("n_chars"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import html_region, lines, mixing, packing, quality, simhash, token_files, toxicity
+from storyloom.llm import html_region, lines, mixing, packing, quality, secret_scan, simhash, token_files, toxicity
 from storyloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_region.extract(pages, html_region.fit(pages))
     text = F.col("main_text").alias("text")
     return found.select("page_id", "url", text, F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = ["n_assign", "n_access", "n_hex"]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")

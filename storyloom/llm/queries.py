@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import html_region, lines, mixing, packing, quality, secret_scan, simhash, token_files, toxicity
+from storyloom.llm import fingerprints, html_region, lines, mixing, packing, quality, secret_scan, simhash, token_files, toxicity
 from storyloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     counts = ["n_assign", "n_access", "n_hex"]
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op4_document_fingerprints")
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_beside_next(table(spark, sf_dir, "documents"))

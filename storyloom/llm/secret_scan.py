@@ -7,7 +7,7 @@ from math import log10, pi, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import texts
+from storyloom.llm.common import texts, written
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -188,10 +188,12 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
         | ((F.col("kind") == "access") & (F.col("n") >= LEAST_ACCESS))
         | ((F.col("kind") == "hex") & (F.col("n") >= LEAST_HEX))
     )
-    found = matches(rows)
+    found = written(matches(rows), "secret-matches")  # few, and read twice
     columns = ["doc_id", "at", "kind", "start", "stop", "token"]
     base = found.filter(long_enough).select(columns)
-    random = discoveries(battery(found.filter(F.col("kind") == "random"))).select(columns)
+    # Stored, or else the plan would work out the tests again wherever their results are compared.
+    tested = battery(found.filter(F.col("kind") == "random")).select(*columns, "l", "p_random", "p_text")
+    random = discoveries(written(tested, "secret-tokens")).select(columns)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.concat_ws(":", "kind", "start", "stop")
     both = base.unionByName(random).withColumn("span", F.struct("start", order.alias("order"), span.alias("span"), "kind", "stop", "token"))

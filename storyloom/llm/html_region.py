@@ -241,9 +241,11 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", bound
 
     Counts of keys come to the driver: as many as there are element names in these pages.
     """
-    chosen = pick(pages, id_col, html_col).toDF("id", "html")
-    marks = F.col("html").rlike("(?i)<(article|main)[\\s>]")
-    chosen = chosen.filter(marks).orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(bound)
+    marked = pick(pages, id_col, html_col).toDF("id", "html").filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    marked = marked.withColumn("key", F.xxhash64("id", "html"))
+    # At most ``bound`` keys of 8 bytes: pages themselves are never gathered. Copies of one page count once.
+    chosen = marked.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(bound)
+    chosen = marked.join(F.broadcast(chosen), "key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         inside: Counter[str] = Counter()

@@ -34,27 +34,68 @@ def tokenizer(path: str) -> Tokenizer:
     return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones as they are, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+#: A word of letters that no normalization touches but lower case, and marks behind it. Both patterns cut
+#: between the two, so each can be encoded on its own.
+_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Pieces(dict):
+    """Ids of pieces, encoded when they are first asked for."""
+
+    def __init__(self, tokenizer: Tokenizer, dtype: np.dtype) -> None:
+        self.tokenizer = tokenizer
+        self.dtype = dtype
+        self.model = tokenizer.model
+        self.as_word = next((f for f in (_spaced, _bare) if self._agrees(f)), None)
+
+    def _agrees(self, as_word: Callable[[str], str]) -> bool:
+        """Whether words can go to the tokenizer's model directly, which saves most of the time of a call."""
+        return all(self._by_model(as_word(w)) == self._by_tokenizer(w) for w in (" the", "Straße", " Éclairs", "QU"))
+
+    def _by_model(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+
+    def _by_tokenizer(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        simple = _SIMPLE.fullmatch(piece) if self.as_word else None
+        if simple is None:
+            ids = self._by_tokenizer(piece)
+        elif simple[2]:
+            ids = self[simple[1]] + self[simple[2]]
+        else:
+            ids = self._by_model(self.as_word(piece))
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def _spaced(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_LETTERS)
+
+
+def _bare(word: str) -> str:
+    return _spaced(word.lstrip(" ").lower())
+
+
 class Encoder:
-    """Ids of texts as arrays, the same as ``encode(text, add_special_tokens=False)`` gives."""
+    """Ids of texts, the same as ``encode(text, add_special_tokens=False)`` gives."""
 
     def __init__(self, path: str, dtype: type[np.unsignedinteger], cut: Callable[[str], list[str]] = pieces) -> None:
-        self.tokenizer = tokenizer(path)
-        self.dtype = np.dtype(dtype).newbyteorder("<")
         self.cut = cut
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Pieces(tokenizer(path), np.dtype(dtype).newbyteorder("<"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers, one after the other."""
-        cut = [self.cut(t) for t in texts]
-        kept = self.kept
-        missing = list({p for parts in cut for p in parts if p not in kept})
-        if len(kept) + len(missing) > KEPT_PIECES:
-            kept.clear()
-            missing = list({p for parts in cut for p in parts})
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        kept.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(missing, found, strict=True))
-        out = [b"".join([kept[p] for p in parts]) for parts in cut]
-        for p in missing:
-            if len(p) > KEPT_CHARS:
-                del kept[p]
-        return out
+        return [b"".join(map(self.kept.__getitem__, self.cut(t))) for t in texts]

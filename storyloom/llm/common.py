@@ -14,7 +14,7 @@ from storyloom.session import shared_folder
 #: and ``bytes.strip()`` take for white space.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -58,19 +59,20 @@ def fingerprint(text: bytes | None, width: int = 3, lanes: int = 1) -> list[int]
 
 
 def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, fingerprint): 16 lowercase hex digits a lane, of every row of (doc_id, text)."""
+    """``fingerprint`` (16 lowercase hex digits a lane) in place of ``text``, for every row of ``docs``."""
+    others = [c for c in docs.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             found = [
                 "".join(f"{lane:016x}" for lane in fingerprint(t, width, lanes)) for t in batch.column("text").to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"]
-            )
+            own = [batch.column(c) for c in others]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string())], [*others, "fingerprint"])
 
-    source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return in_batches(source, work, "doc_id long, fingerprint string")
+    source = docs.select(*others, F.col("text").cast("binary").alias("text"))
+    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"]
+    return in_batches(source, work, ", ".join([*kinds, "fingerprint string"]))
 
 
 def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +87,8 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tup
     rank[order] = np.arange(len(nodes))
     rank_left, rank_right = rank[: len(left)], rank if same else rank[len(left) :]
     parent = np.arange(len(nodes))
-    step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
-    for at in range(0, len(left), step):
-        start = at if same else 0  # within a tile, only later rows
-        rows, other = left[at : at + step], right[start:]
-        gap = np.bitwise_count(rows[:, None, 0] ^ other[None, :, 0])
-        for lane in range(1, left.shape[1]):
-            gap = gap + np.bitwise_count(rows[:, None, lane] ^ other[None, :, lane])
-        a, b = np.nonzero(gap <= radius)
-        a, b = rank_left[a + at], rank_right[b + start]
+    for a, b, _ in _close(left, right, radius, same):
+        a, b = rank_left[a], rank_right[b]
         while len(a):
             a, b = _roots(parent, a), _roots(parent, b)
             apart = a != b
@@ -138,23 +133,21 @@ def tiles(distinct: DataFrame, lanes: int) -> tuple[DataFrame, dict[int, int]]:
     return counted.withColumn("part", part.cast("int")), parts
 
 
-def links(distinct: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
-    """(a, b): links that join the same components as all pairs in ``distinct`` (fingerprint) that differ in at most ``radius`` bits.
+def tile_pairs(distinct: DataFrame, radius: int, lanes: int = 1) -> DataFrame | None:
+    """(same, left, right): packed tiles of ``distinct`` (fingerprint), one row for each pair that can match.
 
-    Every pair of tiles whose population counts are within the radius is compared in full: other pairs
-    cannot match, since each differing bit moves the count by one. A tile travels once for each tile that
-    it meets, as one packed row. The work is that of all pairs of distinct fingerprints in reach.
+    Pairs of tiles whose population counts differ by more than the radius are left out: each differing bit
+    moves the count by one. A tile travels once for each tile that it meets. The pairs are made by the
+    executors from the bounded list of population counts. None if there is nothing to compare.
     """
     dealt, parts = tiles(distinct, lanes)
-    names = sorted((k, p) for k, n in parts.items() for p in range(n))
+    if not parts:
+        return None
     spark = distinct.sparkSession
-    if not names:
-        return distinct.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).limit(0)
     packed = written(
         dealt.groupBy("ones", "part").agg(F.unhex(F.array_join(F.sort_array(F.collect_list("fingerprint")), "")).alias("held")),
         "simhash-tiles",
     )
-    # One row a pair of tiles, made by the executors from the bounded list of population counts.
     counts = spark.createDataFrame(sorted(parts.items()), "ones int, parts int")
     pairs = (
         counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -171,18 +164,94 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
         .withColumn("same", (F.col("ones") == F.col("ones2")) & (F.col("part") == F.col("part2")))
     )
     # Spread by pair, so that the comparisons of a large population count do not meet in one task.
-    spread = joined.repartition(4 * parallelism(spark), "ones", "part", "ones2", "part2").select("same", "left", "right")
+    return joined.repartition(4 * parallelism(spark), "ones", "part", "ones2", "part2").select("same", "left", "right")
+
+
+def _each_pair(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = (_lanes(batch.column(c)[i].as_py(), lanes) for c in ("left", "right"))
+            yield batch.column("same")[i].as_py(), left, right
+
+
+def links(distinct: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
+    """(a, b): links that join the same components as all pairs in ``distinct`` (fingerprint) that differ in
+    at most ``radius`` bits. The work is that of all pairs of distinct fingerprints in reach."""
+    pairs = tile_pairs(distinct, radius, lanes)
+    if pairs is None:
+        return distinct.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).limit(0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                same = batch.column("same")[i].as_py()
-                one = batch.slice(i, 1)
-                left, right = (_lanes(one.column(c)[0].as_py(), lanes) for c in ("left", "right"))
-                a, b = _forest(left, right, radius, same)
-                yield pa.RecordBatch.from_arrays([_hex(a), _hex(b)], ["a", "b"])
+        for same, left, right in _each_pair(batches, lanes):
+            a, b = _forest(left, right, radius, same)
+            yield pa.RecordBatch.from_arrays([_hex(a), _hex(b)], ["a", "b"])
+
+    return in_batches(pairs, work, "a string, b string")
+
+
+def closest_pairs(distinct: DataFrame, radius: int, lanes: int, forests: int = 3) -> DataFrame:
+    """(a, b): pairs of ``distinct`` (fingerprint) within ``radius`` that are worth a closer look.
 
-    return in_batches(spread, work, "a string, b string")
+    Of each pair of tiles ``forests`` minimal spanning forests by differing bits, each without the pairs of
+    those before. Whatever splits a group in two, its closest pairs over the split are among them: if none
+    of those proves similar, hardly any other does. A dense group of n gives ``forests`` x n pairs, not n^2 / 2.
+    """
+    pairs = tile_pairs(distinct, radius, lanes)
+    if pairs is None:
+        return distinct.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).limit(0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for same, left, right in _each_pair(batches, lanes):
+            kept = np.zeros((0, 3), np.int64)
+            for a, b, gap in _close(left, right, radius, same):
+                kept = _spanning(np.concatenate([kept, np.stack([a, b, gap], axis=1)]), forests)
+            nodes = left if same else np.concatenate([left, right])
+            a, b = kept[:, 0], kept[:, 1] + (0 if same else len(left))
+            yield pa.RecordBatch.from_arrays([_hex(nodes[a]), _hex(nodes[b])], ["a", "b"])
+
+    found = in_batches(pairs, work, "a string, b string")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """All pairs within ``radius`` with their differing bits, a bounded block of comparisons at a time."""
+    step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+    for at in range(0, len(left), step):
+        start = at if same else 0  # within a tile, only later rows
+        rows, other = left[at : at + step], right[start:]
+        gap = np.bitwise_count(rows[:, None, 0] ^ other[None, :, 0])
+        for lane in range(1, left.shape[1]):
+            gap = gap + np.bitwise_count(rows[:, None, lane] ^ other[None, :, lane])
+        a, b = np.nonzero(gap <= radius)
+        close = gap[a, b].astype(np.int64)
+        a, b = a + at, b + start
+        apart = a != b if same else slice(None)
+        if len(a[apart]):
+            yield a[apart], b[apart], close[apart]
+
+
+def _spanning(edges: np.ndarray, forests: int) -> np.ndarray:
+    """The edges (a, b, gap) of successive minimal spanning forests, the smallest gaps first."""
+    nodes, ends = np.unique(edges[:, :2] * 2 + [[0, 1]], return_inverse=True)  # sides of a pair keep apart
+    ends = ends.reshape(-1, 2)
+    left = np.argsort(edges[:, 2], kind="stable")
+    kept = []
+    for _ in range(forests):
+        parent = np.arange(len(nodes))
+        chosen = np.zeros(len(edges), bool)
+        for level in np.split(left, np.nonzero(np.diff(edges[left, 2]))[0] + 1):
+            rest = level
+            while len(rest):
+                a, b = _roots(parent, ends[rest, 0]), _roots(parent, ends[rest, 1])
+                apart = a != b
+                rest, a, b = rest[apart], a[apart], b[apart]
+                high, low = np.maximum(a, b), np.minimum(a, b)
+                hooked, first = np.unique(high, return_index=True)
+                parent[hooked] = low[first]
+                chosen[rest[first]] = True
+        kept.append(left[chosen[left]])
+        left = left[~chosen[left]]
+    return edges[np.concatenate(kept)]
 
 
 def _hex(nodes: np.ndarray) -> pa.Array:
@@ -217,3 +286,75 @@ def near_duplicates(
     return lookup_join(marked, named, "fingerprint", ["doc_id"]).select(
         "doc_id", "fingerprint", "component_id", "component"
     )
+
+
+def expected_bits(similarity: float, lanes: int) -> tuple[float, float]:
+    """Mean and deviation of the differing bits of texts whose shingle sets are that similar (Jaccard)."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return 64 * lanes * share, sqrt(64 * lanes * share * (1 - share))
+
+
+def similar_groups(
+    rows: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 2, margin: float = 3.0
+) -> DataFrame:
+    """``rows`` (key, text, ...) with ``component`` in place of ``text``: equal for the rows of a group.
+
+    Groups hold together by links between texts whose sets of ``width`` words have a Jaccard similarity of
+    at least ``similarity``. Fingerprints within the bits that such texts differ by, plus ``margin``
+    deviations, are candidates; each link is then checked on the whole texts of one row each, so that no
+    text is linked that is not similar. Texts with one fingerprint are one group, and so are all texts
+    without words. ``key`` must be the same for equal texts only.
+    """
+    marked = written(fingerprints(rows, width, lanes), "simhash")
+    distinct = written(marked.select("fingerprint").distinct(), "simhash-nodes")
+    mean, deviation = expected_bits(similarity, lanes)
+    pairs = written(closest_pairs(distinct, int(mean + margin * deviation), lanes), "simhash-pairs")
+    ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
+    # One text a fingerprint, only for those that are in a pair.
+    first = marked.join(ends, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("key").alias("key"))
+    chosen = rows.select("key", "text").join(first, "key").dropDuplicates(["fingerprint"])
+    chosen = written(_shingled(chosen, width), "simhash-shingles")
+    sides = [chosen.select(F.col("fingerprint").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    alike = shared >= similarity * (F.size("a_shingles") + F.size("b_shingles") - shared)
+    linked = written(both.filter(alike).select("a", "b"), "simhash-links")
+    found = components(linked).select(F.col("node").alias("fingerprint"), "root")
+    named = lookup_join(marked, found, "fingerprint", ["key"])
+    return named.withColumn("component", F.coalesce("root", "fingerprint")).drop("fingerprint", "root")
+
+
+def _shingled(docs: DataFrame, width: int) -> DataFrame:
+    """(fingerprint, shingles): the distinct hashes of a text's shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                np.array(sorted({xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)}), np.uint64).view(np.int64)
+                for t in batch.column("text").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fingerprint"), pa.array(found, pa.list_(pa.int64()))], ["fingerprint", "shingles"]
+            )
+
+    source = docs.select("fingerprint", F.col("text").cast("binary").alias("text"))
+    return in_batches(source, work, "fingerprint string, shingles array<long>")
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one row of each of ``similar_groups``: that of the smallest id, null ids last.
+
+    All columns stay. Rows of one id are told apart by a hash of all their columns; equal rows count as
+    one. Null and empty texts, and those of white space, are one group. An empty table stays empty.
+    """
+    columns = docs.columns
+    unique = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    doc_id, text = (F.col(f"c{columns.index(c)}") for c in (id_col, text_col))
+    keyed = unique.withColumn("key", F.xxhash64(*unique.columns))
+    rows = keyed.select("key", doc_id.cast("long").alias("id"), text.cast("string").alias("text"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))
+    best = similar_groups(rows, width, similarity).groupBy("component").agg(first.alias("best")).select("best.key")
+    met = keyed.join(best, "key", "left_semi").dropDuplicates(["key"])
+    return met.select(*unique.columns).toDF(*columns)

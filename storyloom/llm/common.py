@@ -28,6 +28,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``df`` with columns c0, c1, ... and what finds them by the exact spelling of their old names."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), lambda name: F.col(f"c{names.index(name)}")
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of ``df``."""
     return pick(df, id_col, text_col).select(

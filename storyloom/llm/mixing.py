@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import WORD, pick
+from storyloom.llm.common import WORD, by_place
 
 #: Slots that the fractional part of a source is cut into before single documents are looked at.
 SLOTS = 4096
@@ -62,13 +62,13 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ``row`` numbers the rows, so that equal rows stay apart; it is fixed once the table is written.
     ``key`` is a hash of the whole row, by which ``repeated`` finds it again.
     """
-    named = pick(docs.withColumn("_key", F.xxhash64(*docs.columns)), id_col, source_col, text_col, "_key")
-    return named.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col).cast("string")).alias("size"),
+    rows, column = by_place(docs)
+    return rows.select(
+        column(id_col).cast("long").alias("doc_id"),
+        column(source_col).cast("string").alias("source"),
+        word_count(column(text_col).cast("string")).alias("size"),
         F.monotonically_increasing_id().alias("row"),
-        F.col("_key").alias("key"),
+        F.xxhash64(*rows.columns).alias("key"),
     )
 
 
@@ -146,9 +146,10 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataF
     Equal rows are met as one, with the sum of their copies, so repeated rows do not multiply.
     """
     wanted = mixed.groupBy("doc_id", "key").agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
-    wanted = wanted.withColumnRenamed("doc_id", "_wanted")
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns)).withColumn("_id", F.col(id_col).cast("long"))
+    rows, column = by_place(docs)
+    keyed = rows.withColumn("_key", F.xxhash64(*rows.columns)).withColumn("_id", column(id_col).cast("long"))
     met = keyed.dropDuplicates(["_key", "_id"]).join(
-        wanted, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("_wanted"))
+        wanted, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("doc_id"))
     )
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copied = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copied.select(*rows.columns).toDF(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import in_batches, parallelism, texts, written
+from storyloom.llm.common import by_place, in_batches, parallelism, texts, written
 from storyloom.llm.components import components
 from storyloom.operators.skew import lookup_join
 
@@ -349,12 +349,10 @@ def without_near_duplicates(
     All columns stay. Rows of one id are told apart by a hash of all their columns; equal rows count as
     one. Null and empty texts, and those of white space, are one group. An empty table stays empty.
     """
-    columns = docs.columns
-    unique = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    doc_id, text = (F.col(f"c{columns.index(c)}") for c in (id_col, text_col))
+    unique, column = by_place(docs)
     keyed = unique.withColumn("key", F.xxhash64(*unique.columns))
-    rows = keyed.select("key", doc_id.cast("long").alias("id"), text.cast("string").alias("text"))
+    rows = keyed.select("key", column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "key"))
     best = similar_groups(rows, width, similarity).groupBy("component").agg(first.alias("best")).select("best.key")
     met = keyed.join(best, "key", "left_semi").dropDuplicates(["key"])
-    return met.select(*unique.columns).toDF(*columns)
+    return met.select(*unique.columns).toDF(*docs.columns)

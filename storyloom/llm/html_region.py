@@ -46,7 +46,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<!\[CDATA\[.*?(?:\]\]>|$)"
     r"|<[!?][^>]*(?:>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|$)|[^>]*)(?:>|$)",
     re.DOTALL,
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)

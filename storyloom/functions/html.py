@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions.text import MAX_ARTICLE_BYTES, clip_bytes, trim_ws
+from storyloom.functions.text import clip_bytes, trim_ws
 
 # What is removed, and where article text is looked for, tier by tier.
 REMOVED_TAGS = ("script", "style")
@@ -175,9 +175,10 @@ def _shell_texts_batch(html: pd.Series) -> pd.DataFrame:
     )
 
 
-def extract_main_content(html: Column, max_bytes: int = MAX_ARTICLE_BYTES) -> Column:
-    """Main text of a page, trimmed and clipped on a character boundary."""
-    return clip_bytes(trim_ws(_main_text_batch(html)), max_bytes)
+def extract_main_content(html: Column, max_bytes: int | None = None) -> Column:
+    """Main text of a page, trimmed; with ``max_bytes``, clipped on a character boundary."""
+    text = trim_ws(_main_text_batch(html))
+    return text if max_bytes is None else clip_bytes(text, max_bytes)
 
 
 def unwrap_feed_xml(text: Column) -> Column:

@@ -114,7 +114,8 @@ def clean_summary(c: Column) -> Column:
         close = rf"</{tag}{_ASCII_WS}*>"
         tagged = F.regexp_replace(tagged, rf"(?isu)<{tag}{_ASCII_WS}*>.*?{close}", "")
         tagged = F.regexp_replace(tagged, rf"(?iu)</?{tag}{_ASCII_WS}*>", "")
-    c = F.when(F.contains(c, F.lit("<")), tagged).otherwise(c)
+    # Nothing is removed from a text without any of the names, so no tag can come about in it either.
+    c = F.when(c.rlike(rf"(?iu)</?(?:{'|'.join(REASONING_TAGS)})"), tagged).otherwise(c)
     c = trim_ws(F.regexp_replace(c, rf"{_ASCII_WS}+", " "))
     return F.regexp_replace(c, r"\A\z", SUMMARY_FILTERED_OUT)
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.html import extract_main_content
-from storyloom.functions.text import content_hash, sanitize_utf8
+from storyloom.functions.text import MAX_ARTICLE_BYTES, content_hash, sanitize_utf8
 from storyloom.operators.skew import lookup_join
+from storyloom.sources.pages import latest_pages
 
 # Admission outcomes, in the order they are tested.
 NO_LINK = "skipped_no_link"
@@ -19,8 +20,7 @@ BEFORE_INITIATION = "skipped_before_initiation"
 DUPLICATE = "skipped_duplicate"
 PROCESSED = "processed"
 
-SHIPPED_LINKS = 200_000
-
+SHIPPED_BYTES = 8 * 1024 * 1024
 
 def within_dates(published: Column, cutoff: datetime, initiation: datetime) -> Column:
     """Both bounds are inclusive; a missing date is out."""
@@ -40,14 +40,20 @@ def _has_link(link: Column) -> Column:
     return F.coalesce(link, F.lit("")) != ""
 
 
+def stored_link(link: Column) -> Column:
+    """The url that an item is stored under, which is what makes it a duplicate."""
+    return sanitize_utf8(link)
+
+
 def _arrival() -> list[Column]:
     return [F.col("published").asc_nulls_last(), F.col("feed_url").asc_nulls_first(), F.col("item_no").asc_nulls_first()]
 
 
 def first_per_url(items: DataFrame) -> DataFrame:
     """The earliest item of each link. Each task forwards one row per link, so hot links stay small."""
-    w = Window.partitionBy("link").orderBy(*_arrival())
-    return items.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    w = Window.partitionBy("_stored").orderBy(*_arrival())
+    ranked = items.withColumn("_stored", stored_link(F.col("link"))).withColumn("_rn", F.row_number().over(w))
+    return ranked.filter("_rn = 1").drop("_rn", "_stored")
 
 
 def dedup_anti(items: DataFrame, stored_urls: DataFrame) -> DataFrame:
@@ -55,16 +61,19 @@ def dedup_anti(items: DataFrame, stored_urls: DataFrame) -> DataFrame:
 
     Links are made unique first, so that the stored table meets one row per link.
     """
-    return first_per_url(items).join(stored_urls.select(F.col("url").alias("link")), "link", "left_anti")
+    first = first_per_url(items).withColumn("_stored", stored_link(F.col("link")))
+    return first.join(stored_urls.select(F.col("url").alias("_stored")), "_stored", "left_anti").drop("_stored")
 
 
 def linked_rows(items: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of ``table`` (keyed by ``url``) that ``items`` link to: all that a small batch can meet.
 
-    The links of a small batch travel to the table, which is then scanned but not shuffled.
+    Links of at most ``SHIPPED_BYTES`` travel to the table, which is then scanned but not shuffled.
     """
-    links = items.filter(_has_link(F.col("link"))).select(F.col("link").alias("url")).distinct()
-    if links.count() <= SHIPPED_LINKS:
+    link = F.col("link")
+    links = items.filter(_has_link(link)).select(F.explode(F.array(link, stored_link(link))).alias("url")).distinct()
+    size = links.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+    if size <= SHIPPED_BYTES:
         links = F.broadcast(links)
     return table.join(links, "url", "left_semi")
 
@@ -80,10 +89,10 @@ def admission_status(items: DataFrame, stored_urls: DataFrame, cutoff: datetime,
     judged = items.withColumn("_early", early)
     # Rows already rejected get a key of their own: they match nothing and cannot pile up on one link.
     own_key = F.concat_ws("\n", F.lit(""), "feed_url", "item_no")
-    keyed = judged.withColumn("_key", F.when(F.col("_early").isNull(), F.col("link")).otherwise(own_key))
+    keyed = judged.withColumn("_key", F.when(F.col("_early").isNull(), stored_link(F.col("link"))).otherwise(own_key))
     passing = judged.filter(F.col("_early").isNull()).select("link", "published", "feed_url", "item_no")
     winners = dedup_anti(passing, stored_urls).select(
-        F.col("link").alias("_key"), F.col("feed_url").alias("_win_feed"), F.col("item_no").alias("_win_no")
+        stored_link(F.col("link")).alias("_key"), F.col("feed_url").alias("_win_feed"), F.col("item_no").alias("_win_no")
     )
     is_winner = F.col("_win_feed").eqNullSafe(F.col("feed_url")) & (F.col("_win_no") == F.col("item_no"))
     status = F.coalesce("_early", F.when(is_winner, PROCESSED).otherwise(DUPLICATE))
@@ -97,13 +106,13 @@ def admitted(items: DataFrame, cutoff: datetime, initiation: datetime) -> DataFr
     return date_cutoff(items.filter(_has_link(F.col("link"))), cutoff, initiation)
 
 
-def with_page_text(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Attach extracted page text as ``content``; the description stands in for a missing page.
+def with_page_text(items: DataFrame, pages: DataFrame, max_bytes: int | None = MAX_ARTICLE_BYTES) -> DataFrame:
+    """Attach extracted page text as ``content``, cut at ``max_bytes``; the description stands in for a missing page.
 
-    ``pages`` holds (url, html) of successful fetches, one row per url.
+    ``pages`` holds (url, html) of successful fetches; of several for one url the latest counts.
     """
-    texts = pages.select(
-        F.col("url").alias("link"), extract_main_content(F.col("html")).alias("_text")
+    texts = latest_pages(pages).select(
+        F.col("url").alias("link"), extract_main_content(F.col("html"), max_bytes).alias("_text")
     )
     return (
         items.join(texts, "link", "left")

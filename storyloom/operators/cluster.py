@@ -30,7 +30,7 @@ def pending_embedding(
     articles: DataFrame,
     now: datetime,
     window_days: int = CLUSTER_WINDOW_DAYS,
-    batch: int | None = EMBED_BATCH_SIZE,
+    batch: int | None = None,
     skip_filtered_out: bool = False,
 ) -> DataFrame:
     """Newest summarized articles of the window that have no vector yet."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +23,18 @@ NEVER_NULL = ("full_content", "publish_date", "fetch_duration_ms", "feed_url", "
 
 
 def _parse_int(value: str | int | None) -> int | None:
-    try:
-        return int(str(value))
-    except ValueError:
-        return None
+    """A signed 64-bit number in plain digits: no blanks, underscores or digits of other scripts."""
+    found = re.fullmatch(r"[+-]?[0-9]+", str(value))
+    n = int(found[0]) if found else None
+    return n if n is not None and -(2**63) <= n < 2**63 else None
+
+
+def like_pattern(term: str) -> str:
+    """Substring pattern of ``term``. ``%`` and ``_`` stay wildcards and a backslash takes the next character as it is.
+
+    A backslash at the end makes the closing ``%`` a character to match.
+    """
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{term}%", flags=re.DOTALL)
 
 
 def page_limit(value: str | int | None, default: int = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> int:
@@ -73,7 +83,7 @@ def search(articles: DataFrame, q: str | None) -> DataFrame:
     term = search_term(q)
     if term is None:
         return articles
-    pattern = f"%{term}%"
+    pattern = like_pattern(term)
     return articles.filter(
         F.col("title").ilike(pattern) | F.col("summary").ilike(pattern) | F.col("full_content").ilike(pattern)
     )
@@ -117,7 +127,7 @@ def by_posted_status(articles: DataFrame, posted: bool, limit: int, offset: int
 
 
 def url_pattern_match(articles: DataFrame, pattern: str) -> DataFrame:
-    return articles.filter(F.col("url").ilike(f"%{pattern}%")).select("id", "url").orderBy(F.col("id").asc_nulls_last())
+    return articles.filter(F.col("url").ilike(like_pattern(pattern))).select("id", "url").orderBy(F.col("id").asc_nulls_last())
 
 
 def latest_fetched(articles: DataFrame, limit: str | int | None = None) -> DataFrame:

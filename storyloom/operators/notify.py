@@ -19,7 +19,7 @@ TITLE_BYTES = 256
 DESCRIPTION_BYTES = 300
 MESSAGE_BYTES = 2_000
 EMBED_COLOR = 0x5865F2
-JSON_ESCAPES = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e"}
+JSON_ESCAPES = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028", "\u2029": "\\u2029"}
 SENDER_NAME = "storyloom"
 
 

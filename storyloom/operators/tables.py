@@ -133,13 +133,16 @@ def keyed_update(
     now: datetime | None = None,
     fixed: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """UPDATE ... WHERE key matches. ``updates`` has one row per key; ``fixed`` sets constants."""
+    """UPDATE ... WHERE key matches; ``fixed`` sets constants.
+
+    A key that ``updates`` repeats takes the largest of its rows, so the table keeps its number of rows.
+    """
     fixed = dict(fixed or {})
     if now is not None and "updated_at" in table.columns:
         fixed["updated_at"] = F.lit(now).cast("timestamp")
-    new = updates.select(
-        F.col(key), *[F.col(c).alias(f"_new_{c}") for c in set_columns], F.lit(True).alias("_hit")
-    )
+    # Grouped by the key that the join needs anyway: no further shuffle.
+    folded = updates.groupBy(key).agg(F.max(F.struct(F.lit(True).alias("_hit"), *set_columns)).alias("_new"))
+    new = folded.select(key, *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in set_columns], F.col("_new._hit").alias("_hit"))
     hit = F.col("_hit").isNotNull()
     out = []
     for c in table.columns:

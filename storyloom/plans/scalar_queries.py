@@ -338,7 +338,7 @@ def _(spark, sf):
     return page_scan(d.page_fetches(spark, sf))
 
 
-@query("extract_main_content", "SELECT page_id, content FROM page_contents")
+@query("extract_main_content", "SELECT page_id, body AS content FROM page_texts")
 def _(spark, sf):
     return d.base(spark, sf, "pages").select("page_id", extract_main_content(F.col("html")).alias("content"))
 

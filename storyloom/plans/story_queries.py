@@ -29,7 +29,7 @@ def _(spark, sf):
         ORDER BY publish_date DESC NULLS FIRST, id LIMIT 200""",
 )
 def _(spark, sf):
-    rows = cluster.pending_embedding(d.articles(spark, sf, vectors=True), d.ARTICLE_NOW)
+    rows = cluster.pending_embedding(d.articles(spark, sf, vectors=True), d.ARTICLE_NOW, batch=cluster.EMBED_BATCH_SIZE)
     return rows.select("id", "publish_date")
 
 
@@ -56,7 +56,7 @@ def _(spark, sf):
         AND story_cluster_id IS NULL AND summary_embedding IS NOT NULL""",
 )
 def _(spark, sf):
-    rows = cluster.unclustered(d.articles(spark, sf, vectors=True), d.ARTICLE_NOW)
+    rows = cluster.unclustered(d.articles(spark, sf, vectors=True), d.ARTICLE_NOW, batch=cluster.EMBED_BATCH_SIZE)
     return rows.select("id", "publish_date")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +21,24 @@ def cluster_stream(
     articles: DataFrame,
     assignments_path: str,
     checkpoint: str,
+    now: Callable[[], datetime],
     threshold: float = SIMILARITY_THRESHOLD,
     window_days: int = CLUSTER_WINDOW_DAYS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """``articles``: id, publish_date, summary_embedding. Appends assignments to ``assignments_path``.
 
-    Each batch meets the seeds stored by earlier batches. The window ends at the newest article of
-    the batch; older articles are late and never cluster. Rows already assigned are skipped, so a
-    replayed batch changes nothing.
+    Each batch meets the seeds stored by earlier batches. The window reaches back from ``now()``, asked
+    once a batch; articles before it are late and never cluster, articles with dates to come do. Rows
+    already assigned are skipped, so a replayed batch changes nothing.
     """
     spark = articles.sparkSession
     append(spark.createDataFrame([], ASSIGNMENTS), assignments_path)
 
     def cycle(batch: DataFrame, _: int) -> None:
         stored = batch.sparkSession.read.schema(ASSIGNMENTS).parquet(assignments_path)
-        newest = batch.agg(F.max("publish_date")).first()[0]
-        if newest is None:
-            return
-        recent = F.col("publish_date") >= F.lit(newest - timedelta(days=window_days))
+        batch.persist()
+        recent = F.col("publish_date") >= F.lit(now() - timedelta(days=window_days))
         fresh = batch.filter(recent & F.col("summary_embedding").isNotNull()).join(
             stored.select("id"), "id", "left_anti"
         )
@@ -46,6 +46,7 @@ def cluster_stream(
         assigned = leader_cluster(article_vectors(fresh), threshold, article_vectors(known))
         append(assigned.join(fresh, "id").select("id", "story_cluster_id", "publish_date", "summary_embedding"),
                assignments_path)
+        batch.unpersist()
 
     writer = articles.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": CYCLE_INTERVAL})).start()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from storyloom.operators.admission import (
@@ -14,6 +17,7 @@ from storyloom.operators.admission import (
     as_articles,
     feed_run_summary,
     linked_rows,
+    stored_link,
     with_page_text,
 )
 from storyloom.schemas import ARTICLES
@@ -36,10 +40,13 @@ def admit_batch(
     ``pages``: url, html of fetched pages; without a page the item's description is the content.
     """
     statuses = admission_status(items, stored_urls, cutoff, initiation)
-    accepted = statuses.filter(F.col("status") == PROCESSED)
+    return statuses, article_rows(statuses.filter(F.col("status") == PROCESSED), now, pages)
+
+
+def article_rows(accepted: DataFrame, now: datetime, pages: DataFrame | None) -> DataFrame:
     if pages is None:
-        return statuses, as_articles(accepted.withColumn("content", F.col("description")), now)
-    return statuses, as_articles(with_page_text(accepted, linked_rows(items, pages)), now)
+        return as_articles(accepted.withColumn("content", F.col("description")), now)
+    return as_articles(with_page_text(accepted, linked_rows(accepted, pages)), now)
 
 
 def ingest_stream(
@@ -48,34 +55,58 @@ def ingest_stream(
     checkpoint: str,
     cutoff: datetime,
     initiation: datetime,
-    now: datetime,
+    now: Callable[[], datetime],
     trigger: dict | None = None,
-    pages: DataFrame | None = None,
+    pages: Callable[[], DataFrame] | None = None,
     log_path: str | None = None,
 ) -> StreamingQuery:
     """Append admitted items to ``table_path``. The table itself is the memory of seen urls.
 
-    With ``log_path``, every batch adds a fetch-log row per feed it held items of. A replayed batch finds its urls stored and appends nothing twice; a batch that failed to save
-    left no rows, so its items are tried again. Article ids are given when the table is compacted.
+    ``now`` and ``pages`` are asked once a batch, so that times move on and pages landed since are seen.
+    With ``log_path``, every batch writes a fetch-log row per feed it held items of, in a folder of its own
+    (``run``). A batch first writes down what it decided on each item. Replayed after a failure at any
+    later point, it keeps to that: urls that got stored are not appended again and its log is written
+    over. Article ids are given when the table is compacted.
     """
     spark = items.sparkSession
     schema = type(ARTICLES)([f for f in ARTICLES if f.name != "id"])
     append(spark.createDataFrame([], schema), table_path)  # an empty file, so that the path exists
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        stored = linked_rows(batch, read_table(batch.sparkSession, table_path, schema).select("url"))
-        # The stored files were listed above, so statuses stay the same after the append.
-        statuses, rows = admit_batch(batch, stored, cutoff, initiation, now, pages)
-        append(rows, table_path)
+    def save(batch: DataFrame, run: int) -> None:
+        at = now()
+        stored = read_table(batch.sparkSession, table_path, schema).select("url")
+        # Two slots in turn: that of the last batch is no longer needed.
+        decided = _decisions(batch, stored, cutoff, initiation, f"{checkpoint}/decided/{run % 2}", run)
+        accepted = decided.filter(F.col("status") == PROCESSED)
+        fresh = accepted.withColumn("url", stored_link(F.col("link")))
+        fresh = fresh.join(linked_rows(accepted, stored), "url", "left_anti").drop("url")
+        append(article_rows(fresh, at, pages() if pages else None), table_path)
         if log_path is not None:
-            append(batch_log(statuses, now), log_path)
-        batch.unpersist()
+            batch_log(decided, at).write.mode("overwrite").parquet(f"{log_path}/run={run}")
 
     writer = items.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": POLL_INTERVAL})).start()
 
 
+def _decisions(
+    batch: DataFrame, stored: DataFrame, cutoff: datetime, initiation: datetime, folder: str, run: int
+) -> DataFrame:
+    """The batch's items with ``status``, as decided when the batch was first seen."""
+    spark = batch.sparkSession
+    schema = T.StructType([*batch.schema.fields, T.StructField("status", T.StringType()), T.StructField("_run", T.LongType())])
+    try:
+        kept = spark.read.schema(schema).parquet(folder)
+        first = kept.select("_run").first()
+    except AnalysisException:  # no such folder yet
+        first = None
+    if first is None or first["_run"] != run:
+        batch.persist()
+        statuses = admission_status(batch, linked_rows(batch, stored), cutoff, initiation)
+        statuses.withColumn("_run", F.lit(run).cast("long")).write.mode("overwrite").parquet(folder)
+        batch.unpersist()
+    return spark.read.schema(schema).parquet(folder).drop("_run")
+
+
 def batch_log(statuses: DataFrame, now: datetime) -> DataFrame:
     """Fetch-log rows of one batch: how many items each feed had and how many were new."""
     fetched = feed_run_summary(statuses).filter(F.col("feed_url").isNotNull())
@@ -90,7 +121,12 @@ def batch_log(statuses: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def bounded_dedup(items: DataFrame, delay: str = "35 days") -> DataFrame:
-    """Stream variant with bounded memory: one item per link within the watermark."""
+def bounded_dedup(items: DataFrame, arrived: Column, delay: str = "35 days") -> DataFrame:
+    """Stream variant with bounded memory: one item per stored link within the watermark.
+
+    An item counts from its publish date or from when it ``arrived``, whichever is earlier: a date to come
+    must not move the watermark past everything else.
+    """
     dated = items.filter(F.col("published").isNotNull() & (F.coalesce("link", F.lit("")) != ""))
-    return dated.withWatermark("published", delay).dropDuplicatesWithinWatermark(["link"])
+    timed = dated.withColumn("_at", F.least("published", arrived)).withColumn("_stored", stored_link(F.col("link")))
+    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["_stored"]).drop("_at", "_stored")

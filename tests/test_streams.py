@@ -1,11 +1,15 @@
 from datetime import datetime, timedelta, timezone
 
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
 from storyloom.operators.breaker import breaker_replay
 from storyloom.schemas import ITEMS
 from storyloom.sources.feeds import stream_feed_files
 from storyloom.streaming.alerts import breaker_stream
 from storyloom.streaming.clusters import ASSIGNMENTS, cluster_stream
-from storyloom.streaming.ingest import ingest_stream
+from storyloom.streaming.ingest import bounded_dedup, ingest_stream
 
 DRAIN = {"availableNow": True}
 T0 = datetime(2025, 6, 1, tzinfo=timezone.utc)
@@ -21,7 +25,7 @@ def test_ingest_skips_what_is_stored_and_survives_a_replay(spark, tmp_path):
 
     def run(state):
         items = spark.readStream.schema(ITEMS).parquet(landing)
-        ingest_stream(items, out, str(tmp_path / state), T0, EARLY, T0, DRAIN).awaitTermination()
+        ingest_stream(items, out, str(tmp_path / state), T0, EARLY, lambda: T0, DRAIN).awaitTermination()
         return sorted(r.url for r in spark.read.parquet(out).collect())
 
     land(spark, [("f", 0, "a", "t", T0, "d"), ("g", 0, "a", "t", T0, "d"), ("f", 1, "old", "t", EARLY, "d")], ITEMS, landing)
@@ -45,7 +49,7 @@ def test_landed_feed_documents_become_articles_with_page_text(spark, tmp_path):
 
     def run():
         items = stream_feed_files(spark, str(landing), 1)
-        ingest_stream(items, out, str(tmp_path / "state"), T0, EARLY, T0, DRAIN, pages, log).awaitTermination()
+        ingest_stream(items, out, str(tmp_path / "state"), T0, EARLY, lambda: T0, DRAIN, lambda: pages, log).awaitTermination()
         return {r.url[-1]: r.full_content for r in spark.read.parquet(out).collect()}
 
     (landing / "one.xml").write_text(rss(("a", new), ("b", new), ("z", old)))
@@ -62,7 +66,7 @@ def test_clusters_grow_over_batches(spark, tmp_path):
 
     def run():
         arts = spark.readStream.schema(schema).parquet(landing)
-        cluster_stream(arts, out, str(tmp_path / "state"), 0.85, 35, DRAIN).awaitTermination()
+        cluster_stream(arts, out, str(tmp_path / "state"), lambda: T0, 0.85, 35, DRAIN).awaitTermination()
         return {r.id: r.story_cluster_id for r in spark.read.schema(ASSIGNMENTS).parquet(out).collect()}
 
     hour = timedelta(hours=1)
@@ -70,6 +74,52 @@ def test_clusters_grow_over_batches(spark, tmp_path):
     assert run() == {1: 1, 2: 1}
     land(spark, [(4, T0 + 2 * hour, [0.0, 1.0]), (5, T0 + 3 * hour, [1.0, 0.05])], schema, landing)
     assert run() == {1: 1, 2: 1, 4: 4, 5: 1}
+    future = T0 + timedelta(days=27_000)
+    land(spark, [(6, future, [1.0, 0.01]), (7, T0 + 4 * hour, [0.99, 0.0])], schema, landing)
+    assert run() == {1: 1, 2: 1, 4: 4, 5: 1, 6: 1, 7: 1}
+    land(spark, [(8, T0 + 5 * hour, [0.01, 1.0])], schema, landing)
+    assert run()[8] == 4
+
+
+def test_a_date_to_come_does_not_close_the_watermark(spark, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+
+    def run():
+        stream = bounded_dedup(spark.readStream.schema(ITEMS).parquet(landing), F.lit(T0))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+        query.outputMode("append").trigger(**DRAIN).start().awaitTermination()
+        return sorted(r.link for r in spark.read.parquet(out).collect())
+
+    future, day = T0 + timedelta(days=27_000), timedelta(days=1)
+    for link, at in (("a", future), ("b", T0 - 9 * day), ("c", T0 - 8 * day), ("b\ufffd", T0 - 7 * day)):
+        land(spark, [("f", 0, link, "t", at, "d")], ITEMS, landing)
+        found = run()
+    assert found == ["a", "b", "c"]
+
+
+def test_a_failure_between_the_appends_changes_nothing(spark, tmp_path, monkeypatch):
+    from storyloom.streaming import ingest
+
+    landing, out, log = (str(tmp_path / x) for x in ("landing", "articles", "log"))
+    land(spark, [("f", 0, "a", "t", T0, "d"), ("f", 1, "a\ufffd", "t", T0, "d"), ("g", 0, "b", "t", T0, "d")], ITEMS, landing)
+
+    def run():
+        items = spark.readStream.schema(ITEMS).parquet(landing)
+        ingest_stream(items, out, str(tmp_path / "state"), T0, EARLY, lambda: T0, DRAIN, None, log).awaitTermination()
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ingest, "batch_log", broken)
+        with pytest.raises(StreamingQueryException):
+            run()
+    assert spark.read.parquet(out).count() == 2
+    for _ in range(2):
+        run()
+    assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    logged = sorted((r.run, r.feed_url, r.articles_found, r.new_articles) for r in spark.read.parquet(log).collect())
+    assert logged == [(0, "f", 2, 1), (0, "g", 1, 1)]
 
 
 def test_breaker_state_carries_over_batches(spark, tmp_path):

@@ -61,10 +61,18 @@ def parse_multi_timestamp(text: Column, default: Column) -> Column:
 
 
 def parse_feed_time(text: Column) -> Column:
-    """RFC 822 or RFC 3339 feed dates as UTC instants; zone names use fixed offsets."""
-    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]+,\s*", "")
+    """RFC 822 or RFC 3339 feed dates as UTC instants; zone names use fixed offsets, unknown ones none.
+
+    Days may be named, months long or short, years of two digits (69 and later: last century), and blanks
+    hyphens.
+    """
+    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]+,?\s+(?=\d)", "")
+    plain = F.regexp_replace(plain, r"^(\d{1,2})[- ]([A-Za-z]{3})[a-z]*\.?[- ](\d{2}|\d{4})(?= )", "$1 $2 $3")
+    plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3}) (69|[7-9]\d)(?= )", "$1 19$2")
+    plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3}) (\d\d)(?= )", "$1 20$2")
     for name, offset in ZONE_OFFSETS.items():
         plain = F.regexp_replace(plain, rf"\s{name}$", f" {offset}")
+    plain = F.regexp_replace(plain, r"(?<=\d) [A-Z]{3,5}$", " +0000")
     rfc822 = F.when(
         plain.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d(:\d\d)? [+-]\d{4}$"),
         F.coalesce(

@@ -145,6 +145,7 @@ def embed_rows(rows: DataFrame, embedder: Embedder = word_hash_vector) -> DataFr
                     ids.append(r.id)
                 except Exception:  # retried in the next cycle
                     continue
-            yield pd.DataFrame({"id": ids, "summary_embedding": vectors})
+            if ids:  # a batch may consist of failures alone
+                yield pd.DataFrame({"id": ids, "summary_embedding": vectors})
 
     return rows.select("id", "summary").mapInPandas(run, "id long, summary_embedding array<float>")

@@ -14,7 +14,7 @@ SOLVER_SCHEMA = "status string, message string, solution struct<status: int, res
 SOLVER_OK, SOLVER_HTTP_OK = "ok", 200
 
 _LINK = "struct<_href: string, _rel: string, _VALUE: string>"
-RSS_ITEM = "struct<title: string, link: string, pubDate: string, description: string>"
+RSS_ITEM = "struct<title: string, link: string, pubDate: string, `dc:date`: string, description: string>"
 ATOM_ENTRY = f"struct<title: string, link: array<{_LINK}>, published: string, updated: string, summary: string>"
 
 
@@ -35,10 +35,33 @@ def solver_response(envelope: Column) -> Column:
     return F.when(ok, answer["solution"]["response"])
 
 
+#: What may stand before the root element, and the root: prefix and name.
+_PROLOG = r"(?s)^(?:\s|\ufeff|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>)*"
+_ROOT = _PROLOG + r"<(?:([\w.-]+):)?([\w.-]+)"
+
+
+def feed_kind(xml: Column) -> Column:
+    """``rss``, ``rdf`` or ``atom`` by the root element alone, NULL for anything else."""
+    name = F.lower(F.regexp_extract(xml, _ROOT, 2))
+    return F.when(name == "rss", "rss").when(name == "rdf", "rdf").when(name == "feed", "atom")
+
+
+def _unprefixed(xml: Column) -> Column:
+    """Elements of a prefixed Atom document without their prefix."""
+    prefix = F.regexp_extract(xml, _ROOT, 1)
+    pattern = F.concat(F.lit("<(/?)"), prefix, F.lit(":"))
+    return F.when(prefix == "", xml).otherwise(F.regexp_replace(xml, pattern, F.lit("<$1")))
+
+
 def _rss_items(xml: Column) -> Column:
     return F.from_xml(xml, f"channel struct<item: array<{RSS_ITEM}>>")["channel"]["item"]
 
 
+def _rdf_items(xml: Column) -> Column:
+    """RSS 1.0: items stand beside the channel."""
+    return F.from_xml(xml, f"item array<{RSS_ITEM}>")["item"]
+
+
 def _atom_entries(xml: Column) -> Column:
     return F.from_xml(xml, f"entry array<{ATOM_ENTRY}>")["entry"]
 
@@ -47,7 +70,7 @@ def _rss_fields(item: Column) -> Column:
     return F.struct(
         item["title"].alias("title"),
         item["link"].alias("link"),
-        item["pubDate"].alias("published"),
+        F.coalesce(item["pubDate"], item["dc:date"]).alias("published"),
         item["description"].alias("description"),
     )
 
@@ -62,12 +85,27 @@ def _atom_fields(entry: Column) -> Column:
     )
 
 
+def parse_outcomes(documents: DataFrame) -> DataFrame:
+    """(feed_url, status, message): whether each document is a feed that can be read."""
+    readable = feed_kind(F.col("xml")).isNotNull()
+    return documents.select(
+        "feed_url",
+        F.when(readable, "success").otherwise("error").alias("status"),
+        F.when(readable, "").otherwise("parse_failed").alias("message"),
+    )
+
+
 def parse_feeds(documents: DataFrame) -> DataFrame:
-    """(feed_url, xml) to one row per item, RSS 2.0 and Atom alike, in document order."""
-    items = F.when(
-        F.contains("xml", F.lit("<feed")) & ~F.contains("xml", F.lit("<rss")),
-        F.transform(_atom_entries(F.col("xml")), _atom_fields),
-    ).otherwise(F.transform(_rss_items(F.col("xml")), _rss_fields))
+    """(feed_url, xml) to one row per item, RSS 2.0, RSS 1.0 and Atom alike, in document order.
+
+    Documents of other kinds have no items; ``parse_outcomes`` tells which they are.
+    """
+    xml, kind = F.col("xml"), feed_kind(F.col("xml"))
+    items = (
+        F.when(kind == "atom", F.transform(_atom_entries(_unprefixed(xml)), _atom_fields))
+        .when(kind == "rdf", F.transform(_rdf_items(xml), _rss_fields))
+        .when(kind == "rss", F.transform(_rss_items(xml), _rss_fields))
+    )
     return documents.select("feed_url", F.posexplode(items).alias("item_no", "item")).select(
         "feed_url",
         F.col("item_no").cast("long").alias("item_no"),

@@ -2,6 +2,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from storyloom.functions.time import parse_feed_time
 from storyloom.functions.text import SUMMARY_UNAVAILABLE
 from storyloom.operators import cluster, summarize
 from storyloom.sources import feeds
@@ -41,6 +42,40 @@ def test_rss_and_atom_documents(spark, tmp_path):
     ]
 
 
+RDF = """<?xml version="1.0"?><!-- <rss> --><rdf:RDF xmlns:rdf="r" xmlns="http://purl.org/rss/1.0/" xmlns:dc="d">
+<channel><title>c</title></channel><item><title>R</title><link>https://e.example/4</link>
+<dc:date>2025-07-01T10:00:00Z</dc:date></item></rdf:RDF>"""
+PREFIXED = """<atom:feed xmlns:atom="http://www.w3.org/2005/Atom"><atom:entry><atom:title>P</atom:title>
+<atom:link href="https://e.example/5"/><atom:updated>2025-07-01T10:00:00Z</atom:updated></atom:entry></atom:feed>"""
+CDATA = ATOM.replace("<summary>sum</summary>", "<summary><![CDATA[about <rss version='2.0'> feeds]]></summary>")
+DC = RSS.replace("<pubDate>Tue, 01 Jul 2025 08:00:00 EST</pubDate>", "<dc:date>2025-07-01T13:00:00Z</dc:date>")
+
+
+def test_other_feed_shapes(spark):
+    shapes = [("rdf", RDF), ("prefixed", PREFIXED), ("cdata", CDATA), ("dc", DC), ("page", "<html><feed/></html>"), ("none", None)]
+    documents = spark.createDataFrame(shapes, "feed_url string, xml string")
+    got = feeds.parse_feeds(documents).withColumn("published", F.col("published").cast("timestamp_ntz")).collect()
+    assert sorted((r.feed_url, r.item_no, r.link, r.title, r.published and r.published.hour) for r in got) == [
+        ("cdata", 0, "https://e.example/3", "Entry", 8),
+        ("dc", 0, "https://e.example/1", "One & only", 13),
+        ("dc", 1, "https://e.example/2", "Undated", None),
+        ("prefixed", 0, "https://e.example/5", "P", 10),
+        ("rdf", 0, "https://e.example/4", "R", 10),
+    ]
+    failed = {r.feed_url for r in feeds.parse_outcomes(documents).collect() if r.message == "parse_failed"}
+    assert failed == {"page", "none"}
+
+
+def test_feed_dates(apply):
+    forms = [
+        "Tue, 01 Jul 2025 08:00:00 EST", "01-Jul-25 13:00:00 GMT", "1 July 2025 13:00 +0000", "Tuesday, 01-Jul-25 13:00:00 UTC",
+        "Tue 1 Jul 2025 13:00:00 CEST", "2025-07-01T15:00:00+02:00", "01 Jul 99 13:00 GMT", "soon",
+    ]
+    got = apply(forms, "string", lambda c: parse_feed_time(c).cast("timestamp_ntz"))
+    at = datetime(2025, 7, 1, 13)
+    assert got == [at] * 6 + [at.replace(year=1999), None]
+
+
 def test_rss_files_split_by_the_reader(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RSS)
     rows = feeds.read_rss_files(spark, str(tmp_path)).collect()

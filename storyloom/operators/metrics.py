@@ -5,7 +5,7 @@ Logs keep every event, so an increase is a filtered count and needs no reset han
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -19,6 +19,7 @@ DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 SUMMARY_BOUNDS = (0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 15.0, 30.0, 60.0)
 WEBHOOK_BOUNDS = (0.01, 0.05, 0.1, 0.5, 1.0, 2.5, 5.0, 10.0)
 PROCESSING_BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
+STAGE_BOUNDS = {"fetch": DEFAULT_BOUNDS, "summary": SUMMARY_BOUNDS, "delivery": WEBHOOK_BOUNDS}
 SUCCESS_TARGETS = {"fetch": 0.97, "save": 0.98, "delivery": 0.99, "summary": 0.99}
 FETCH_ERROR_TYPES = {
     "Circuit breaker is open": "circuit_breaker_open",
@@ -227,10 +228,18 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float) -> D
     return rows.groupBy(*labels).agg(F.min_by(value, "_bound").alias("quantile"))
 
 
-def latency_p95(events: DataFrame, now: datetime, window: timedelta, bounds: Sequence[float]) -> DataFrame:
-    """95th percentile per stage over the trailing window, from histogram buckets."""
+def latency_p95(
+    events: DataFrame,
+    now: datetime,
+    window: timedelta,
+    bounds: Mapping[str, Sequence[float]] = STAGE_BOUNDS,
+) -> DataFrame:
+    """95th percentile per stage over the trailing window, from the buckets of each stage's own histogram."""
     recent = _trailing(events, now, window)
-    buckets = latency_histogram(recent, F.col("seconds"), ["stage"], bounds)
+    every = sorted({b for own in bounds.values() for b in own})
+    buckets = latency_histogram(recent, F.col("seconds"), ["stage"], every)
+    own = [(F.col("stage") == s) & F.col("le").isin([*map(_bound_text, bs), "+Inf"]) for s, bs in bounds.items()]
+    buckets = buckets.filter(reduce(Column.__or__, own))
     return histogram_quantile(buckets, ["stage"], 0.95).withColumnRenamed("quantile", "p95_seconds")
 
 

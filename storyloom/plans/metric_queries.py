@@ -118,11 +118,28 @@ def _(spark, sf):
 
 @query(
     "latency_histogram_delivery",
-    _histogram_sql("webhook_logs", "(latency_ms / 1000)", "response_code", metrics.WEBHOOK_BOUNDS),
-)
+    _histogram_sql(
+        f"(SELECT latency_ms, CASE WHEN {OK_CODE} THEN 'success' ELSE 'error' END AS status FROM webhook_logs)",
+        "(latency_ms / 1000)", "status", metrics.WEBHOOK_BOUNDS,
+    ),
+)
+def _(spark, sf):
+    status = F.when(metrics.delivery_ok(F.col("response_code")), "success").otherwise("error")
+    logs = d.webhook_logs(spark, sf).withColumn("status", status)
+    return metrics.latency_histogram(logs, F.col("latency_ms") / 1000, ["status"], metrics.WEBHOOK_BOUNDS)
+
+
+@query(
+    "latency_histogram_processing",
+    _histogram_sql(
+        f"(SELECT model, duration_ms, {_STATUS2} AS status FROM summary_logs WHERE status <> 'retry_failed')",
+        "(duration_ms / 1000)", "model, status", metrics.PROCESSING_BOUNDS,
+    ),
+)
 def _(spark, sf):
-    logs = d.webhook_logs(spark, sf)
-    return metrics.latency_histogram(logs, F.col("latency_ms") / 1000, ["response_code"], metrics.WEBHOOK_BOUNDS)
+    status = F.when(F.col("status") == "success", "success").otherwise("error")
+    logs = d.summary_logs(spark, sf).filter(F.col("status") != "retry_failed").withColumn("status", status)
+    return metrics.latency_histogram(logs, F.col("duration_ms") / 1000, ["model", "status"], metrics.PROCESSING_BOUNDS)
 
 
 @query(
@@ -204,9 +221,10 @@ def _(spark, sf):
 
 P95_SQL = f"""WITH ev AS (SELECT * FROM ({EVENTS_SQL}) WHERE ts > {L} - INTERVAL 1 DAY AND ts <= {L}
       AND seconds IS NOT NULL),
-    bounds AS (SELECT unnest([{', '.join(map(str, metrics.SUMMARY_BOUNDS))}]::DOUBLE[]) AS b),
+    bounds AS ({' UNION ALL '.join(f"SELECT '{s}' AS stage, unnest([{', '.join(map(str, b))}]::DOUBLE[]) AS b"
+                                   for s, b in metrics.STAGE_BOUNDS.items())}),
     cum AS (SELECT stage, b, count(*) FILTER (WHERE seconds <= b) AS n, count(*) AS total
-      FROM ev, bounds GROUP BY 1, 2),
+      FROM ev JOIN bounds USING (stage) GROUP BY 1, 2),
     steps AS (SELECT stage, b, n, total * 0.95::DOUBLE AS want, lag(b, 1, 0) OVER w AS pb, lag(n, 1, 0) OVER w AS pn
       FROM cum WINDOW w AS (PARTITION BY stage ORDER BY b))
     SELECT stage, coalesce(arg_min(pb + (b - pb) * ((want - pn) / (n - pn)), b) FILTER (WHERE n >= want), max(b))
@@ -215,7 +233,7 @@ P95_SQL = f"""WITH ev AS (SELECT * FROM ({EVENTS_SQL}) WHERE ts > {L} - INTERVAL
 
 @query("latency_p95", P95_SQL)
 def _(spark, sf):
-    return metrics.latency_p95(_stage_events(spark, sf), d.LOG_NOW, DAY, metrics.SUMMARY_BOUNDS)
+    return metrics.latency_p95(_stage_events(spark, sf), d.LOG_NOW, DAY)
 
 
 @query(
@@ -371,14 +389,14 @@ def _(spark, sf):
     return alerts.alert_payloads(edges).select(*columns)
 
 
-VOLUME_SQL = """WITH ticks AS (SELECT feed_url, t FROM (SELECT DISTINCT feed_url FROM articles WHERE feed_url IS NOT NULL),
-      (SELECT unnest(generate_series(TIMESTAMP '2025-06-01', TIMESTAMP '2025-07-15', INTERVAL 1 HOUR)) AS t)),
-    s AS (SELECT k.feed_url, t, count(a.ts) FILTER (WHERE a.ts > t - INTERVAL 1 DAY) AS d1, count(a.ts) AS d2
-      FROM ticks k LEFT JOIN (SELECT feed_url, created_at AS ts FROM save_logs WHERE status = 'processed') a
-        ON a.feed_url = k.feed_url AND a.ts > t - INTERVAL 2 DAY AND a.ts <= t GROUP BY ALL),
-    f AS (SELECT 'DailyArticleProcessingLow' AS rule, feed_url AS series, t, 6 AS hold FROM s WHERE d1 < 5
-      UNION ALL SELECT 'NoArticlesProcessedToday', feed_url, t, 3 FROM s WHERE d1 = 0
-      UNION ALL SELECT 'ArticleDatabaseGrowthStalled', feed_url, t, 1 FROM s WHERE d2 = 0)
+VOLUME_SQL = """WITH ticks AS (SELECT 'success' AS series,
+      unnest(generate_series(TIMESTAMP '2025-06-01', TIMESTAMP '2025-07-15', INTERVAL 1 HOUR)) AS t),
+    s AS (SELECT series, t, count(a.ts) FILTER (WHERE a.ts > t - INTERVAL 1 DAY) AS d1, count(a.ts) AS d2
+      FROM ticks k LEFT JOIN (SELECT created_at AS ts FROM save_logs WHERE status = 'processed') a
+        ON a.ts > t - INTERVAL 2 DAY AND a.ts <= t GROUP BY ALL),
+    f AS (SELECT 'DailyArticleProcessingLow' AS rule, series, t, 6 AS hold FROM s WHERE d1 < 5
+      UNION ALL SELECT 'NoArticlesProcessedToday', series, t, 3 FROM s WHERE d1 = 0
+      UNION ALL SELECT 'ArticleDatabaseGrowthStalled', series, t, 1 FROM s WHERE d2 = 0)
     SELECT rule, series, min(t) AS pending_since, min(t) + to_hours(CAST(hold AS BIGINT)) AS fired_at
     FROM (SELECT *, t - to_hours(row_number() OVER (PARTITION BY rule, series ORDER BY t)) AS island FROM f)
     GROUP BY rule, series, hold, island HAVING max(t) - min(t) >= to_hours(CAST(hold AS BIGINT))"""
@@ -386,17 +404,19 @@ VOLUME_SQL = """WITH ticks AS (SELECT feed_url, t FROM (SELECT DISTINCT feed_url
 
 @query("alert_volume", VOLUME_SQL)
 def _(spark, sf):
-    saved = d.save_logs(spark, sf).filter(F.col("feed_url").isNotNull())
-    events = saved.filter(F.col("status") == "processed").select("feed_url", F.col("created_at").alias("ts"))
+    # One series over all feeds, as the counter has no feed label.
+    saved = d.save_logs(spark, sf).withColumn("status", F.lit("success")).select("status", "created_at")
+    processed = d.save_logs(spark, sf).filter(F.col("status") == "processed")
+    events = processed.select(F.lit("success").alias("status"), F.col("created_at").alias("ts"))
     start, end = datetime(2025, 6, 1, tzinfo=timezone.utc), datetime(2025, 7, 15, tzinfo=timezone.utc)
     hour = timedelta(hours=1)
 
     def samples(days):
-        grown = metrics.sliding_increase(events, ["feed_url"], days * DAY, hour)
-        full = alerts.on_ticks(grown, ["feed_url"], saved, start, end, hour)
+        grown = metrics.sliding_increase(events, ["status"], days * DAY, hour)
+        full = alerts.on_ticks(grown, ["status"], saved, start, end, hour)
         return full.select(
             F.lit(f"increase(articles_processed_total[{days}d])").alias("metric"),
-            F.col("feed_url").alias("series"),
+            F.col("status").alias("series"),
             "tick",
             F.col("increase").cast("double").alias("value"),
         )

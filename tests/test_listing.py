@@ -132,3 +132,25 @@ def test_feed_times(apply):
     got = apply(texts, "string", lambda c: F.date_format(tm.parse_feed_time(c), "yyyy-MM-dd HH:mm"))
     assert got == ["2026-07-15 15:00", "2026-07-15 10:00", "2024-05-01 09:00", "2026-07-15 10:00",
                    "2026-07-15 08:00", None, None]
+
+
+@pytest.mark.parametrize("bad", ["1_0", " 7 ", "\u0667", "1.0", "", "0", "-3", "9223372036854775808", "0x1"])
+def test_ids_that_are_not_plain_numbers_are_rejected(bad):
+    with pytest.raises(ValueError):
+        ls.parse_article_id(bad)
+
+
+def test_signed_ids_and_limits():
+    assert ls.parse_article_id("+5") == 5 and ls.parse_article_id("9223372036854775807") == 2**63 - 1
+    assert ls.page_limit("1_0", 20, 100) == 20 and ls.page_offset("-1") == 0
+
+
+@pytest.mark.parametrize(
+    ("term", "found"),
+    [(r"C:\windows", ["C:windows now"]), (r"50\%", ["50% off"]), ("50%", ["50 euro", "50% off"]), (r"a\_b", ["a_b"]), (r"x\\y", [r"x\y"]), ("f\\", ["50% of%"])],
+)
+def test_backslashes_in_search_terms(spark, term, found):
+    titles = ["C:windows now", r"C:\windows now", "50% off", "50 euro", "a_b", "acb", r"x\y", "50% of%"]
+    rows = table(spark, [article(i, title=t) for i, t in enumerate(titles, 1)])
+    got = sorted(r.title for r in ls.search(rows, term).select("title").collect())
+    assert got == sorted(set(found) | ({"50% of%"} if "50" in term else set()))

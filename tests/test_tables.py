@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from storyloom.operators import notify, reextract, stats, tables
 from storyloom.operators.ordering import number_rows
 from storyloom.schemas import ARTICLES, WEBHOOK_LOGS
+from storyloom.sources.pages import latest_pages
 from test_listing import NOW, article, table
 
 LATER = NOW + timedelta(hours=1)
@@ -170,3 +171,15 @@ def test_reextract_outcomes(spark):
 def test_schema_of_the_article_table(spark):
     assert table(spark, []).schema == ARTICLES
     assert datetime(2026, 7, 15, 14, 30, tzinfo=timezone.utc) == NOW
+
+
+def test_repeated_update_keys_keep_the_number_of_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    updates = spark.createDataFrame([(1, "c"), (1, "d"), (1, None), (9, "z")], "id long, x string")
+    assert sorted(map(tuple, tables.keyed_update(rows, updates, "id", ["x"]).collect())) == [(1, "d"), (2, "b")]
+
+
+def test_of_several_fetches_of_a_page_the_latest_counts(spark):
+    pages = spark.createDataFrame([("u", "old", 1), ("u", "new", 3), ("v", None, 1), ("v", "x", 2)], "url string, html string, fetched_at int")
+    assert sorted(map(tuple, latest_pages(pages).collect())) == [("u", "new"), ("v", "x")]
+    assert latest_pages(pages.drop("fetched_at")).count() == 2

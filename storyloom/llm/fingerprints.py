@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,9 +118,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = (
         rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("first")).orderBy("bucket").collect()
     )  # one row a bucket
-    schema = "first_id long, first_tie long, host int"
-    hosts = [(r["first"]["doc_id"], r["first"]["tie"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
-    host = F.broadcast(spark.createDataFrame(hosts, schema))
+    hosts = [
+        {"first_id": r["first"]["doc_id"], "first_tie": r["first"]["tie"], "host": firsts[i - 1]["bucket"]}
+        for i, r in enumerate(firsts)
+    ]
+    listed = F.from_json(F.lit(json.dumps(hosts)), "array<struct<first_id: long, first_tie: long, host: int>>")
+    host = F.broadcast(spark.range(1).select(F.inline(listed)))
     guests = rows.join(host, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))
     guests = guests.select("doc_id", "text", "tie", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
     both = rows.select("doc_id", "text", "tie", "bucket", F.lit(0).alias("guest")).unionByName(guests)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import in_batches, parallelism, texts, written
-from storyloom.llm.tokens import Encoder
+from storyloom.llm.tokens import encoder
 
 #: Pieces that are packed together. Shards are drawn at random, so all have the same mix of lengths.
 SHARD_PIECES = 4096
@@ -35,11 +35,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
     """``PIECE`` rows of (doc_id, text): ids by the tokenizer, then ``end_id``, cut if longer than ``capacity``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, np.uint32)
+        held = encoder(tokenizer_path, np.uint32)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
-            found = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            found = held.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 whole = memoryview(ids + end)
                 at = 0

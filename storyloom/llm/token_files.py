@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import in_batches, parallelism, texts
-from storyloom.llm.tokens import Encoder
+from storyloom.llm.tokens import encoder
 from storyloom.session import shared_folder
 
 #: Tokens of a file that are looked at together when it is read back, and documents of a batch.
@@ -70,7 +70,7 @@ def write_tokens(
         store, path = _open(folder)
         store.create_dir(path)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        encoder = Encoder(tokenizer_path, dtype.type)
+        held = encoder(tokenizer_path, dtype.type)
         end = np.array([end_id], dtype).tobytes()
         n_docs = n_null = n_tokens = 0
         with (
@@ -80,7 +80,7 @@ def write_tokens(
         ):
             offsets.write(np.array([0], "<u8").tobytes())
             for batch in batches:
-                found = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+                found = held.encode([t or "" for t in batch.column("text").to_pylist()])
                 sizes = np.array([len(x) // dtype.itemsize + 1 for x in found], np.int64)
                 tokens.write(end.join([*found, b""]))
                 offsets.write((n_tokens + np.cumsum(sizes)).astype("<u8").tobytes())

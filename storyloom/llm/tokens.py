@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker keeps; the memory is started afresh when it is full.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 500_000
 #: Longer pieces are encoded but not kept, so that the memory is bounded in bytes as well.
 KEPT_CHARS = 64
 
@@ -99,3 +100,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers, one after the other."""
         return [b"".join(map(self.kept.__getitem__, self.cut(t))) for t in texts]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, dtype: type[np.unsignedinteger]) -> Encoder:
+    """The encoder of this worker process, kept from task to task with the pieces that it knows."""
+    return Encoder(path, dtype)

@@ -306,12 +306,12 @@ def similar_groups(
     without words. ``key`` must be the same for equal texts only.
     """
     marked = written(fingerprints(rows, width, lanes), "simhash")
-    distinct = written(marked.select("fingerprint").distinct(), "simhash-nodes")
+    distinct = written(marked.groupBy("fingerprint").agg(F.min("key").alias("key")), "simhash-nodes")
     mean, deviation = expected_bits(similarity, lanes)
-    pairs = written(closest_pairs(distinct, int(mean + margin * deviation), lanes), "simhash-pairs")
+    pairs = written(closest_pairs(distinct.select("fingerprint"), int(mean + margin * deviation), lanes), "simhash-pairs")
     ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
     # One text a fingerprint, only for those that are in a pair.
-    first = marked.join(ends, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("key").alias("key"))
+    first = distinct.join(ends, "fingerprint", "left_semi")
     chosen = rows.select("key", "text").join(first, "key").dropDuplicates(["fingerprint"])
     chosen = written(_shingled(chosen, width), "simhash-shingles")
     sides = [chosen.select(F.col("fingerprint").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in ("a", "b")]

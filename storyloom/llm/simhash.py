@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ HASHES_AT_ONCE = 1 << 16
 PAIRS_AT_ONCE = 1 << 20
 #: Distinct fingerprints of a tile. Small inputs take smaller tiles, so that tasks stay many.
 MIN_TILE, MAX_TILE, TILES = 1 << 11, 1 << 16, 48
+#: Bytes of shingle hashes of a block of texts that are checked against each other.
+MIN_BLOCK, MAX_BLOCK = 1 << 18, 1 << 23
 
 
 def shingles(text: bytes | None, width: int) -> list[bytes]:
@@ -189,30 +193,6 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
     return in_batches(pairs, work, "a string, b string")
 
 
-def closest_pairs(distinct: DataFrame, radius: int, lanes: int, forests: int = 3) -> DataFrame:
-    """(a, b): pairs of ``distinct`` (fingerprint) within ``radius`` that are worth a closer look.
-
-    Of each pair of tiles ``forests`` minimal spanning forests by differing bits, each without the pairs of
-    those before. Whatever splits a group in two, its closest pairs over the split are among them: if none
-    of those proves similar, hardly any other does. A dense group of n gives ``forests`` x n pairs, not n^2 / 2.
-    """
-    pairs = tile_pairs(distinct, radius, lanes)
-    if pairs is None:
-        return distinct.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).limit(0)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for same, left, right in _each_pair(batches, lanes):
-            kept = np.zeros((0, 3), np.int64)
-            for a, b, gap in _close(left, right, radius, same):
-                kept = _spanning(np.concatenate([kept, np.stack([a, b, gap], axis=1)]), forests)
-            nodes = left if same else np.concatenate([left, right])
-            a, b = kept[:, 0], kept[:, 1] + (0 if same else len(left))
-            yield pa.RecordBatch.from_arrays([_hex(nodes[a]), _hex(nodes[b])], ["a", "b"])
-
-    found = in_batches(pairs, work, "a string, b string")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """All pairs within ``radius`` with their differing bits, a bounded block of comparisons at a time."""
     step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
@@ -301,44 +281,165 @@ def similar_groups(
 
     Groups hold together by links between texts whose sets of ``width`` words have a Jaccard similarity of
     at least ``similarity``. Fingerprints within the bits that such texts differ by, plus ``margin``
-    deviations, are candidates; each link is then checked on the whole texts of one row each, so that no
-    text is linked that is not similar. Texts with one fingerprint are one group, and so are all texts
-    without words. ``key`` must be the same for equal texts only.
+    deviations, are candidates. Of these none is left out: each pair is checked on the shingles of both
+    texts, or its texts are already joined by links that were. Texts with one fingerprint are one group,
+    and so are all texts without words. ``key`` must be the same for equal texts only.
     """
-    marked = written(fingerprints(rows, width, lanes), "simhash")
-    distinct = written(marked.groupBy("fingerprint").agg(F.min("key").alias("key")), "simhash-nodes")
+    marked = written(_sketched(rows, width, lanes), "simhash")
+    firsts = [F.min(c).alias(c) for c in ("fingerprint", "size", "key")]
+    nodes = written(marked.groupBy("node").agg(*firsts), "simhash-nodes")
     mean, deviation = expected_bits(similarity, lanes)
-    pairs = written(closest_pairs(distinct.select("fingerprint"), int(mean + margin * deviation), lanes), "simhash-pairs")
-    ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
-    # One text a fingerprint, only for those that are in a pair.
-    first = distinct.join(ends, "fingerprint", "left_semi")
-    chosen = rows.select("key", "text").join(first, "key").dropDuplicates(["fingerprint"])
-    chosen = written(_shingled(chosen, width), "simhash-shingles")
-    sides = [chosen.select(F.col("fingerprint").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    alike = shared >= similarity * (F.size("a_shingles") + F.size("b_shingles") - shared)
-    linked = written(both.filter(alike).select("a", "b"), "simhash-links")
-    found = components(linked).select(F.col("node").alias("fingerprint"), "root")
-    named = lookup_join(marked, found, "fingerprint", ["key"])
-    return named.withColumn("component", F.coalesce("root", "fingerprint")).drop("fingerprint", "root")
+    radius = int(mean + margin * deviation)
+    near = components(links(nodes.select("fingerprint").distinct(), radius, lanes))
+    near = near.select(F.col("node").alias("fingerprint"), F.col("root").alias("near"))
+    placed = lookup_join(nodes, near, "fingerprint", ["node"]).withColumn("near", F.coalesce("near", "fingerprint"))
+    pairs = _block_pairs(rows, written(placed, "simhash-near"), width)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                block = _Block.of(left, lanes)
+                ends = _checked(block, _Block.of(right, lanes) if right.is_valid else block, radius, similarity)
+                a += ends[0]
+                b += ends[1]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    linked = written(in_batches(pairs, work, "a string, b string"), "simhash-links")
+    named = lookup_join(marked, components(linked), "node", ["key"])
+    return named.withColumn("component", F.coalesce("root", "node")).drop("node", "fingerprint", "size", "root")
+
+
+def _sketched(rows: DataFrame, width: int, lanes: int) -> DataFrame:
+    """``rows`` with (node, fingerprint, size) in place of ``text``: rows of one node are not compared."""
+    others = [c for c in rows.columns if c != "text"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                prints.append("".join(f"{lane:016x}" for lane in fingerprint(text, width, lanes)))
+                sizes.append(len(_hash_set(text, width)))
+            found = [pa.array(prints, pa.string()), pa.array(prints, pa.string()), pa.array(sizes, pa.int64())]
+            own = [batch.column(c) for c in others]
+            yield pa.RecordBatch.from_arrays([*own, *found], [*others, "node", "fingerprint", "size"])
+
+    source = rows.select(*others, F.col("text").cast("binary").alias("text"))
+    kinds = [f"{c} {t}" for c, t in rows.dtypes if c != "text"]
+    return in_batches(source, work, ", ".join([*kinds, "node string", "fingerprint string", "size long"]))
+
+
+def _hash_set(text: bytes | None, width: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    found = shingles(text, width)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
+
+
+def _block_pairs(rows: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """(left, right): blocks of texts to check, one row for each pair of blocks; ``right`` is null for a block itself.
+
+    ``placed`` (node, fingerprint, size, key, near) are the texts; only those of one ``near`` can be similar,
+    and most of these are one block. A large one is cut into blocks of a bounded size, dealt by hash.
+    """
+    spark = rows.sparkSession
+    groups = placed.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    groups = written(groups.filter("n > 1").select("near", (F.col("size") * 8).alias("bytes")), "simhash-groups")
+    block = min(MAX_BLOCK, max(MIN_BLOCK, (groups.agg(F.sum("bytes")).first()[0] or 0) // TILES))
+    groups = groups.select("near", F.ceil(F.greatest("bytes", F.lit(1)) / block).cast("int").alias("parts"))
+    dealt = lookup_join(placed, groups, "near", ["node"]).filter("parts IS NOT NULL")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    # One text a node, only for those that are in a group.
+    chosen = rows.select("key", "text").join(dealt.drop("size", "parts"), "key").dropDuplicates(["node"])
+    packed = _shingled(chosen.drop("key"), width).groupBy("near", "part")
+    packed = written(packed.agg(F.collect_list(F.struct("node", "fingerprint", "shingles")).alias("held")), "simhash-blocks")
+    alone = packed.select("near", "part", F.col("part").alias("part2"), F.col("held").alias("left"))
+    alone = alone.withColumn("right", F.lit(None).cast(packed.schema["held"].dataType))
+    between = (
+        groups.filter("parts > 1")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 2)))
+        .withColumn("part2", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)))
+        .select("near", "part", "part2")
+        .join(packed.withColumnRenamed("held", "left"), ["near", "part"])
+        .join(packed.toDF("near", "part2", "right"), ["near", "part2"])
+        .select(*alone.columns)
+    )
+    spread = alone.union(between).repartition(4 * parallelism(spark), "near", "part", "part2")
+    return spread.select("left", "right")
+
+
+@dataclass
+class _Block:
+    """Texts that travel together: ``hashes[starts[i] : starts[i] + sizes[i]]`` are the shingles of the i-th, in order."""
+
+    nodes: pa.Array
+    prints: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, held: pa.Scalar, lanes: int) -> _Block:
+        nodes, prints, sets = held.values.flatten()
+        sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+        packed = bytes.fromhex("".join(prints.to_pylist()))
+        return cls(nodes, _lanes(packed, lanes), sets.flatten().to_numpy().view(np.uint64), np.cumsum(sizes) - sizes, sizes)
+
+    def similar(self, own: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of the texts ``at`` whose shingles are similar to ``own``."""
+        sizes = self.sizes[at]
+        able = (sizes > 0) & (np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own)))
+        at, sizes = at[able], sizes[able]
+        if not len(at):
+            return at
+        first = np.cumsum(sizes) - sizes
+        theirs = self.hashes[np.repeat(self.starts[at] - first, sizes) + np.arange(sizes.sum())]
+        met = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        shared = np.add.reduceat(met, first, dtype=np.int64)
+        return at[shared >= similarity * (sizes + len(own) - shared)]
+
+
+def _checked(left: _Block, right: _Block, radius: int, similarity: float) -> tuple[list[str], list[str]]:
+    """Links between similar texts of two blocks, or of one with itself, that join what all such links join.
+
+    Every pair within the radius is checked unless links found before have joined it, those of a minimal
+    spanning forest first, as they are the most likely to hold. At most one link less than texts is found.
+    """
+    same = left is right
+    shift = 0 if same else len(left.sizes)
+    parent = np.arange(shift + len(right.sizes))
+    ends: list[np.ndarray] = []
+    for a, b, gap in _close(left.prints, right.prints, radius, same):
+        every = np.stack([a, b, gap], axis=1)
+        for edges in (_spanning(every, 1), every):
+            edges = edges[_roots(parent, edges[:, 0]) != _roots(parent, edges[:, 1] + shift)]
+            edges = edges[np.argsort(edges[:, 0], kind="stable")]
+            for part in np.split(edges, np.nonzero(np.diff(edges[:, 0]))[0] + 1) if len(edges) else []:
+                one, others = part[:1, 0], part[:, 1]
+                others = others[_roots(parent, others + shift) != _roots(parent, one)]
+                own = left.hashes[left.starts[one[0]] : left.starts[one[0]] + left.sizes[one[0]]]
+                found = right.similar(own, others, similarity)
+                # Of those that are joined with each other already, one is enough.
+                roots, first = np.unique(_roots(parent, found + shift), return_index=True)
+                met = np.append(roots, _roots(parent, one))
+                parent[met] = met.min()
+                ends.append(np.stack([np.repeat(one, len(first)), found[first]], axis=1))
+    both = np.concatenate([np.zeros((0, 2), np.int64), *ends])
+    return left.nodes.take(pa.array(both[:, 0])).to_pylist(), right.nodes.take(pa.array(both[:, 1])).to_pylist()
 
 
 def _shingled(docs: DataFrame, width: int) -> DataFrame:
-    """(fingerprint, shingles): the distinct hashes of a text's shingles."""
+    """``docs`` with ``shingles``, the distinct hashes of a text's shingles in order, in place of ``text``."""
+    others = [c for c in docs.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                np.array(sorted({xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)}), np.uint64).view(np.int64)
-                for t in batch.column("text").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("fingerprint"), pa.array(found, pa.list_(pa.int64()))], ["fingerprint", "shingles"]
-            )
+            found = [_hash_set(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
+            own = [batch.column(c) for c in others]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int64()))], [*others, "shingles"])
 
-    source = docs.select("fingerprint", F.col("text").cast("binary").alias("text"))
-    return in_batches(source, work, "fingerprint string, shingles array<long>")
+    source = docs.select(*others, F.col("text").cast("binary").alias("text"))
+    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"]
+    return in_batches(source, work, ", ".join([*kinds, "shingles array<long>"]))
 
 
 def without_near_duplicates(

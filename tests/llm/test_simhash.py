@@ -131,3 +131,38 @@ def test_dense_groups_give_few_pairs():
     for a, b, gap in simhash._close(tile[:, None], tile[:, None], 4, True):
         kept = simhash._spanning(np.concatenate([kept, np.stack([a, b, gap], axis=1)]), 3)
     assert len(kept) <= 3 * 2 * len(tile)
+
+
+def kept_and_wanted(spark, texts):
+    """The ids that stay, and those that must by comparing all pairs of shingle sets."""
+    sets = {i: five(t) for i, t in enumerate(texts)}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = {r.doc_id for r in simhash.without_near_duplicates(docs(spark, texts)).collect()}
+    return kept, set(grouped(sets, near).values())
+
+
+def some_words(rng, n):
+    return [f"w{rng.randrange(100_000)}" for _ in range(n)]
+
+
+def test_pairs_inside_a_family_with_a_common_passage_are_found(spark):
+    rng = random.Random(5)
+    passage, texts = some_words(rng, 300), []
+    for _ in range(150):  # two of a pair are at 0.84, all others at 0.73
+        own = some_words(rng, 52)
+        texts += [" ".join(passage + own), " ".join(passage + own[:25] + some_words(rng, 27))]
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert len(wanted) == 150
+    assert kept == wanted
+
+
+def test_blocks_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MIN_BLOCK", 1 << 14)
+    monkeypatch.setattr(simhash, "MAX_BLOCK", 1 << 14)
+    rng = random.Random(6)
+    passage, texts = some_words(rng, 200), []
+    for _ in range(40):
+        own = some_words(rng, 30)
+        texts += [" ".join(passage + own), " ".join(passage + own[:15] + some_words(rng, 12))]
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert kept == wanted and len(wanted) < len(texts)

@@ -282,8 +282,9 @@ def similar_groups(
     Groups hold together by links between texts whose sets of ``width`` words have a Jaccard similarity of
     at least ``similarity``. Fingerprints within the bits that such texts differ by, plus ``margin``
     deviations, are candidates. Of these none is left out: each pair is checked on the shingles of both
-    texts, or its texts are already joined by links that were. Texts with one fingerprint are one group,
-    and so are all texts without words. ``key`` must be the same for equal texts only.
+    texts, or its texts are already joined by links that were. Texts with the same set of shingles are one
+    group, and so are all texts without words; texts that share just a fingerprint are candidates like
+    others. ``key`` must be the same for equal texts only.
     """
     marked = written(_sketched(rows, width, lanes), "simhash")
     firsts = [F.min(c).alias(c) for c in ("fingerprint", "size", "key")]
@@ -311,16 +312,18 @@ def similar_groups(
 
 
 def _sketched(rows: DataFrame, width: int, lanes: int) -> DataFrame:
-    """``rows`` with (node, fingerprint, size) in place of ``text``: rows of one node are not compared."""
+    """``rows`` with (node, fingerprint, size) in place of ``text``: a node for each set of shingles."""
     others = [c for c in rows.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes = [], []
+            nodes, prints, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 prints.append("".join(f"{lane:016x}" for lane in fingerprint(text, width, lanes)))
-                sizes.append(len(_hash_set(text, width)))
-            found = [pa.array(prints, pa.string()), pa.array(prints, pa.string()), pa.array(sizes, pa.int64())]
+                own_set = _hash_set(text, width)
+                nodes.append(xxhash.xxh3_128_hexdigest(own_set.tobytes()))
+                sizes.append(len(own_set))
+            found = [pa.array(nodes, pa.string()), pa.array(prints, pa.string()), pa.array(sizes, pa.int64())]
             own = [batch.column(c) for c in others]
             yield pa.RecordBatch.from_arrays([*own, *found], [*others, "node", "fingerprint", "size"])
 

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -166,3 +167,21 @@ def test_blocks_join_what_all_pairs_join(spark, monkeypatch):
         texts += [" ".join(passage + own), " ".join(passage + own[:15] + some_words(rng, 12))]
     kept, wanted = kept_and_wanted(spark, texts)
     assert kept == wanted and len(wanted) < len(texts)
+
+
+def test_different_texts_with_one_fingerprint_are_checked(spark):
+    rng = random.Random(7)
+    line = " ".join(some_words(rng, 9))
+    texts = [" ".join([*some_words(rng, 60), *[line] * 300]) for _ in range(12)]
+    texts += [texts[0] + " end", texts[0]]
+    assert len({tuple(simhash.fingerprint(t.encode(), 5, 2)) for t in texts}) == 1
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert kept == wanted == set(range(12))
+
+
+def test_links_between_equal_fingerprints_hold_on_the_shingles():
+    sets = [np.arange(10), np.arange(9), np.arange(100, 110)]
+    sizes = np.array([len(x) for x in sets])
+    hashes = np.concatenate(sets).astype(np.uint64)
+    block = simhash._Block(pa.array(["a", "b", "c"]), np.zeros((3, 2), np.uint64), hashes, np.cumsum(sizes) - sizes, sizes)
+    assert simhash._checked(block, block, 31, 0.8) == (["a"], ["b"])

@@ -45,23 +45,31 @@ def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, width: int = 3, lanes: int = 1) -> list[int]:
-    """64 bits a lane: a bit is 1 if it is set in over half of the shingle hashes. No words: zero."""
+def _hashes(text: bytes | None, width: int) -> np.ndarray:
     found = shingles(text, width)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> list[int]:
+    """64 bits a lane: a bit is 1 if it is set in over half of the hashes. No hashes: zero."""
     out = []
     counts = np.zeros((lanes, 64), np.int64)
-    for at in range(0, len(found), HASHES_AT_ONCE):
-        part = [xxhash.xxh64_intdigest(s, SEED) for s in found[at : at + HASHES_AT_ONCE]]
-        hashes = np.array(part, np.uint64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
         for lane in range(lanes):
-            bits = np.unpackbits(_mixed(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            part = _mixed(hashes[at : at + HASHES_AT_ONCE], lane)
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[lane] += bits.sum(axis=0, dtype=np.int64)
     for lane in range(lanes):
-        set_bits = np.packbits(counts[lane] * 2 > len(found), bitorder="little")
+        set_bits = np.packbits(counts[lane] * 2 > len(hashes), bitorder="little")
         out.append(int(set_bits.view(np.uint64)[0]))
     return out
 
 
+def fingerprint(text: bytes | None, width: int = 3, lanes: int = 1) -> list[int]:
+    """The majority of a text's shingle hashes, each as often as it occurs. No words: zero."""
+    return _majority(_hashes(text, width), lanes)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
     """``fingerprint`` (16 lowercase hex digits a lane) in place of ``text``, for every row of ``docs``."""
     others = [c for c in docs.columns if c != "text"]
@@ -281,7 +289,7 @@ def similar_groups(
 
     Groups hold together by links between texts whose sets of ``width`` words have a Jaccard similarity of
     at least ``similarity``. Fingerprints within the bits that such texts differ by, plus ``margin``
-    deviations, are candidates. Of these none is left out: each pair is checked on the shingles of both
+    deviations, are candidates; repeated shingles count once in them. Of these none is left out: each pair is checked on the shingles of both
     texts, or its texts are already joined by links that were. Texts with the same set of shingles are one
     group, and so are all texts without words; texts that share just a fingerprint are candidates like
     others. ``key`` must be the same for equal texts only.
@@ -312,15 +320,18 @@ def similar_groups(
 
 
 def _sketched(rows: DataFrame, width: int, lanes: int) -> DataFrame:
-    """``rows`` with (node, fingerprint, size) in place of ``text``: a node for each set of shingles."""
+    """``rows`` with (node, fingerprint, size) in place of ``text``: a node for each set of shingles.
+
+    The fingerprint is that of the set, since similarity is one of sets: repeats would move it.
+    """
     others = [c for c in rows.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             nodes, prints, sizes = [], [], []
             for text in batch.column("text").to_pylist():
-                prints.append("".join(f"{lane:016x}" for lane in fingerprint(text, width, lanes)))
                 own_set = _hash_set(text, width)
+                prints.append("".join(f"{lane:016x}" for lane in _majority(own_set, lanes)))
                 nodes.append(xxhash.xxh3_128_hexdigest(own_set.tobytes()))
                 sizes.append(len(own_set))
             found = [pa.array(nodes, pa.string()), pa.array(prints, pa.string()), pa.array(sizes, pa.int64())]
@@ -334,8 +345,7 @@ def _sketched(rows: DataFrame, width: int, lanes: int) -> DataFrame:
 
 def _hash_set(text: bytes | None, width: int) -> np.ndarray:
     """The hashes of a text's distinct shingles, in order."""
-    found = shingles(text, width)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
+    return np.unique(_hashes(text, width))
 
 
 def _block_pairs(rows: DataFrame, placed: DataFrame, width: int) -> DataFrame:

@@ -185,3 +185,13 @@ def test_links_between_equal_fingerprints_hold_on_the_shingles():
     hashes = np.concatenate(sets).astype(np.uint64)
     block = simhash._Block(pa.array(["a", "b", "c"]), np.zeros((3, 2), np.uint64), hashes, np.cumsum(sizes) - sizes, sizes)
     assert simhash._checked(block, block, 31, 0.8) == (["a"], ["b"])
+
+
+def test_texts_that_differ_in_repeats_are_found(spark):
+    rng = random.Random(8)
+    texts = []
+    for times in (1, 3, 9, 9, 9, 9):
+        words = some_words(rng, 100)
+        texts += [" ".join(words), " ".join(words[:48] + words[40:48] * times + words[48:]), " ".join([*words, "end"])]
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert kept == wanted == set(range(0, 18, 3))

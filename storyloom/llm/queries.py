@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import fingerprints, html_region, lines, mixing, packing, quality, secret_scan, simhash, token_files, toxicity
+from storyloom.llm import (
+    fingerprints,
+    html_region,
+    lines,
+    mixing,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    token_files,
+    toxicity,
+    tree_packing,
+)
 from storyloom.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +179,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_document_fingerprints")
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_beside_next(table(spark, sf_dir, "documents"))
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    pieces = tree_packing.packed_documents(table(spark, sf_dir, "documents"), path, vocabulary=50_257, capacity=1024, end_id=0)
+    return tree_packing.ids_crc32(pieces, width=2).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.session import shared_folder
@@ -67,3 +67,14 @@ def row_key(*columns: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a stored table with numbers from 0 without gaps: partitions begin where those before them end."""
+    row = F.monotonically_increasing_id()
+    placed = df.withColumn("_part", F.shiftright(row, 33)).withColumn("_row", row.bitwiseAND(F.lit((1 << 33) - 1)))
+    # One row a partition.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_row")).select(*df.columns, name)

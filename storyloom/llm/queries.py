@@ -14,6 +14,7 @@ from storyloom.llm import (
     lines,
     mixing,
     packing,
+    phrases,
     quality,
     secret_scan,
     simhash,
@@ -188,3 +189,44 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_packing.ids_crc32(pieces, width=2).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query(
+    "op12_phrases",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+            translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+        FROM documents
+    ), spans AS (
+        SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+    ), counts AS (
+        SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM spans GROUP BY ALL HAVING count(*) >= 30
+    ), sizes AS (
+        SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+    ), candidates AS (
+        SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+    ), insides AS (
+        SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS longer
+        FROM (SELECT *, unnest(generate_series(1, k - j + 1)) AS i
+              FROM candidates JOIN (SELECT unnest([2, 3]) AS j) ON j < k)
+        GROUP BY ALL
+    ), cuts AS (
+        SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS first, array_to_string(w[c + 1:], ' ') AS rest
+        FROM (SELECT *, unnest(generate_series(1, k - 1)) AS c FROM candidates LEFT JOIN insides USING (lang, phrase)
+              WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+    ), scored AS (
+        SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, (2000000 * a::HUGEINT // (x.f + y.f))::BIGINT AS score,
+               row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY 2000000 * a::HUGEINT // (x.f + y.f), c) AS place
+        FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = first
+        JOIN counts y ON y.lang = cuts.lang AND y.phrase = rest
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored WHERE place = 1
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+    """,
+)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, contained_percent=80, top=2000)

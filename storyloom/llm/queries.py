@@ -15,6 +15,7 @@ from storyloom.llm import (
     mixing,
     packing,
     phrases,
+    prefix_trie,
     quality,
     secret_scan,
     simhash,
@@ -230,3 +231,44 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, contained_percent=80, top=2000)
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+               {'role': coalesce(role, ''), 'text': coalesce("text", '')} AS said
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+                   list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                   lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                            lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+        FROM (SELECT DISTINCT conv_id FROM turns)
+    ), paths AS (
+        SELECT c.conv_id, coalesce(list(t.said ORDER BY t.conv_id <> c.base OR t.pos >= h, t.pos) FILTER (t.said IS NOT NULL), []) AS p
+        FROM convs c LEFT JOIN turns t ON t.conv_id = c.base AND t.pos < h OR t.conv_id = c.conv_id AND t.pos >= h
+        GROUP BY c.conv_id
+    ), steps AS (
+        SELECT conv_id, len(p) AS full_depth, d, p[1:d] AS q FROM (SELECT *, unnest(generate_series(0, len(p))) AS d FROM paths)
+    ), nodes AS (
+        SELECT q, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (full_depth = d), '')) AS ends_sha256
+        FROM steps GROUP BY q, d
+    ), linked AS (
+        SELECT n.*, u.conv_id AS parent_conv_id, count(k.q) AS n_children,
+               CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.q[n.d]['text']) END AS saved
+        FROM nodes n LEFT JOIN nodes u ON n.d = u.d + 1 AND n.q[1:n.d - 1] = u.q
+        LEFT JOIN nodes k ON k.d = n.d + 1 AND k.q[1:n.d] = n.q
+        GROUP BY ALL
+    ), above AS (
+        SELECT q[1:e] AS q, e AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+        FROM (SELECT *, unnest(generate_series(0, d)) AS e FROM linked) GROUP BY ALL
+    )
+    SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+    FROM linked JOIN above USING (q, d)
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), every=5, most=9)

@@ -7,16 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import in_batches, numbered, pick, written
 
-#: A shard ends with the first piece beyond so many words, so its index takes some tens of MB.
-SHARD_WORDS = 1_000_000
+#: A shard ends with the first text beyond so many words, so what a task makes of it takes some 200 MB.
+SHARD_WORDS = 2_000_000
 #: Bytes of a text that are cut into words at a time.
-CHUNK_BYTES = 4 * 1024 * 1024
+CHUNK_BYTES = 1024 * 1024
+#: Words of the corpus for each bucket of pairs, whose counts are summed together.
+BUCKET_WORDS = 4_000_000
 #: Suffixes are ordered by so many words; phrases are not longer.
 MOST_WORDS = 4
 
@@ -28,12 +31,23 @@ for _mark in b".,;:!?\n\x0b\x0c\r":
     _TABLE[_mark] = _END
 _TABLE = bytes(_TABLE)
 
-SHARD = "shard long, seq binary, wide boolean, words array<string>, langs array<string>, counts array<long>"
+SHARD = (
+    "shard long, seq binary, wide boolean, words array<string>, langs array<string>, counts array<int>, "
+    "sizes map<string, bigint>"
+)
 INDEX = "shard long, gids binary, bwt binary, back binary"
 #: Two words in each key, the first in its upper half; absent ones are 0.
 GRAM = "k1 long, k2 long, n long"
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _unpacked(blob: pa.Scalar, dtype: str | np.dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_buffer()), dtype)
+
+
 # --- shards -------------------------------------------------------------------------------------
 
 
@@ -59,6 +73,7 @@ class _Shard:
         self.langs: list[str] = []
         self.ids: dict[str, _Words] = {}
         self.parts: list[np.ndarray] = []
+        self.sizes: dict[str, int] = {}
         self.n = 0
 
     def add(self, lang: str, text: bytes) -> None:
@@ -69,7 +84,9 @@ class _Shard:
             end = text.find(b" ", at + CHUNK_BYTES)
             end = len(text) if end < 0 else end
             found = text[at:end].replace(b"\xff", b" \xff ").split()
-            self.parts.append(np.fromiter(map(ids.__getitem__, found), np.uint32, len(found)))
+            part = np.fromiter(map(ids.__getitem__, found), np.uint32, len(found))
+            self.parts.append(part)
+            self.sizes[lang] = self.sizes.get(lang, 0) + int(np.count_nonzero(part))
             self.n += len(found)
             at = end
         self.parts.append(np.zeros(1, np.uint32))
@@ -81,13 +98,14 @@ class _Shard:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
-                pa.array([seq.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
+                pa.array([_packed(seq.astype("<u4" if wide else "<u2"))], pa.binary()),
                 pa.array([wide]),
                 pa.array([[w.decode() for w in self.words]], pa.list_(pa.string())),
                 pa.array([self.langs], pa.list_(pa.string())),
-                pa.array([counts], pa.list_(pa.int64())),
+                pa.array([counts], pa.list_(pa.int32())),
+                pa.array([list(self.sizes.items())], pa.map_(pa.string(), pa.int64())),
             ],
-            ["shard", "seq", "wide", "words", "langs", "counts"],
+            ["shard", "seq", "wide", "words", "langs", "counts", "sizes"],
         )
 
 
@@ -155,8 +173,8 @@ class FMIndex:
     @staticmethod
     def _steps(bwt: np.ndarray) -> np.ndarray:
         """Where the suffix that begins with the symbol before a suffix lies: smaller symbols and earlier equal ones."""
-        steps = np.empty(len(bwt), np.int64)
-        steps[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+        steps = np.empty(len(bwt), np.int32)
+        steps[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
         return steps
 
     def single(self) -> Intervals:
@@ -185,32 +203,37 @@ class FMIndex:
         The smaller symbols tell where the extension lies inside the other index's interval.
         """
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        owner = np.repeat(np.arange(len(n)), n)
-        place = np.arange(total) - (ends - n)[owner] + lo[owner]
-        keys = owner * (int(bwt.max(initial=0)) + 1) + bwt[place]
-        order = np.argsort(keys, kind="stable")
+        total, begins = int(ends[-1]) if len(ends) else 0, ends - n
+        place = np.arange(total, dtype=np.int32)
+        place += np.repeat((lo - begins).astype(np.int32), n)
+        keys = np.repeat(np.arange(len(n)) * (int(bwt.max(initial=0)) + 1), n)
+        keys += bwt[place]
+        order = np.argsort(keys, kind="stable").astype(np.int32)
         keys = keys[order]
         first = np.flatnonzero(np.diff(keys, prepend=-1))
+        del keys
         count = np.diff(np.append(first, total))
-        of, symbol = owner[order[first]], bwt[place[order[first]]].astype(np.int64)
+        at = place[order[first]]
+        of, symbol = np.searchsorted(ends, first, side="right"), bwt[at].astype(np.int64)
         found = symbol > 0
-        new_lo, inside = steps[place[order[first]]], first - (ends - n)[of]
-        return of[found], symbol[found], new_lo[found], inside[found], count[found]
+        return of[found], symbol[found], steps[at[found]].astype(np.int64), (first - begins[of])[found], count[found]
 
 
 # --- jobs ---------------------------------------------------------------------------------------
 
 
 def _indexes(held: DataFrame) -> DataFrame:
-    """``INDEX`` rows of (shard, seq, wide, found array<struct<local, gid>>): words that are not found end pieces."""
+    """``INDEX`` rows of (shard, seq, wide, found): words that are not found end pieces.
+
+    ``found`` holds a word's id in the shard in its upper half, and its id in the corpus.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq = np.frombuffer(batch.column("seq")[i].as_buffer(), "<u4" if batch.column("wide")[i].as_py() else "<u2")
-                found = batch.column("found")[i].values
-                local, gid = found.field("local").to_numpy(), found.field("gid").to_numpy()
+                seq = _unpacked(batch.column("seq")[i], "<u4" if batch.column("wide")[i].as_py() else "<u2")
+                found = batch.column("found")[i].values.to_numpy()
+                local, gid = found >> 32, found & 0xFFFFFFFF
                 gids = np.sort(gid)
                 symbols = np.zeros(int(max(seq.max(initial=0), local.max())) + 1, np.min_scalar_type(len(gids)))
                 symbols[local] = np.searchsorted(gids, gid) + 1
@@ -219,7 +242,7 @@ def _indexes(held: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("shard")[i : i + 1].cast(pa.int64()),
-                        *[pa.array([x.tobytes()], pa.binary()) for x in (gids.astype("<i8"), index.bwt, index.back)],
+                        *[pa.array([_packed(x)], pa.binary()) for x in (gids.astype("<i8"), index.bwt, index.back)],
                     ],
                     ["shard", "gids", "bwt", "back"],
                 )
@@ -228,9 +251,9 @@ def _indexes(held: DataFrame) -> DataFrame:
 
 
 def _loaded(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, FMIndex]:
-    gids = np.frombuffer(batch.column("gids")[i].as_buffer(), "<i8")
+    gids = _unpacked(batch.column("gids")[i], "<i8")
     kind = np.min_scalar_type(len(gids))
-    return gids, FMIndex(*[np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c in ("bwt", "back")])
+    return gids, FMIndex(*[_unpacked(batch.column(c)[i], kind) for c in ("bwt", "back")])
 
 
 def _keys(gids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,20 +263,67 @@ def _keys(gids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[0] << 32 | ids[1], ids[2] << 32 | ids[3]
 
 
-def _pairs(index: DataFrame) -> DataFrame:
-    """(shard, k1, n): every phrase of two words of every shard."""
+def _pairs(index: DataFrame, buckets: int, min_count: int) -> DataFrame:
+    """Stored (shard, keys, counts): frequent phrases of two words, with a null shard, and which of them each shard has.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    A shard sends the counts of its pairs in buckets by the hash of the pair, sorted and compressed. There are
+    as many buckets as the corpus is large, so one is summed in a task, which also tells the shards what was found.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 gids, fm = _loaded(batch, i)
                 found = fm.left(fm.single())
-                shard = np.full(len(found.n), batch.column("shard")[i].as_py(), np.int64)
+                keys, n = _keys(gids, found.words)[0], found.n
+                del fm, found
+                # Multiplying by an odd number spreads the low bits over the upper ones.
+                bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((keys, bucket))
+                keys, n, bucket = keys[order], n[order].astype("<u4"), bucket[order]
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                parts = list(zip(first, np.append(first, len(keys))[1:]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(_keys(gids, found.words)[0]), pa.array(found.n)], ["shard", "k1", "n"]
+                    [
+                        pa.array(bucket[first]),
+                        pa.array(np.full(len(first), batch.column("shard")[i].as_py(), np.int64)),
+                        pa.array([_packed(np.diff(keys[a:b], prepend=0)) for a, b in parts], pa.binary()),
+                        pa.array([_packed(n[a:b]) for a, b in parts], pa.binary()),
+                    ],
+                    ["bucket", "shard", "keys", "counts"],
                 )
 
-    return in_batches(index, work, "shard long, k1 long, n long")
+    def total(group: pa.Table) -> pa.Table:
+        sent = [np.cumsum(_unpacked(k, "<i8")) for k in group.column("keys")]
+        keys, place = np.unique(np.concatenate(sent), return_inverse=True)
+        n = np.bincount(place, np.concatenate([_unpacked(c, "<u4") for c in group.column("counts")])).astype(np.int64)
+        del place
+        keys, n = keys[n >= min_count], n[n >= min_count]
+        mine = [keys[np.isin(keys, k, assume_unique=True)] for k in sent]
+        rows = [(s, k) for s, k in zip(group.column("shard").to_pylist(), mine, strict=True) if len(k)]
+        return pa.table(
+            {
+                "shard": pa.array([None, *[s for s, _ in rows]], pa.int64()),
+                "keys": pa.array([_packed(keys), *[_packed(k) for _, k in rows]], pa.binary()),
+                "counts": pa.array([_packed(n), *[None for _ in rows]], pa.binary()),
+            }
+        )
+
+    sent = in_batches(index, count, "bucket long, shard long, keys binary, counts binary")
+    found = sent.groupBy("bucket").applyInArrow(total, "shard long, keys binary, counts binary")
+    return written(found, "phrase-pairs")
+
+
+def _listed(totals: DataFrame) -> DataFrame:
+    """(k1, f) of compressed (keys, counts)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
+                arrays = [pa.array(_unpacked(x, "<i8")) for x in (keys, counts)]
+                yield pa.RecordBatch.from_arrays(arrays, ["k1", "f"])
+
+    return in_batches(totals, work, "k1 long, f long")
 
 
 def _longer(held: DataFrame) -> DataFrame:
@@ -266,7 +336,7 @@ def _longer(held: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 gids, fm = _loaded(batch, i)
-                pairs = np.sort(batch.column("pairs")[i].values.to_numpy())
+                pairs = np.sort(np.concatenate([_unpacked(k, "<i8") for k in batch.column("pairs")[i].values]))
 
                 def frequent(words: np.ndarray, gids=gids, pairs=pairs) -> np.ndarray:
                     keys = _keys(gids, words)[0]
@@ -313,24 +383,25 @@ def frequent_phrases(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     held = written(shards(rows, shard_words), "phrase-shards")
+    sizes = held.select(F.explode("sizes").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))
     entries = held.select("shard", F.posexplode(F.arrays_zip("words", "langs", "counts")).alias("local", "w")).select(
-        "shard", (F.col("local") + 1).alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n")
+        "shard", (F.col("local") + 1).cast("long").alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n")
     )
-    sizes = entries.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = written(_summed(entries, ["lang", "word"], min_count), "phrase-words")
+    words = written(_summed(entries.select("lang", "word", "n"), ["lang", "word"], min_count), "phrase-words")
     words = written(numbered(words, "gid").withColumn("gid", F.col("gid") + 1), "phrase-word-ids")
-    known = entries.select("shard", "local", "lang", "word").join(words, ["lang", "word"])
+    known = entries.select("shard", "local", "lang", "word").join(words.select("lang", "word", "gid"), ["lang", "word"])
     # As many as a shard has words.
-    found = known.groupBy("shard").agg(F.collect_list(F.struct(F.col("local").cast("long").alias("local"), "gid")).alias("found"))
+    found = known.groupBy("shard").agg(F.collect_list(F.shiftleft("local", 32).bitwiseOR(F.col("gid"))).alias("found"))
     index = written(_indexes(held.select("shard", "seq", "wide").join(found, "shard")), "phrase-index")
-    pairs = written(_summed(_pairs(index), ["k1"], min_count), "phrase-pairs")
-    here = _pairs(index).select("shard", "k1").join(pairs.select("k1"), "k1", "left_semi")
-    here = here.groupBy("shard").agg(F.collect_list("k1").alias("pairs"))
+    n_words = words.agg(F.sum("f")).first()[0] or 0
+    pairs = _pairs(index, max(1, n_words // BUCKET_WORDS), min_count)
+    # One part for each bucket.
+    here = pairs.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("keys").alias("pairs"))
     longer = _summed(_longer(index.join(here, "shard")), ["k1", "k2"], min_count)
     none = F.lit(0).cast("long").alias("k2")
     single = words.select(F.shiftleft("gid", 32).alias("k1"), none, "f")
-    phrases = single.unionByName(pairs.select("k1", none, "f")).unionByName(longer)
-    return words, written(phrases, "phrases"), sizes
+    double = _listed(pairs.filter("shard IS NULL").select("keys", "counts")).select("k1", none, "f")
+    return words, written(single.unionByName(double).unionByName(longer), "phrases"), sizes
 
 
 def collocations(

@@ -87,6 +87,7 @@ def with_langs(spark, texts, langs):
 @pytest.mark.parametrize("shard_words", [1, 300, 1_000_000])
 def test_collocations_equal_a_plain_count(spark, shard_words, monkeypatch):
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(phrases, "BUCKET_WORDS", 500)
     texts, langs = corpus(3, 300)
     texts += [None, *ODD[1:9]]
     langs += [None] * 9
@@ -113,3 +114,13 @@ def test_scores_are_exact_beyond_64_bits(spark):
     df = spark.createDataFrame([(big, big, big + 7)], "a long, l long, r long")
     found = df.selectExpr("(cast(a as decimal(20,0)) * 2000000) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0))) AS s")
     assert found.first().s == 2000000 * big // (2 * big + 7)
+
+
+def test_words_of_a_shard_do_not_depend_on_where_texts_are_cut(monkeypatch):
+    text = "One two, three\tfour  five. É 日本 one ".encode() * 30
+    whole, cut = phrases._Shard(), phrases._Shard()
+    whole.add("en", text)
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 7)
+    cut.add("en", text)
+    assert whole.words == cut.words and whole.sizes == cut.sizes == {"en": 240}
+    assert [x for p in whole.parts for x in p.tolist()] == [x for p in cut.parts for x in p.tolist()]

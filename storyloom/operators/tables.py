@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.operators.ordering import SLICE_ROWS, number_rows
 
@@ -94,8 +95,14 @@ def upsert(articles: DataFrame, incoming: DataFrame, now: datetime, order_col: s
 
     Stored rows keep id, creation time, vector and cluster. New rows are numbered in batch order.
     """
-    at = F.lit(now).cast("timestamp")
     batch = fold_batch(incoming, order_col)
+    fresh = with_new_ids(batch.join(articles.select("url"), "url", "left_anti"), articles, [F.col(order_col)])
+    return updated_rows(articles, batch, now).unionByName(inserted_rows(fresh, articles.schema, now))
+
+
+def updated_rows(articles: DataFrame, batch: DataFrame, now: datetime) -> DataFrame:
+    """Stored rows with what ``batch`` (one row a url) says of theirs."""
+    at = F.lit(now).cast("timestamp")
     old = articles.alias("o")
     new = batch.withColumn("_hit", F.lit(True)).alias("n")
     merged = old.join(new, "url", "left")
@@ -112,17 +119,22 @@ def upsert(articles: DataFrame, incoming: DataFrame, now: datetime, order_col: s
             updated.append(F.when(hit, at).otherwise(F.col("o.updated_at")).alias(c))
         else:
             updated.append(F.col(f"o.{c}"))
-    fresh = with_new_ids(batch.join(articles.select("url"), "url", "left_anti"), articles, [F.col(order_col)])
+    return merged.select(*updated)
+
+
+def inserted_rows(fresh: DataFrame, schema: T.StructType, now: datetime) -> DataFrame:
+    """New rows (with id) as rows of the table: created now, without vector and cluster."""
+    at = F.lit(now).cast("timestamp")
     given = {*INCOMING, "id"}
     inserted = []
-    for field in articles.schema:
+    for field in schema:
         if field.name in given:
             inserted.append(F.col(field.name))
         elif field.name in ("created_at", "updated_at"):
             inserted.append(at.alias(field.name))
         else:
             inserted.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return merged.select(*updated).unionByName(fresh.select(*inserted))
+    return fresh.select(*inserted)
 
 
 def keyed_update(

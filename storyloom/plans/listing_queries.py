@@ -1,8 +1,9 @@
 """Listing, search, digest and statistics queries."""
 
 from datetime import timedelta
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.time import (
@@ -10,10 +11,11 @@ from storyloom.functions.time import (
     digest_count_since_column,
     digest_since_column,
 )
-from storyloom.operators import cluster, digest, listing, metrics, stats, tables
+from storyloom.operators import cluster, digest, listing, metrics, search_index, stats, tables
 from storyloom.operators.skew import lookup_join
 from storyloom.plans import derived as d
 from storyloom.plans.registry import query
+from storyloom.session import shared_folder
 from storyloom.sources.pages import url_scan
 
 A = "TIMESTAMP '2025-07-15 14:30:00'"
@@ -166,6 +168,45 @@ def _(spark, sf):
     return listing.search(d.articles(spark, sf), "OUER").select("id", "url")
 
 
+# Terms with wildcards, an escaped one, letters in other case, too few letters for a trigram, and no match.
+SEARCH_TERMS = ("OUER", "th%st", "an_h", "É, q", "li", "1\\%", "in the % of", "zzqxj")
+
+
+@query(
+    "article_search_index",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS term, id, url FROM articles WHERE title ILIKE '%{t}%' ESCAPE '\'
+            OR summary ILIKE '%{t}%' ESCAPE '\' OR full_content ILIKE '%{t}%' ESCAPE '\'"""
+        for t in SEARCH_TERMS
+    ),
+)
+def _(spark, sf):
+    arts = d.articles(spark, sf)
+    path = shared_folder(spark, "search-index")
+    search_index.write_index(arts, path, range_ids=1024)
+    found = [
+        search_index.indexed_search(spark, path, arts.schema, t, range_ids=1024).select(F.lit(t).alias("term"), "id", "url")
+        for t in SEARCH_TERMS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "url_pattern_index",
+    """SELECT 'SRC1.EXAMPLE' AS pattern, id, url FROM articles WHERE url ILIKE '%SRC1.EXAMPLE%'
+       UNION ALL SELECT '/a/_7%9', id, url FROM articles WHERE url ILIKE '%/a/_7%9%'""",
+)
+def _(spark, sf):
+    arts = d.articles(spark, sf).select("id", "url")
+    path = shared_folder(spark, "url-index")
+    search_index.write_index(arts, path, columns=["url"])
+    found = [
+        search_index.indexed_url_match(spark, path, arts.schema, p).select(F.lit(p).alias("pattern"), "id", "url")
+        for p in ("SRC1.EXAMPLE", "/a/_7%9")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("article_by_id", f"SELECT {VIEW}, {NANOS} FROM articles WHERE id = 42 AND {SHOWABLE}")
 def _(spark, sf):
     return listing.article_by_id(d.articles(spark, sf), "42")

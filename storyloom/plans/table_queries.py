@@ -4,10 +4,12 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import admission, notify, summarize, tables
+from storyloom.operators import admission, merge, notify, summarize, tables
 from storyloom.operators.ordering import number_rows
 from storyloom.plans import derived as d
 from storyloom.plans.registry import query
+from storyloom.session import shared_folder
+from storyloom.sources.tables import read_table
 
 A = "TIMESTAMP '2025-07-15 14:30:00'"
 STATUSES = "SELECT feed_url, item_no, link, published, status FROM admission"
@@ -85,23 +87,47 @@ def _(spark, sf):
     return admission.fetch_log_rows(_statuses(spark, sf), fetches, d.ARTICLE_NOW)
 
 
-@query(
-    "article_insert_ignore",
-    f"""WITH fresh AS (SELECT * FROM admission WHERE status = 'processed'),
+INSERT_COLUMNS = (
+    "id", "url", "title", "full_content", "publish_date", "feed_url", "content_hash", "posted_to_discord", "fetch_time",
+)
+INSERT_SQL = f"""WITH fresh AS (SELECT * FROM admission WHERE status = 'processed'),
         top AS (SELECT max(id) AS m FROM stored_articles)
         SELECT id, url, title, full_content, publish_date, feed_url, content_hash, posted_to_discord, fetch_time
           FROM stored_articles
         UNION ALL SELECT m + row_number() OVER (ORDER BY published, feed_url NULLS FIRST, link), link, title,
-          description, published, feed_url, sha256(title || link || description), false, {A} FROM fresh, top""",
-)
-def _(spark, sf):
-    stored = d.stored_articles(spark, sf)
+          description, published, feed_url, sha256(title || link || description), false, {A} FROM fresh, top"""
+
+
+def _admitted_rows(spark, sf):
     passing = admission.admitted(d.items(spark, sf), d.CUTOFF, d.INITIATION)
-    rows = admission.as_articles(passing.withColumn("content", F.col("description")), d.ARTICLE_NOW)
+    return admission.as_articles(passing.withColumn("content", F.col("description")), d.ARTICLE_NOW)
+
+
+@query("article_insert_ignore", INSERT_SQL)
+def _(spark, sf):
     order = [F.col("publish_date").asc_nulls_last(), F.col("feed_url").asc_nulls_first()]
-    return tables.insert_ignore(stored, rows, order).select(
-        "id", "url", "title", "full_content", "publish_date", "feed_url", "content_hash", "posted_to_discord", "fetch_time"
-    )
+    merged = tables.insert_ignore(d.stored_articles(spark, sf), _admitted_rows(spark, sf), order)
+    return merged.select(*INSERT_COLUMNS)
+
+
+def _merged(spark, sf, stored, apply):
+    """``stored`` written by day, merged into by ``apply(path, schema)``, and read again."""
+    path = shared_folder(spark, "articles-by-day")
+    merge.write_table(stored, path)
+    apply(path, stored.schema)
+    return read_table(spark, path, stored.schema)
+
+
+@query("merge_insert_ignore", INSERT_SQL)
+def _(spark, sf):
+    rows = _admitted_rows(spark, sf)
+    # No admitted row is without a date, so NULLs first holds for the feeds.
+    order = [F.col("publish_date"), F.col("feed_url")]
+    merged = _merged(
+        spark, sf, d.stored_articles(spark, sf),
+        lambda path, schema: merge.merge_insert_ignore(spark, path, schema, rows, order, d.ARTICLE_NOW),
+    )
+    return merged.select(*INSERT_COLUMNS)
 
 
 def _incoming(spark, sf):
@@ -159,14 +185,26 @@ def _upsert_sql(incoming: str) -> str:
         FROM n LEFT JOIN stored_articles o USING (url) LEFT JOIN gone USING (url)"""
 
 
+def _merge_upserted(spark, sf, rows):
+    merged = _merged(
+        spark, sf, d.stored_articles(spark, sf),
+        lambda path, schema: merge.merge_upsert(spark, path, schema, rows, d.ARTICLE_NOW),
+    )
+    return merged.select(*UPSERT_COLUMNS)
+
+
 @query("article_upsert", _upsert_sql(_pass_sql(0)))
 def _(spark, sf):
     rows, _ = _incoming(spark, sf)
     return tables.upsert(d.stored_articles(spark, sf), rows, d.ARTICLE_NOW).select(*UPSERT_COLUMNS)
 
 
-@query(
-    "article_batch_upsert",
+@query("merge_upsert", _upsert_sql(_pass_sql(0)))
+def _(spark, sf):
+    return _merge_upserted(spark, sf, _incoming(spark, sf)[0])
+
+
+BATCH_SQL = (
     _upsert_sql(
         f"""SELECT b.url, b.title, b.fetch_time, b.posted_to_discord, a.n, """
         + ", ".join(
@@ -174,8 +212,17 @@ def _(spark, sf):
             for c in ("publish_date", "summary", "full_content", "feed_url", "content_hash", "fetch_duration_ms")
         )
         + f" FROM ({_pass_sql(0)}) a JOIN ({_pass_sql(1)}) b USING (url)"
-    ),
+    )
 )
+
+
+@query("merge_batch_upsert", BATCH_SQL)
+def _(spark, sf):
+    first, second = _incoming(spark, sf)
+    return _merge_upserted(spark, sf, first.unionByName(second))
+
+
+@query("article_batch_upsert", BATCH_SQL)
 def _(spark, sf):
     first, second = _incoming(spark, sf)
     batch = first.unionByName(second)
@@ -226,12 +273,23 @@ def _updates(spark, sf):
     )
 
 
-@query(
-    "keyed_update",
-    f"""SELECT a.id, a.url, coalesce(u.summary, a.summary) AS summary,
+KEYED_SQL = f"""SELECT a.id, a.url, coalesce(u.summary, a.summary) AS summary,
           CASE WHEN u.id IS NULL THEN a.updated_at ELSE {A} END AS updated_at
-        FROM articles a LEFT JOIN ({UPDATES_SQL}) u USING (id)""",
-)
+        FROM articles a LEFT JOIN ({UPDATES_SQL}) u USING (id)"""
+
+
+@query("merge_update", KEYED_SQL)
+def _(spark, sf):
+    rows = _merged(
+        spark, sf, d.articles(spark, sf),
+        lambda path, schema: merge.merge_update(
+            spark, path, schema, _updates(spark, sf), "id", ["summary"], d.ARTICLE_NOW
+        ),
+    )
+    return rows.select("id", "url", "summary", "updated_at")
+
+
+@query("keyed_update", KEYED_SQL)
 def _(spark, sf):
     rows = tables.keyed_update(d.articles(spark, sf), _updates(spark, sf), "id", ["summary"], d.ARTICLE_NOW)
     return rows.select("id", "url", "summary", "updated_at")

@@ -60,6 +60,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the table that ``written`` made, once nothing is computed from it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(*columns: Column) -> Column:
     """Ties results back to rows. Rows that share it by chance must be harmless to the caller."""
     return F.xxhash64(*columns)

@@ -12,14 +12,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import in_batches, numbered, pick, written
+from storyloom.llm.common import in_batches, numbered, pick, remove, written
 
 #: A shard ends with the first text beyond so many words, so what a task makes of it takes some 200 MB.
 SHARD_WORDS = 2_000_000
 #: Bytes of a text that are cut into words at a time.
 CHUNK_BYTES = 1024 * 1024
-#: Words of the corpus for each bucket of pairs, whose counts are summed together.
+#: Words of the corpus for each bucket of phrases, whose counts are summed together.
 BUCKET_WORDS = 4_000_000
+#: Parts of a language that are ranked each on its own first.
+RANKED_PARTS = 32
 #: Suffixes are ordered by so many words; phrases are not longer.
 MOST_WORDS = 4
 
@@ -36,8 +38,6 @@ SHARD = (
     "sizes map<string, bigint>"
 )
 INDEX = "shard long, gids binary, bwt binary, back binary"
-#: Two words in each key, the first in its upper half; absent ones are 0.
-GRAM = "k1 long, k2 long, n long"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -257,17 +257,55 @@ def _loaded(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, FMIndex]:
 
 
 def _keys(gids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``k1`` and ``k2`` of phrases given as symbols."""
+    """``k1`` and ``k2`` of phrases given as symbols: two words in each, the first in its upper half, absent ones 0."""
     ids = np.zeros((MOST_WORDS, words.shape[1]), np.int64)
     ids[: len(words)] = gids[words - 1]
     return ids[0] << 32 | ids[1], ids[2] << 32 | ids[3]
 
 
+#: Counts that a shard sends to one bucket: keys sorted, the first as differences, all compressed.
+SENT = "bucket long, shard long, k1 binary, k2 binary, n binary"
+
+
+def _sent(shard: int, k1: np.ndarray, k2: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A shard's counts, dealt to buckets by the hash of their keys."""
+    # Multiplying by an odd number spreads the low bits over the upper ones.
+    mixed = (k1.astype(np.uint64) ^ k2.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((k2, k1, bucket))
+    k1, k2, n, bucket = k1[order], k2[order], n[order].astype("<u4"), bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    parts = [slice(a, b) for a, b in zip(first, np.append(first, len(k1))[1:])]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[first]),
+            pa.array(np.full(len(first), shard, np.int64)),
+            pa.array([_packed(np.diff(k1[p], prepend=0)) for p in parts], pa.binary()),
+            pa.array([_packed(k2[p]) for p in parts], pa.binary()),
+            pa.array([_packed(n[p]) for p in parts], pa.binary()),
+        ],
+        ["bucket", "shard", "k1", "k2", "n"],
+    )
+
+
+def _totals(group: pa.Table, min_count: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(first keys that each shard sent, keys and counts of what is frequent) of one bucket."""
+    mine = [np.cumsum(_unpacked(x, "<i8")) for x in group.column("k1")]
+    k1, k2 = np.concatenate(mine), np.concatenate([_unpacked(x, "<i8") for x in group.column("k2")])
+    n = np.concatenate([_unpacked(x, "<u4") for x in group.column("n")]).astype(np.int64)
+    order = np.lexsort((k2, k1))
+    k1, k2 = k1[order], k2[order]
+    first = np.flatnonzero((np.diff(k1, prepend=-1) != 0) | (np.diff(k2, prepend=-1) != 0))
+    total = np.add.reduceat(n[order], first)
+    keep = first[total >= min_count]
+    return mine, k1[keep], k2[keep], total[total >= min_count]
+
+
 def _pairs(index: DataFrame, buckets: int, min_count: int) -> DataFrame:
-    """Stored (shard, keys, counts): frequent phrases of two words, with a null shard, and which of them each shard has.
+    """Stored (shard, k1, n): frequent phrases of two words, with a null shard, and which of them each shard has.
 
-    A shard sends the counts of its pairs in buckets by the hash of the pair, sorted and compressed. There are
-    as many buckets as the corpus is large, so one is summed in a task, which also tells the shards what was found.
+    There are as many buckets as the corpus is large, so one is summed in a task, which also tells the shards
+    what was found.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -275,68 +313,49 @@ def _pairs(index: DataFrame, buckets: int, min_count: int) -> DataFrame:
             for i in range(batch.num_rows):
                 gids, fm = _loaded(batch, i)
                 found = fm.left(fm.single())
-                keys, n = _keys(gids, found.words)[0], found.n
+                (k1, k2), n = _keys(gids, found.words), found.n
                 del fm, found
-                # Multiplying by an odd number spreads the low bits over the upper ones.
-                bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((keys, bucket))
-                keys, n, bucket = keys[order], n[order].astype("<u4"), bucket[order]
-                first = np.flatnonzero(np.diff(bucket, prepend=-1))
-                parts = list(zip(first, np.append(first, len(keys))[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[first]),
-                        pa.array(np.full(len(first), batch.column("shard")[i].as_py(), np.int64)),
-                        pa.array([_packed(np.diff(keys[a:b], prepend=0)) for a, b in parts], pa.binary()),
-                        pa.array([_packed(n[a:b]) for a, b in parts], pa.binary()),
-                    ],
-                    ["bucket", "shard", "keys", "counts"],
-                )
+                yield _sent(batch.column("shard")[i].as_py(), k1, k2, n, buckets)
 
     def total(group: pa.Table) -> pa.Table:
-        sent = [np.cumsum(_unpacked(k, "<i8")) for k in group.column("keys")]
-        keys, place = np.unique(np.concatenate(sent), return_inverse=True)
-        n = np.bincount(place, np.concatenate([_unpacked(c, "<u4") for c in group.column("counts")])).astype(np.int64)
-        del place
-        keys, n = keys[n >= min_count], n[n >= min_count]
+        sent, keys, _, n = _totals(group, min_count)
         mine = [keys[np.isin(keys, k, assume_unique=True)] for k in sent]
         rows = [(s, k) for s, k in zip(group.column("shard").to_pylist(), mine, strict=True) if len(k)]
         return pa.table(
             {
                 "shard": pa.array([None, *[s for s, _ in rows]], pa.int64()),
-                "keys": pa.array([_packed(keys), *[_packed(k) for _, k in rows]], pa.binary()),
-                "counts": pa.array([_packed(n), *[None for _ in rows]], pa.binary()),
+                "k1": pa.array([_packed(np.diff(k, prepend=0)) for k in (keys, *[k for _, k in rows])], pa.binary()),
+                "n": pa.array([_packed(n), *[None for _ in rows]], pa.binary()),
             }
         )
 
-    sent = in_batches(index, count, "bucket long, shard long, keys binary, counts binary")
-    found = sent.groupBy("bucket").applyInArrow(total, "shard long, keys binary, counts binary")
+    found = in_batches(index, count, SENT).groupBy("bucket").applyInArrow(total, "shard long, k1 binary, n binary")
     return written(found, "phrase-pairs")
 
 
 def _listed(totals: DataFrame) -> DataFrame:
-    """(k1, f) of compressed (keys, counts)."""
+    """(k1, f) of compressed (k1, n)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                arrays = [pa.array(_unpacked(x, "<i8")) for x in (keys, counts)]
+            for keys, counts in zip(batch.column("k1"), batch.column("n"), strict=True):
+                arrays = [pa.array(np.cumsum(_unpacked(keys, "<i8"))), pa.array(_unpacked(counts, "<i8"))]
                 yield pa.RecordBatch.from_arrays(arrays, ["k1", "f"])
 
     return in_batches(totals, work, "k1 long, f long")
 
 
-def _longer(held: DataFrame) -> DataFrame:
-    """``GRAM`` rows of phrases of three and four words all whose pairs are among the shard's ``pairs``.
+def _longer(held: DataFrame, buckets: int, min_count: int) -> DataFrame:
+    """(k1, k2, f) of frequent phrases of three and four words all whose pairs are among the shard's ``pairs``.
 
     Pairs grow by a word to the left, and what is found by one to the right.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 gids, fm = _loaded(batch, i)
-                pairs = np.sort(np.concatenate([_unpacked(k, "<i8") for k in batch.column("pairs")[i].values]))
+                pairs = np.sort(np.concatenate([np.cumsum(_unpacked(k, "<i8")) for k in batch.column("pairs")[i].values]))
 
                 def frequent(words: np.ndarray, gids=gids, pairs=pairs) -> np.ndarray:
                     keys = _keys(gids, words)[0]
@@ -349,14 +368,14 @@ def _longer(held: DataFrame) -> DataFrame:
                 four = fm.right(three)
                 four = four.where(frequent(four.words[2:]))
                 for found in (three, four):
-                    k1, k2 = _keys(gids, found.words)
-                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(found.n)], ["k1", "k2", "n"])
-
-    return in_batches(held, work, GRAM)
+                    if len(found.n):
+                        yield _sent(batch.column("shard")[i].as_py(), *_keys(gids, found.words), found.n, buckets)
 
+    def total(group: pa.Table) -> pa.Table:
+        _, k1, k2, n = _totals(group, min_count)
+        return pa.table({"k1": pa.array(k1), "k2": pa.array(k2), "f": pa.array(n)})
 
-def _summed(grams: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    return grams.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    return in_batches(held, count, SENT).groupBy("bucket").applyInArrow(total, "k1 long, k2 long, f long")
 
 
 def _key(ids: list[Column]) -> tuple[Column, Column]:
@@ -384,24 +403,28 @@ def frequent_phrases(
     )
     held = written(shards(rows, shard_words), "phrase-shards")
     sizes = held.select(F.explode("sizes").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    sizes = written(sizes, "language-sizes")
     entries = held.select("shard", F.posexplode(F.arrays_zip("words", "langs", "counts")).alias("local", "w")).select(
         "shard", (F.col("local") + 1).cast("long").alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n")
     )
-    words = written(_summed(entries.select("lang", "word", "n"), ["lang", "word"], min_count), "phrase-words")
-    words = written(numbered(words, "gid").withColumn("gid", F.col("gid") + 1), "phrase-word-ids")
+    counted = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    words = written(numbered(written(counted, "phrase-words"), "gid").withColumn("gid", F.col("gid") + 1), "phrase-word-ids")
     known = entries.select("shard", "local", "lang", "word").join(words.select("lang", "word", "gid"), ["lang", "word"])
     # As many as a shard has words.
     found = known.groupBy("shard").agg(F.collect_list(F.shiftleft("local", 32).bitwiseOR(F.col("gid"))).alias("found"))
     index = written(_indexes(held.select("shard", "seq", "wide").join(found, "shard")), "phrase-index")
-    n_words = words.agg(F.sum("f")).first()[0] or 0
-    pairs = _pairs(index, max(1, n_words // BUCKET_WORDS), min_count)
+    remove(held)
+    buckets = max(1, (words.agg(F.sum("f")).first()[0] or 0) // BUCKET_WORDS)
+    pairs = _pairs(index, buckets, min_count)
     # One part for each bucket.
-    here = pairs.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("keys").alias("pairs"))
-    longer = _summed(_longer(index.join(here, "shard")), ["k1", "k2"], min_count)
+    here = pairs.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("k1").alias("pairs"))
+    longer = _longer(index.join(here, "shard"), buckets, min_count)
     none = F.lit(0).cast("long").alias("k2")
     single = words.select(F.shiftleft("gid", 32).alias("k1"), none, "f")
-    double = _listed(pairs.filter("shard IS NULL").select("keys", "counts")).select("k1", none, "f")
-    return words, written(single.unionByName(double).unionByName(longer), "phrases"), sizes
+    double = _listed(pairs.filter("shard IS NULL").select("k1", "n")).select("k1", none, "f")
+    phrases = written(single.unionByName(double).unionByName(longer), "phrases")
+    remove(index)
+    return words, phrases, sizes
 
 
 def collocations(
@@ -476,9 +499,12 @@ def collocations(
     scored = sums.withColumn("best", F.least(*[cut_score(cut) for cut in range(1, MOST_WORDS)]))
     scored = scored.select("k1", "k2", "a", "best.score", "best.l", "best.r", F.shiftright("k1", 32).alias("gid"))
     scored = scored.join(words.select("gid", "lang"), "gid").drop("gid")
-    # What ties with the last of the best stays until the phrases are known.
-    place = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    best = scored.withColumn("_place", F.rank().over(place)).filter(F.col("_place") <= top)
+    # What ties with the last of the best stays until the phrases are known. A language's best come from those of
+    # its parts, so that one task ranks a bounded number of rows but for ties.
+    best = scored.withColumn("_part", F.pmod(F.xxhash64("k1", "k2"), F.lit(RANKED_PARTS)))
+    for keys in (["lang", "_part"], ["lang"]):
+        place = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("a").desc())
+        best = best.withColumn("_place", F.rank().over(place)).filter(F.col("_place") <= top)
     # Four rows at most for each of the best.
     spelled = best.select("lang", "k1", "k2", "a", "l", "r", "score", F.posexplode(F.array(*g)).alias("at", "gid")).filter("gid > 0")
     spelled = spelled.join(words.select("gid", "word"), "gid").groupBy("lang", "k1", "k2", "a", "l", "r", "score")

@@ -143,9 +143,14 @@ def as_articles(items: DataFrame, now: datetime) -> DataFrame:
     )
 
 
+#: What a fetch is known by: the feed, and the run where several are logged together.
+FETCH_KEYS = ("run", "feed_url")
+
+
 def feed_run_summary(statuses: DataFrame) -> DataFrame:
-    """Items found and newly stored per feed."""
-    return statuses.groupBy("feed_url").agg(
+    """Items found and newly stored per feed, and per ``run`` if there is such a column."""
+    keys = [c for c in FETCH_KEYS if c in statuses.columns]
+    return statuses.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("articles_found"),
         F.count_if(F.col("status") == PROCESSED).alias("new_articles"),
     )
@@ -154,15 +159,19 @@ def feed_run_summary(statuses: DataFrame) -> DataFrame:
 def fetch_log_rows(
     statuses: DataFrame, fetches: DataFrame, now: datetime
 ) -> DataFrame:
-    """One fetch-log row per attempted feed.
+    """One fetch-log row per attempted feed and run.
 
-    ``fetches`` holds (feed_url, status, message, duration_ms) per attempt; failed ones found nothing.
+    ``fetches`` holds (run, feed_url, status, message, duration_ms) per attempt; failed ones found nothing. An
+    attempt gets what its own run found. Without ``run`` on both sides there must be one attempt a feed.
     """
-    runs = feed_run_summary(statuses)
+    keys = [c for c in FETCH_KEYS if c in statuses.columns and c in fetches.columns]
+    key = F.when(F.col("feed_url").isNotNull(), F.concat_ws("\n", *keys))
+    runs = feed_run_summary(statuses).withColumn("_key", key).filter("_key IS NOT NULL")
     ok = F.col("status") == "success"
     spread_by = [c for c in fetches.columns if c != "feed_url"]
-    return lookup_join(fetches, runs, "feed_url", spread_by).select(
-        "feed_url",
+    counted = runs.select("_key", "articles_found", "new_articles")
+    return lookup_join(fetches.withColumn("_key", key), counted, "_key", spread_by).select(
+        *keys,
         "status",
         "message",
         F.col("duration_ms").cast("int").alias("duration_ms"),

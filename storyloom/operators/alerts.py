@@ -1,19 +1,26 @@
 """Alert rules over metric samples.
 
-Samples are (metric, series, tick, value): one row per series and evaluation tick. Windows below
-order the ticks of one series, so their size follows the time span, not the number of events.
+Samples are (metric, series, tick, value): one row per series and evaluation tick. Windows over them
+order the ticks of one series, so their size follows the time span, not the number of events. Changes
+are (metric, series, tick, until, value, before): a row where the value changes, and none for quiet ticks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.time import rfc3339
+from storyloom.functions.urls import delivery_error_class
+from storyloom.operators.metrics import delivery_ok, fetch_error_type, gauge_changes, window_changes
+from storyloom.operators.ordering import along
+
+BLOCK_TICKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -110,13 +117,144 @@ def evaluate(samples: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
+def value_changes(
+    changes: DataFrame, metric: str, series: Column, value: Callable[[Callable[[str], Column]], Column], step: timedelta
+) -> DataFrame:
+    """(metric, series, tick, until, value, before) of ``metrics.window_changes`` or ``gauge_changes``.
+
+    ``value`` makes a rule's value of the measures, which it looks up by name; it is NULL where there is none.
+    """
+    size = int(step.total_seconds())
+    return changes.select(
+        F.lit(metric).alias("metric"),
+        series.alias("series"),
+        F.timestamp_seconds(F.col("slot") * size).alias("tick"),
+        F.timestamp_seconds(F.col("until") * size).alias("until"),
+        value(F.col).cast("double").alias("value"),
+        value(lambda name: F.col(f"{name}_before")).cast("double").alias("before"),
+    )
+
+
+def evaluate_changes(changes: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``evaluate`` of values that hold from ``tick`` until the next row, with ``was``: whether the rule held before.
+
+    Rows tell their own past, so that edges need no look at other rows, and quiet ticks need no rows.
+    """
+    was = condition(F.col("operator"), F.col("before"), F.col("threshold"))
+    return evaluate(changes, rules).withColumn("was", was)
+
+
+def held_changes(evaluated: DataFrame, end: datetime, step: timedelta) -> DataFrame:
+    """``held_alerts`` of ``evaluate_changes``: computed between the edges of a series, for ticks up to ``end``."""
+    size = int(step.total_seconds())
+    # Seconds of edges, in blocks of some ten years of minutes.
+    edges = evaluated.filter(F.col("firing") != F.col("was")).withColumn("_at", F.unix_seconds("tick"))
+    paired = along(edges, ["rule", "series"], "_at", 60 * BLOCK_TICKS, following="_ends")
+    due = F.ceil(F.col("hold_seconds") / size) * size + F.col("_at")
+    last = F.coalesce(F.col("_ends") - size, F.unix_seconds(F.lit(end)))
+    return paired.filter(F.col("firing") & (due <= last)).select(
+        "rule",
+        "series",
+        "severity",
+        F.col("tick").alias("pending_since"),
+        F.timestamp_seconds(due).alias("fired_at"),
+        F.timestamp_seconds("_ends").alias("ended_at"),
+    )
+
+
+def standard_changes(
+    fetch_logs: DataFrame,
+    saves: DataFrame,
+    summary_logs: DataFrame,
+    webhook_logs: DataFrame,
+    requests: DataFrame,
+    breakers: DataFrame,
+    connections: DataFrame,
+    period: tuple[datetime, datetime],
+    step: timedelta,
+) -> DataFrame:
+    """The series that ``STANDARD_RULES`` watch, as changes.
+
+    Logs are those of ``metrics.counter_metrics``; ``saves``: created_at, status; ``requests``: created_at,
+    status_code; ``breakers``: name, ts, seq, state; ``connections``: ts, seq, value (open connections). A series
+    has all labels of its counter, and begins with the period.
+    """
+    minutes, seconds = timedelta(minutes=5), 300.0
+
+    def events(df: DataFrame, labels: dict[str, Column], when: Column | None = None, **measures: Column) -> DataFrame:
+        rows = df if when is None else df.filter(when)
+        return rows.select(
+            F.col("created_at").alias("ts"),
+            *[c.alias(n) for n, c in labels.items()],
+            *[c.alias(n) for n, c in measures.items()],
+        )
+
+    def counted(df: DataFrame, metric: str, labels: list[str], window: timedelta, value, **measures: Column) -> DataFrame:
+        changes = window_changes(df, labels, window, step, measures, df, period)
+        return value_changes(changes, metric, F.concat_ws("/", *labels), value, step)
+
+    def rate(get) -> Column:
+        return get("n") / F.lit(seconds)
+
+    def increase(get) -> Column:
+        return get("n")
+
+    def ratio(get) -> Column:
+        return F.when(get("total") > 0, get("bad") / get("total"))
+
+    def gauge(samples: DataFrame, metric: str, labels: list[str]) -> DataFrame:
+        changes = gauge_changes(samples, labels, step, period)
+        return value_changes(changes, metric, F.concat_ws("/", *labels), lambda get: get("value"), step)
+
+    one = F.lit(1)
+    failed = F.col("status") == "error"
+    code = F.col("response_code")
+    feed = {"feed_url": F.col("feed_url")}
+    parts = [
+        counted(
+            events(fetch_logs, {**feed, "error_type": fetch_error_type(F.col("message"))}, failed),
+            "rate(rss_fetch_errors_total[5m])", ["feed_url", "error_type"], minutes, rate, n=one,
+        ),
+        counted(
+            events(webhook_logs, {"error_type": delivery_error_class(code)}, ~delivery_ok(code)),
+            "rate(discord_webhook_errors_total[5m])", ["error_type"], minutes, rate, n=one,
+        ),
+        counted(
+            events(summary_logs, {"model": F.col("model")}, F.col("status") == "retry_failed"),
+            "rate(summary_api_errors_total[5m])", ["model"], minutes, rate, n=one,
+        ),
+        counted(
+            events(requests, {}, bad=(~F.col("status_code").between(200, 299)).cast("long")),
+            "http_error_ratio[5m]", [], minutes, ratio, bad=F.col("bad"), total=one,
+        ),
+        counted(
+            events(fetch_logs, feed, F.col("status") == "success", new=F.col("new_articles")),
+            "increase(new_articles_found_total[1h])", ["feed_url"], timedelta(hours=1), increase, n=F.col("new"),
+        ),
+        counted(
+            events(saves, {}, F.col("status") == "processed"),
+            "increase(articles_processed_total[1d])", [], timedelta(days=1), increase, n=one,
+        ),
+        gauge(
+            breakers.select("name", "ts", "seq", (F.col("state") == "open").cast("double").alias("value")),
+            "circuit_breaker_state{open}", ["name"],
+        ),
+        gauge(connections, "database_connections{open}", []),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _per_series():
     return Window.partitionBy("rule", "series").orderBy("tick")
 
 
 def transitions(evaluated: DataFrame) -> DataFrame:
-    """Edges only: a row when an alert starts firing and a row when it is resolved."""
+    """Edges only: a row when an alert starts firing and a row when it is resolved.
+
+    Rows of ``evaluate_changes`` tell what was before; those of ``evaluate`` are compared with the tick before.
+    """
     before = F.coalesce(F.lag("firing").over(_per_series()), F.lit(False))
+    before = F.col("was") if "was" in evaluated.columns else before
     return (
         evaluated.withColumn("_before", before)
         .filter(F.col("firing") != F.col("_before"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.urls import delivery_error_class
+from storyloom.operators.ordering import along
 
 # Histogram bounds in seconds, service-level targets, fetch error types by message start.
 DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -31,6 +32,9 @@ FETCH_ERROR_TYPES = {
 }
 
 
+BREAKER_OPEN, MAX_RETRIES = "circuit_breaker_open", "max_retries_exceeded"
+
+
 def fetch_error_type(message: Column) -> Column:
     """Error type of a failed fetch, by how its log message starts."""
     kind = F.lit("unknown")
@@ -102,28 +106,36 @@ def _spread(tallies: DataFrame, families: Sequence[Column]) -> DataFrame:
 
 
 def counter_metrics(
-    fetch_logs: DataFrame, admission: DataFrame, summary_logs: DataFrame, webhook_logs: DataFrame
+    fetch_logs: DataFrame,
+    admission: DataFrame,
+    summary_logs: DataFrame,
+    webhook_logs: DataFrame,
+    max_attempts: int = 3,
 ) -> DataFrame:
     """(metric, label_1, value_1, label_2, value_2, total): every counter family as event tallies.
 
     Each log is read once and reduced to its label values; the families are cut from those tallies.
-    ``admission``: items with their status.
+    ``admission``: items with their status. A delivery whose attempt ``max_attempts`` fails is given up.
     """
     feed, status, model = F.col("feed_url"), F.col("status"), F.col("model")
+    # The log knows an open breaker as an error; the counter has a status of its own for it.
+    rejected = F.coalesce(F.col("error_type") == BREAKER_OPEN, F.lit(False))
+    fetch_status = F.when(rejected, BREAKER_OPEN).otherwise(status)
     n = F.count(F.lit(1)).alias("n")
     fetches = fetch_logs.groupBy(
         "feed_url", "status", F.when(status == "error", fetch_error_type(F.col("message"))).alias("error_type")
     ).agg(n, F.sum("new_articles").alias("fresh"))
     outcome = F.when(status == "success", "success").otherwise("error")
     saved = status.isin("processed", "save_failed")
+    gave_up = (F.col("attempt") == max_attempts) & ~delivery_ok(F.col("response_code"))
     delivered = webhook_logs.groupBy(
         delivery_ok(F.col("response_code")).alias("ok"), delivery_error_class(F.col("response_code")).alias("error_type")
-    ).agg(n)
+    ).agg(n, F.count_if(gave_up).alias("gave_up"))
     parts = [
         _spread(
             fetches,
             [
-                _family("rss_fetch_total", {"feed_url": feed, "status": status}),
+                _family("rss_fetch_total", {"feed_url": feed, "status": fetch_status}),
                 _family(
                     "rss_fetch_errors_total", {"feed_url": feed, "error_type": F.col("error_type")}, status == "error"
                 ),
@@ -168,6 +180,9 @@ def counter_metrics(
             [
                 _family("discord_webhook_requests_total", {"status": F.when(F.col("ok"), "success").otherwise("error")}),
                 _family("discord_webhook_errors_total", {"error_type": F.col("error_type")}, ~F.col("ok")),
+                _family(
+                    "discord_webhook_errors_total", {"error_type": F.lit(MAX_RETRIES)}, F.col("gave_up") > 0, "gave_up"
+                ),
             ],
         ),
     ]
@@ -274,6 +289,76 @@ def rate(
     return grown.select(*labels, (F.col("increase") / F.lit(float(window.total_seconds()))).alias("rate"))
 
 
+# Steps of a series that are summed in one window.
+BLOCK_STEPS = 100_000
+
+
+def _slot_of(at: datetime, step: timedelta) -> int:
+    seconds, size = at.timestamp(), step.total_seconds()
+    if seconds % size:
+        raise ValueError("a period begins and ends at whole steps")
+    return int(seconds / size)
+
+
+def window_changes(
+    events: DataFrame,
+    labels: Sequence[str],
+    window: timedelta,
+    step: timedelta,
+    measures: Mapping[str, Column],
+    series: DataFrame | None = None,
+    period: tuple[datetime, datetime] | None = None,
+) -> DataFrame:
+    """Where trailing sums change: (labels, slot, until, events, each measure, and each with ``_before``).
+
+    A row holds the sums over the ``window`` before every tick from ``slot`` to before ``until`` (in steps since
+    the epoch; NULL: for good), and what they were before. Events are summed per step; a step adds its sums when it
+    enters the window and takes them back when it leaves, so there are two rows a step at most, however long the
+    window is. ``window`` is a whole number of steps; a tick covers (tick - window, tick].
+
+    With ``series`` (the labels of all series) and ``period`` (first and last tick) there is a row at the first tick
+    for every series, before which nothing is known, and ``until`` is NULL beyond the last tick.
+    """
+    size, n = int(step.total_seconds()), int(window / step)
+    slot = F.ceil(F.unix_micros("ts") / F.lit(size * 1_000_000)).cast("long")
+    names = ["events", *measures]
+    sums = [F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(name) for name, m in measures.items()]
+    steps = events.groupBy(*labels, slot.alias("slot")).agg(F.count(F.lit(1)).alias("events"), *sums)
+    enter = F.struct("slot", *names)
+    leave = F.struct((F.col("slot") + n).alias("slot"), *[(-F.col(c)).alias(c) for c in names])
+    deltas = steps.select(*labels, F.explode(F.array(enter, leave)).alias("_d")).select(*labels, "_d.*")
+    if period is not None:
+        first, last = _slot_of(period[0], step), _slot_of(period[1], step)
+        begin = (series.select(*labels).distinct() if labels else series.limit(1)).select(
+            *labels, F.lit(first).cast("long").alias("slot"), *[F.lit(0).cast("long").alias(c) for c in names]
+        )
+        deltas = deltas.unionByName(begin)
+    deltas = deltas.groupBy(*labels, "slot").agg(*[F.sum(c).alias(f"_d_{c}") for c in names])
+    held = along(deltas, labels, "slot", BLOCK_STEPS, sums={c: f"_d_{c}" for c in names}, following="until")
+    before = {c: F.col(c) - F.col(f"_d_{c}") for c in names}
+    if period is not None:
+        held = held.filter(F.col("slot").between(first, last)).withColumn(
+            "until", F.when(F.col("until") <= last, F.col("until"))
+        )
+        before = {c: F.when(F.col("slot") > first, v) for c, v in before.items()}
+    return held.select(*labels, "slot", "until", *names, *[v.alias(f"{c}_before") for c, v in before.items()])
+
+
+def gauge_changes(
+    samples: DataFrame, labels: Sequence[str], step: timedelta, period: tuple[datetime, datetime]
+) -> DataFrame:
+    """(labels, slot, until, value, value_before): the last sample at every tick of the period, as ``window_changes``.
+
+    ``samples``: labels, ts, seq (breaks ties), value. A series begins with its first sample.
+    """
+    size = int(step.total_seconds())
+    first, last = _slot_of(period[0], step), _slot_of(period[1], step)
+    slot = F.greatest(F.ceil(F.unix_micros("ts") / F.lit(size * 1_000_000)).cast("long"), F.lit(first))
+    per_slot = samples.withColumn("slot", slot).filter(F.col("slot") <= last)
+    per_slot = per_slot.groupBy(*labels, "slot").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    return along(per_slot, labels, "slot", BLOCK_STEPS, previous={"value_before": "value"}, following="until")
+
+
 def sliding_increase(
     events: DataFrame,
     labels: Sequence[str],
@@ -283,20 +368,14 @@ def sliding_increase(
 ) -> DataFrame:
     """(labels, tick, increase) at every ``step``, over the ``window`` before the tick.
 
-    Events are first summed per step, so only step totals are copied to the windows they fall in.
-    ``window`` is a whole number of steps. Ticks without events in their window are absent.
+    The ticks between two changes are listed last of all. ``window`` is a whole number of steps. Ticks without
+    events in their window are absent.
     """
-    size, n = int(step.total_seconds()), int(window / step)
-    value = F.count(F.lit(1)) if amount is None else F.coalesce(F.sum(amount), F.lit(0))
-    # A tick covers (tick - window, tick]: an event at a step boundary belongs to the step it ends.
-    slot = F.ceil(F.unix_micros("ts") / F.lit(size * 1_000_000)).cast("long")
-    steps = events.groupBy(*labels, slot.alias("_slot")).agg(value.cast("long").alias("_v"))
-    spread = steps.withColumn("_shift", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return (
-        spread.groupBy(*labels, ((F.col("_slot") + F.col("_shift")) * size).alias("_at"))
-        .agg(F.sum("_v").alias("increase"))
-        .select(*labels, F.timestamp_seconds("_at").alias("tick"), "increase")
-    )
+    size = int(step.total_seconds())
+    changes = window_changes(events, labels, window, step, {"increase": F.lit(1) if amount is None else amount})
+    ticks = F.explode(F.sequence("slot", F.col("until") - 1)).alias("_at")
+    listed = changes.filter("events > 0").select(*labels, ticks, "increase")
+    return listed.select(*labels, F.timestamp_seconds(F.col("_at") * size).alias("tick"), "increase")
 
 
 def success_ratio(events: DataFrame) -> DataFrame:

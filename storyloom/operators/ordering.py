@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,3 +58,50 @@ def number_rows(
         .withColumn(out, F.col(out) + F.col("_before"))
         .select(*df.columns, out)
     )
+
+
+def along(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    block: int,
+    sums: Mapping[str, str] | None = None,
+    previous: Mapping[str, str] | None = None,
+    following: str | None = None,
+) -> DataFrame:
+    """``rows`` with what depends on the other rows of their keys, in the order of the whole number ``order``.
+
+    ``sums`` (new column: summed column) runs up to and with the row, NULLs counting as 0, ``previous`` takes the row
+    before's value, and ``following`` names a column for the next row's ``order``, NULL where there is no such row. ``order`` must
+    tell the rows of a key apart. A key's rows are cut into blocks of ``block`` steps of ``order``, each a window of
+    its own; sums, last values and first places are carried between blocks. Keys may be NULL.
+    """
+    sums, previous = dict(sums or {}), dict(previous or {})
+    blocked = rows.withColumn("_block", F.floor(F.col(order) / block))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    over_blocks = Window.partitionBy(*keys).orderBy("_block")
+    totals = [F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()]
+    lasts = [F.max_by(F.struct(F.col(c).alias("v")), order).alias(f"_last_{out}") for out, c in previous.items()]
+    blocks = blocked.groupBy(*keys, "_block").agg(F.min(order).alias("_first"), *totals, *lasts)
+    carried = blocks.select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+        F.col("_block").alias("_at_block"),
+        F.lead("_first").over(over_blocks).alias("_next_first"),
+        *[F.sum(f"_sum_{out}").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_sum_{out}") for out in sums],
+        *[F.lag(f"_last_{out}").over(over_blocks).alias(f"_last_{out}") for out in previous],
+    )
+    local = blocked.select(
+        "*",
+        F.lead(order).over(inside).alias("_next"),
+        *[F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_here_{out}") for out, c in sums.items()],
+        *[F.lag(F.struct(F.col(c).alias("v"))).over(inside).alias(f"_before_{out}") for out, c in previous.items()],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    joined = local.join(carried, reduce(Column.__and__, same, F.col("_block") == F.col("_at_block")))
+    out = [F.coalesce("_next", "_next_first").alias(following)] if following else []
+    return joined.select(
+        *rows.columns,
+        *[(F.coalesce(f"_sum_{o}", F.lit(0)) + F.coalesce(f"_here_{o}", F.lit(0))).alias(o) for o in sums],
+        *[F.coalesce(f"_before_{o}", f"_last_{o}")["v"].alias(o) for o in previous],
+        *out,
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.html import extract_main_content
 from storyloom.functions.text import MAX_ARTICLE_BYTES, sanitize_utf8
+from storyloom.operators.listing import like_pattern
 from storyloom.operators.tables import keyed_update
 from storyloom.sources.pages import HTTP_OK, latest_pages
 
@@ -28,7 +29,7 @@ def reextract_outcomes(
     ``pages``: url, html, status (HTTP code). A page that is missing or not 200 counts as failed; of several
     the latest one counts, by ``fetched_at`` if there is such a column.
     """
-    matched = articles.filter(F.col("url").ilike(f"%{pattern}%")).select("id", "url")
+    matched = articles.filter(F.col("url").ilike(like_pattern(pattern))).select("id", "url")
     fetched = latest_pages(pages.filter(F.col("status") == HTTP_OK).join(matched.select("url").distinct(), "url", "left_semi"))
     content = extract_main_content(F.col("html"), max_bytes)
     # Text is extracted after the join, so only matched pages reach Python.

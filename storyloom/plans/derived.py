@@ -309,15 +309,15 @@ SQL = {
     # One landed feed document per article: RSS for even ids, Atom for odd ones.
     "feed_docs": """
         SELECT id, CASE WHEN id % 2 = 0 THEN '<?xml version="1.0"?><rss version="2.0"><channel><title>t</title>'
-            || '<item><title>' || t || '</title><link> ' || url || ' </link><pubDate>'
-            || strftime(publish_date, '%a, %d %b %Y %H:%M:%S') || ' GMT</pubDate><description>' || c
+            || '<item><title>' || t || '</title><link> ' || url || ' </link>' || coalesce('<pubDate>'
+            || strftime(publish_date, '%a, %d %b %Y %H:%M:%S') || ' GMT</pubDate>', '') || '<description>' || c
             || '</description></item><item><title>second</title></item></channel></rss>'
           ELSE '<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title><entry><title>' || t
-            || '</title><link rel="self" href="x"/><link href="' || url || '"/><updated>'
-            || strftime(publish_date, '%Y-%m-%dT%H:%M:%SZ') || '</updated><summary>' || c
+            || '</title><link rel="self" href="x"/><link href="' || url || '"/>' || coalesce('<updated>'
+            || strftime(publish_date, '%Y-%m-%dT%H:%M:%SZ') || '</updated>', '') || '<summary>' || c
             || '</summary></entry></feed>' END AS x
         FROM (SELECT *, replace(replace(title, '&', '&amp;'), '<', '&lt;') AS t,
-          replace(replace(full_content, '&', '&amp;'), '<', '&lt;') AS c FROM articles WHERE publish_date IS NOT NULL)""",
+          replace(replace(full_content, '&', '&amp;'), '<', '&lt;') AS c FROM articles)""",
     # Text of the article element of a page: markup dropped, entities decoded (the semicolon may be
     # missing), blanks trimmed.
     "page_texts": r"""

@@ -45,7 +45,11 @@ _CLASS = (
 )
 COUNTERS_SQL = " UNION ALL ".join(
     [
-        _family_sql("rss_fetch_total", {"feed_url": "feed_url", "status": "status"}, "fetch_logs"),
+        _family_sql(
+            "rss_fetch_total",
+            {"feed_url": "feed_url", "status": "CASE message WHEN 'Circuit breaker is open' THEN 'circuit_breaker_open' ELSE status END"},
+            "fetch_logs",
+        ),
         _family_sql(
             "rss_fetch_errors_total", {"feed_url": "feed_url", "error_type": "error_type"}, "failed_fetches",
         ),
@@ -79,6 +83,10 @@ COUNTERS_SQL = " UNION ALL ".join(
             "webhook_logs",
         ),
         _family_sql("discord_webhook_errors_total", {"error_type": _CLASS}, "webhook_logs", f"NOT {OK_CODE}"),
+        _family_sql(
+            "discord_webhook_errors_total", {"error_type": "'max_retries_exceeded'"}, "webhook_logs",
+            f"NOT {OK_CODE} AND attempt = 3",
+        ),
     ]
 )
 
@@ -184,11 +192,14 @@ def _(spark, sf):
 
 @query(
     "rate",
-    f"""SELECT status, count(*) / 300.0::DOUBLE AS rate FROM fetch_logs
-        WHERE created_at > {L} - INTERVAL 1 DAY - INTERVAL 5 MINUTE AND created_at <= {L} - INTERVAL 1 DAY GROUP BY 1""",
+    """WITH last AS (SELECT max(created_at) AS t FROM fetch_logs)
+       SELECT status, count(*) / 300.0::DOUBLE AS rate FROM fetch_logs, last
+       WHERE created_at > t - INTERVAL 5 MINUTE AND created_at <= t GROUP BY 1""",
 )
 def _(spark, sf):
-    return metrics.rate(_feed_events(spark, sf), ["status"], d.LOG_NOW - DAY)
+    events = _feed_events(spark, sf)
+    now = events.agg(F.max("ts")).first()[0]  # the five minutes before the last fetch
+    return metrics.rate(events, ["status"], now.astimezone(timezone.utc))
 
 
 SLIDING_SQL = """SELECT {labels}, t AS tick, count(*) AS increase FROM {source} JOIN
@@ -207,6 +218,24 @@ def _(spark, sf):
     return metrics.sliding_increase(_feed_events(spark, sf), ["status"], DAY, timedelta(hours=1))
 
 
+@query(
+    "increase_changes",
+    """WITH ev AS (SELECT status, created_at AS ts, new_articles AS v,
+           make_timestamp((ceil(epoch_us(created_at) / 30e6) * 30000000)::BIGINT) AS t FROM fetch_logs),
+         ticks AS (SELECT DISTINCT status, t FROM ev UNION SELECT status, t + INTERVAL 7 DAY FROM ev)
+       SELECT k.status, k.t AS tick, lead(k.t) OVER (PARTITION BY k.status ORDER BY k.t) AS until,
+         count(ts) AS events, coalesce(sum(v), 0)::BIGINT AS increase
+       FROM ticks k LEFT JOIN ev ON ev.status = k.status AND ts > k.t - INTERVAL 7 DAY AND ts <= k.t GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    # Seven days at every half minute: 20 160 ticks a window.
+    amount = {"increase": F.col("new_articles")}
+    step = timedelta(seconds=30)
+    changes = metrics.window_changes(_feed_events(spark, sf), ["status"], 7 * DAY, step, amount)
+    at = {c: F.timestamp_seconds(F.col(c) * 30) for c in ("slot", "until")}
+    return changes.select("status", at["slot"].alias("tick"), at["until"].alias("until"), "events", "increase")
+
+
 @query(
     "success_ratio",
     f"""SELECT stage, count(*) AS total, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE ok) / count(*) AS ratio,
@@ -324,6 +353,14 @@ def _samples(spark, sf):
     )
 
 
+def _changes(spark, sf):
+    """The same samples without a row for each quiet tick."""
+    feeds, hour = _feed_events(spark, sf), timedelta(hours=1)
+    errors = feeds.filter(F.col("status") == "error")
+    grown = metrics.window_changes(errors, ["feed_url"], timedelta(hours=6), hour, {"n": F.lit(1)}, feeds, (T0, T1))
+    return alerts.value_changes(grown, "fetch_errors[6h]", F.col("feed_url"), lambda get: get("n"), hour)
+
+
 @query("alert_eval", f"SELECT rule, series, tick, value, firing FROM ({EVAL_SQL})")
 def _(spark, sf):
     return alerts.evaluate(_samples(spark, sf), RULES).select("rule", "series", "tick", "value", "firing")
@@ -335,7 +372,7 @@ def _(spark, sf):
         threshold, description FROM ({EDGES_SQL})""",
 )
 def _(spark, sf):
-    return alerts.transitions(alerts.evaluate(_samples(spark, sf), RULES))
+    return alerts.transitions(alerts.evaluate_changes(_changes(spark, sf), RULES))
 
 
 @query(
@@ -344,7 +381,7 @@ def _(spark, sf):
         lead(tick) OVER (PARTITION BY rule, series ORDER BY tick) AS ends_at FROM ({EDGES_SQL})) WHERE firing""",
 )
 def _(spark, sf):
-    return alerts.episodes(alerts.evaluate(_samples(spark, sf), RULES))
+    return alerts.episodes(alerts.evaluate_changes(_changes(spark, sf), RULES))
 
 
 @query(
@@ -358,7 +395,7 @@ def _(spark, sf):
         HAVING max(tick) - min(tick) >= to_hours(CAST(hold AS BIGINT))""",
 )
 def _(spark, sf):
-    return alerts.held_alerts(alerts.evaluate(_samples(spark, sf), RULES))
+    return alerts.held_changes(alerts.evaluate_changes(_changes(spark, sf), RULES), T1, timedelta(hours=1))
 
 
 @query(
@@ -384,13 +421,13 @@ def _(spark, sf):
           FROM ({EDGES_SQL}) WINDOW w AS (PARTITION BY rule, series ORDER BY tick))""",
 )
 def _(spark, sf):
-    edges = alerts.edges_with_start(alerts.evaluate(_samples(spark, sf), RULES))
+    edges = alerts.edges_with_start(alerts.evaluate_changes(_changes(spark, sf), RULES))
     columns = ["rule", "series", "status", "starts_at", "embed_payload", "attachment_payload"]
     return alerts.alert_payloads(edges).select(*columns)
 
 
 VOLUME_SQL = """WITH ticks AS (SELECT 'success' AS series,
-      unnest(generate_series(TIMESTAMP '2025-06-01', TIMESTAMP '2025-07-15', INTERVAL 1 HOUR)) AS t),
+      unnest(generate_series(TIMESTAMP '2025-05-25', TIMESTAMP '2025-07-20', INTERVAL 1 HOUR)) AS t),
     s AS (SELECT series, t, count(a.ts) FILTER (WHERE a.ts > t - INTERVAL 1 DAY) AS d1, count(a.ts) AS d2
       FROM ticks k LEFT JOIN (SELECT created_at AS ts FROM save_logs WHERE status = 'processed') a
         ON a.ts > t - INTERVAL 2 DAY AND a.ts <= t GROUP BY ALL),
@@ -404,25 +441,19 @@ VOLUME_SQL = """WITH ticks AS (SELECT 'success' AS series,
 
 @query("alert_volume", VOLUME_SQL)
 def _(spark, sf):
-    # One series over all feeds, as the counter has no feed label.
-    saved = d.save_logs(spark, sf).withColumn("status", F.lit("success")).select("status", "created_at")
-    processed = d.save_logs(spark, sf).filter(F.col("status") == "processed")
-    events = processed.select(F.lit("success").alias("status"), F.col("created_at").alias("ts"))
-    start, end = datetime(2025, 6, 1, tzinfo=timezone.utc), datetime(2025, 7, 15, tzinfo=timezone.utc)
-    hour = timedelta(hours=1)
-
-    def samples(days):
-        grown = metrics.sliding_increase(events, ["status"], days * DAY, hour)
-        full = alerts.on_ticks(grown, ["status"], saved, start, end, hour)
-        return full.select(
-            F.lit(f"increase(articles_processed_total[{days}d])").alias("metric"),
-            F.col("status").alias("series"),
-            "tick",
-            F.col("increase").cast("double").alias("value"),
-        )
-
-    evaluated = alerts.evaluate(samples(1).unionByName(samples(2)), alerts.VOLUME_RULES)
-    return alerts.held_alerts(evaluated).select("rule", "series", "pending_since", "fired_at")
+    # One series over all feeds, as the counter has no feed label. The period begins before the first article.
+    saved = d.save_logs(spark, sf).withColumn("status", F.when(F.col("status") == "processed", "success"))
+    every = saved.select(F.lit("success").alias("status"))
+    events = saved.filter(F.col("status").isNotNull()).select("status", F.col("created_at").alias("ts"))
+    period, hour = (datetime(2025, 5, 25, tzinfo=timezone.utc), datetime(2025, 7, 20, tzinfo=timezone.utc)), timedelta(hours=1)
+
+    def changes(days):
+        grown = metrics.window_changes(events, ["status"], days * DAY, hour, {"n": F.lit(1)}, every, period)
+        metric = f"increase(articles_processed_total[{days}d])"
+        return alerts.value_changes(grown, metric, F.col("status"), lambda get: get("n"), hour)
+
+    evaluated = alerts.evaluate_changes(changes(1).unionByName(changes(2)), alerts.VOLUME_RULES)
+    return alerts.held_changes(evaluated, period[1], hour).select("rule", "series", "pending_since", "fired_at")
 
 
 # -- circuit breakers ---------------------------------------------------
@@ -489,3 +520,68 @@ def _(spark, sf):
 def _(spark, sf):
     states = breaker.breaker_states(breaker.breaker_replay(_attempts(spark, sf)))
     return stats.breaker_health(states.filter("value = 1"))
+
+
+# -- the standard rules ---------------------------------------------------
+
+WEEK = (datetime(2024, 1, 8, tzinfo=timezone.utc), datetime(2024, 1, 15, tzinfo=timezone.utc))
+FIVE = timedelta(minutes=5)
+# Every series on a grid of five minutes with its counts per step (or last value), then windows over the grid.
+STANDARD_SQL = f"""WITH RECURSIVE replayed AS MATERIALIZED ({BREAKER_SQL}),
+    grid AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-15', INTERVAL 5 MINUTE)) AS t),
+    raw AS (
+      SELECT 'fetch' AS m, concat_ws('/', feed_url, error_type) AS series, created_at AS ts, 1 AS a, 0 AS b FROM failed_fetches
+      UNION ALL SELECT 'delivery', {_CLASS}, created_at, 1, 0 FROM webhook_logs WHERE NOT {OK_CODE}
+      UNION ALL SELECT 'summary', model, created_at, 1, 0 FROM summary_logs WHERE status = 'retry_failed'
+      UNION ALL SELECT 'http', '', created_at, CASE WHEN response_code BETWEEN 200 AND 299 THEN 0 ELSE 1 END, 1
+        FROM webhook_logs WHERE response_code IS NOT NULL
+      UNION ALL SELECT 'new', feed_url, created_at, new_articles, 0 FROM fetch_logs WHERE status = 'success'
+      UNION ALL SELECT 'saved', '', created_at - INTERVAL 525 DAY, 1, 0 FROM save_logs WHERE status = 'processed'),
+    steps AS (SELECT m, series, make_timestamp((ceil(epoch_us(ts) / 300e6) * 300000000)::BIGINT) AS t, sum(a) AS a, sum(b) AS b
+      FROM raw GROUP BY ALL),
+    wide AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-06', TIMESTAMP '2024-01-15', INTERVAL 5 MINUTE)) AS t),
+    dense AS (SELECT s.m, s.series, w.t, coalesce(a, 0) AS a, coalesce(b, 0) AS b
+      FROM (SELECT DISTINCT m, series FROM raw) s CROSS JOIN wide w LEFT JOIN steps x ON x.m = s.m AND x.series = s.series AND x.t = w.t),
+    sums AS (SELECT *, sum(a) OVER (PARTITION BY m, series ORDER BY t ROWS 11 PRECEDING) AS hour,
+      sum(a) OVER (PARTITION BY m, series ORDER BY t ROWS 287 PRECEDING) AS day FROM dense),
+    gauges AS (
+      SELECT 'breaker' AS m, name AS series, make_timestamp(epoch_us(ts) * 10) AS ts, seq, state_after = 'open' AS bad FROM replayed
+      UNION ALL SELECT 'connections', '', ts, event_id, event_id % 50 = 0 FROM events),
+    last AS (SELECT g.m, g.series, k.t, arg_max(bad, (ts, seq)) AS bad
+      FROM (SELECT m, series, bad, ts, seq, greatest(TIMESTAMP '2024-01-08',
+              make_timestamp((ceil(epoch_us(ts) / 300e6) * 300000000)::BIGINT)) AS t FROM gauges) g JOIN grid k ON k.t = g.t GROUP BY ALL),
+    filled AS (SELECT s.m, s.series, k.t, last_value(bad IGNORE NULLS) OVER (PARTITION BY s.m, s.series ORDER BY k.t) AS bad
+      FROM (SELECT DISTINCT m, series FROM gauges) s CROSS JOIN grid k LEFT JOIN last l ON l.m = s.m AND l.series = s.series AND l.t = k.t),
+    state AS (
+      SELECT CASE m WHEN 'fetch' THEN 'rss_fetch_failure_rate_high' WHEN 'delivery' THEN 'discord_webhook_failure_rate_high'
+          WHEN 'summary' THEN 'summary_api_failure_rate_high' WHEN 'http' THEN 'high_http_error_rate'
+          WHEN 'new' THEN 'no_new_articles_found' ELSE 'daily_article_processing_low' END AS rule, series, t,
+        CASE m WHEN 'fetch' THEN a / 300.0::DOUBLE > 0.1::DOUBLE WHEN 'delivery' THEN a / 300.0::DOUBLE > 0.05::DOUBLE
+          WHEN 'summary' THEN a / 300.0::DOUBLE > 0.1::DOUBLE WHEN 'http' THEN b > 0 AND a / b::DOUBLE > 0.1::DOUBLE
+          WHEN 'new' THEN hour = 0 ELSE day < 5 END AS firing,
+        CASE m WHEN 'new' THEN 60 WHEN 'saved' THEN 360 ELSE 5 END AS hold FROM sums JOIN grid USING (t)
+      UNION ALL SELECT CASE m WHEN 'breaker' THEN 'circuit_breaker_open' ELSE 'database_connection_issues' END, series, t,
+        coalesce(bad, false), 5 FROM filled)
+    SELECT rule, series, min(t) AS pending_since, min(t) + to_minutes(hold) AS fired_at,
+      CASE WHEN max(t) < TIMESTAMP '2024-01-15' THEN max(t) + INTERVAL 5 MINUTE END AS ended_at
+    FROM (SELECT *, t - to_minutes(5 * row_number() OVER (PARTITION BY rule, series ORDER BY t)) AS island
+      FROM state WHERE firing) GROUP BY rule, series, hold, island HAVING max(t) - min(t) >= to_minutes(hold)"""
+
+
+@query("standard_alerts", STANDARD_SQL)
+def _(spark, sf):
+    # Articles of 2025 are moved into the week; delivery attempts stand for API requests, events for pool samples.
+    saves = d.save_logs(spark, sf).withColumn("created_at", F.col("created_at") - F.expr("INTERVAL 525 DAY"))
+    requests = d.webhook_logs(spark, sf).select("created_at", F.col("response_code").alias("status_code"))
+    replayed = breaker.breaker_replay(_attempts(spark, sf))
+    breakers = replayed.select(
+        "name", F.timestamp_micros(F.unix_micros("ts") * 10).alias("ts"), "seq", F.col("state_after").alias("state")
+    )
+    pool = F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(5.0)
+    connections = d.base(spark, sf, "events").select("ts", F.col("event_id").alias("seq"), pool.alias("value"))
+    changes = alerts.standard_changes(
+        d.fetch_logs(spark, sf), saves, d.summary_logs(spark, sf), d.webhook_logs(spark, sf),
+        requests.filter(F.col("status_code").isNotNull()), breakers, connections, WEEK, FIVE,
+    )
+    held = alerts.held_changes(alerts.evaluate_changes(changes, alerts.STANDARD_RULES), WEEK[1], FIVE)
+    return held.select("rule", "series", "pending_since", "fired_at", "ended_at")

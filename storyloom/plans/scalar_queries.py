@@ -9,7 +9,7 @@ from storyloom.functions.time import parse_feed_time, parse_multi_timestamp, rfc
 from storyloom.operators import notify, reextract
 from storyloom.plans import derived as d
 from storyloom.plans.registry import query
-from storyloom.sources.feeds import parse_feed_list, parse_feeds, solver_response
+from storyloom.sources.feeds import parse_feed_list, parse_feeds, parse_outcomes, solver_response
 from storyloom.sources.pages import page_scan
 
 WS = r"[\t\n\x0B\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -386,41 +386,98 @@ def _(spark, sf):
     return parse_feed_list(lines)
 
 
-def _feed_documents(spark, sf):
-    """One landed feed document per article: RSS for even ids, Atom for odd ones."""
+def _escaped(c):
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _element(name, text):
+    """Nothing where the text is NULL."""
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>")), F.lit(""))
 
-    def escaped(c):
-        return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
-    arts = d.articles(spark, sf).filter(F.col("publish_date").isNotNull())
-    stamp = F.date_format("publish_date", "EEE, dd MMM yyyy HH:mm:ss")
-    rss = F.concat(
+def _rss_date():
+    return F.concat(F.date_format("publish_date", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+
+
+def _rss_document(title, rest):
+    return F.concat(
         F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>t</title><item><title>'),
-        escaped(F.col("title")), F.lit("</title><link> "), F.col("url"), F.lit(" </link><pubDate>"), stamp,
-        F.lit(" GMT</pubDate><description>"), escaped(F.col("full_content")),
-        F.lit("</description></item><item><title>second</title></item></channel></rss>"),
+        title, F.lit("</title><link> "), F.col("url"), F.lit(" </link>"), _element("pubDate", _rss_date()),
+        F.lit("<description>"), _escaped(F.col("full_content")), F.lit("</description></item>"), rest,
     )
-    atom = F.concat(
+
+
+def _atom_document():
+    return F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title><entry><title>'),
-        escaped(F.col("title")), F.lit('</title><link rel="self" href="x"/><link href="'), F.col("url"),
-        F.lit('"/><updated>'), rfc3339(F.col("publish_date")), F.lit("</updated><summary>"),
-        escaped(F.col("full_content")), F.lit("</summary></entry></feed>"),
+        _escaped(F.col("title")), F.lit('</title><link rel="self" href="x"/><link href="'), F.col("url"),
+        F.lit('"/>'), _element("updated", rfc3339(F.col("publish_date"))), F.lit("<summary>"),
+        _escaped(F.col("full_content")), F.lit("</summary></entry></feed>"),
     )
-    return arts.select("id", F.when(F.col("id") % 2 == 0, rss).otherwise(atom).alias("xml"))
+
+
+SECOND = "<item><title>second</title></item></channel></rss>"
+
+
+def _feed_documents(spark, sf):
+    """One landed feed document per article: RSS for even ids, Atom for odd ones."""
+    rss = _rss_document(_escaped(F.col("title")), F.lit(SECOND))
+    return d.articles(spark, sf).select("id", F.when(F.col("id") % 2 == 0, rss).otherwise(_atom_document()).alias("xml"))
 
 
 @query(
     "feed_items",
     """SELECT CAST(id AS VARCHAR) AS feed_url, 0::BIGINT AS item_no, url AS link, trim(title) AS title,
-         publish_date AS published, trim(full_content) AS description FROM articles WHERE publish_date IS NOT NULL
-       UNION ALL SELECT CAST(id AS VARCHAR), 1, NULL, 'second', NULL, NULL FROM articles
-         WHERE publish_date IS NOT NULL AND id % 2 = 0""",
+         publish_date AS published, trim(full_content) AS description FROM articles
+       UNION ALL SELECT CAST(id AS VARCHAR), 1, NULL, 'second', NULL, NULL FROM articles WHERE id % 2 = 0""",
 )
 def _(spark, sf):
     docs = _feed_documents(spark, sf)
     return parse_feeds(docs.select(F.col("id").cast("string").alias("feed_url"), "xml"))
 
 
+def _feed_shapes(spark, sf):
+    """A document per article: RSS, RSS 1.0, Atom, RSS with bare ampersands, RSS cut off in its second item, a page."""
+    title, dated = _escaped(F.col("title")), rfc3339(F.col("publish_date"))
+    rdf = F.concat(
+        F.lit('<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>t</title></channel><item><title>'), title,
+        F.lit("</title><link>"), F.col("url"), F.lit("</link>"), _element("dc:date", dated), F.lit("<description>"),
+        _escaped(F.col("full_content")), F.lit("</description></item></rdf:RDF>"),
+    )
+    bare = _rss_document(F.concat(F.lit("Q & A, AT&T &eacute;: "), title), F.lit(SECOND))
+    k = F.col("id") % 6
+    xml = (
+        F.when(k == 0, _rss_document(title, F.lit(SECOND)))
+        .when(k == 1, rdf)
+        .when(k == 2, _atom_document())
+        .when(k == 3, bare)
+        .when(k == 4, _rss_document(title, F.lit("<item><title>sec")))
+        .otherwise(F.concat(F.lit("<html><body>"), _escaped(F.col("full_content")), F.lit("</body></html>")))
+    )
+    return d.articles(spark, sf).select(F.col("id").cast("string").alias("feed_url"), xml.alias("xml"))
+
+
+@query(
+    "feed_items_of_all_shapes",
+    """SELECT CAST(id AS VARCHAR) AS feed_url, 0::BIGINT AS item_no, url AS link,
+         CASE WHEN id % 6 = 3 THEN 'Q & A, AT&T é: ' || rtrim(title) ELSE trim(title) END AS title,
+         publish_date AS published, trim(full_content) AS description FROM articles WHERE id % 6 <> 5
+       UNION ALL SELECT CAST(id AS VARCHAR), 1, NULL, 'second', NULL, NULL FROM articles WHERE id % 6 IN (0, 3)""",
+)
+def _(spark, sf):
+    return parse_feeds(_feed_shapes(spark, sf))
+
+
+@query(
+    "feed_outcomes",
+    """SELECT CAST(id AS VARCHAR) AS feed_url, CASE WHEN id % 6 < 4 THEN 'success' ELSE 'error' END AS status,
+         CASE WHEN id % 6 < 4 THEN '' ELSE 'parse_failed' END AS message,
+         CASE id % 6 WHEN 0 THEN 2 WHEN 3 THEN 2 WHEN 5 THEN 0 ELSE 1 END AS articles_found FROM articles""",
+)
+def _(spark, sf):
+    return parse_outcomes(_feed_shapes(spark, sf)).select("feed_url", "status", "message", "articles_found")
+
+
 @query("feed_xml_unwrap", "SELECT id, md5(x) AS digest FROM (SELECT id, x FROM feed_docs)")
 def _(spark, sf):
     xml, k = F.col("xml"), F.col("id") % 4

@@ -64,27 +64,32 @@ def _(spark, sf):
     return number_rows(rows, ["feed_url"], [F.col("published").asc_nulls_last(), F.col("item_no")], out="position")
 
 
-@query(
-    "feed_run_summary",
-    """SELECT feed_url, count(*) AS articles_found, count(*) FILTER (WHERE status = 'processed') AS new_articles
-       FROM admission GROUP BY 1""",
-)
+RUN_SQL = """SELECT item_no % 6 AS run, feed_url, count(*) AS articles_found,
+       count(*) FILTER (WHERE status = 'processed') AS new_articles FROM admission GROUP BY 1, 2"""
+
+
+def _run_statuses(spark, sf):
+    """Items as found by six runs over the feeds."""
+    return _statuses(spark, sf).withColumn("run", F.col("item_no") % 6)
+
+
+@query("feed_run_summary", RUN_SQL)
 def _(spark, sf):
-    return admission.feed_run_summary(_statuses(spark, sf))
+    return admission.feed_run_summary(_run_statuses(spark, sf))
 
 
 @query(
     "fetch_log_append",
-    f"""SELECT f.feed_url, f.status, f.message, f.duration_ms,
-          CAST(CASE WHEN f.status = 'success' THEN coalesce(n, 0) ELSE 0 END AS INTEGER) AS articles_found,
-          CAST(CASE WHEN f.status = 'success' THEN coalesce(m, 0) ELSE 0 END AS INTEGER) AS new_articles,
+    f"""SELECT f.run, f.feed_url, f.status, f.message, f.duration_ms,
+          CAST(CASE WHEN f.status = 'success' THEN coalesce(r.articles_found, 0) ELSE 0 END AS INTEGER) AS articles_found,
+          CAST(CASE WHEN f.status = 'success' THEN coalesce(r.new_articles, 0) ELSE 0 END AS INTEGER) AS new_articles,
           {A} AS created_at
-        FROM fetch_logs f LEFT JOIN (SELECT feed_url, count(*) AS n,
-          count(*) FILTER (WHERE status = 'processed') AS m FROM admission GROUP BY 1) r USING (feed_url)""",
+        FROM (SELECT *, id % 6 AS run FROM fetch_logs) f LEFT JOIN ({RUN_SQL}) r
+          ON r.run = f.run AND r.feed_url = f.feed_url""",
 )
 def _(spark, sf):
-    fetches = d.fetch_logs(spark, sf).select("id", "feed_url", "status", "message", "duration_ms")
-    return admission.fetch_log_rows(_statuses(spark, sf), fetches, d.ARTICLE_NOW)
+    fetches = d.fetch_logs(spark, sf).select("id", (F.col("id") % 6).alias("run"), "feed_url", "status", "message", "duration_ms")
+    return admission.fetch_log_rows(_run_statuses(spark, sf), fetches, d.ARTICLE_NOW)
 
 
 INSERT_COLUMNS = (

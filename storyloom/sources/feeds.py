@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.functions.feed_xml import recovered_batch
 from storyloom.functions.html import unwrap_feed_xml
 from storyloom.functions.text import trim_ws
 from storyloom.functions.time import parse_feed_time
@@ -12,6 +13,8 @@ from storyloom.functions.time import parse_feed_time
 # An accepted answer of a challenge solver.
 SOLVER_SCHEMA = "status string, message string, solution struct<status: int, response: string>"
 SOLVER_OK, SOLVER_HTTP_OK = "ok", 200
+# Fixed value: how the log message of an unreadable document begins.
+PARSE_FAILED = "Failed to parse feed: "
 
 _LINK = "struct<_href: string, _rel: string, _VALUE: string>"
 RSS_ITEM = "struct<title: string, link: string, pubDate: string, `dc:date`: string, description: string>"
@@ -53,17 +56,11 @@ def _unprefixed(xml: Column) -> Column:
     return F.when(prefix == "", xml).otherwise(F.regexp_replace(xml, pattern, F.lit("<$1")))
 
 
-def _rss_items(xml: Column) -> Column:
-    return F.from_xml(xml, f"channel struct<item: array<{RSS_ITEM}>>")["channel"]["item"]
-
-
-def _rdf_items(xml: Column) -> Column:
-    """RSS 1.0: items stand beside the channel."""
-    return F.from_xml(xml, f"item array<{RSS_ITEM}>")["item"]
-
-
-def _atom_entries(xml: Column) -> Column:
-    return F.from_xml(xml, f"entry array<{ATOM_ENTRY}>")["entry"]
+#: Where a strict parser puts a document that it can't read.
+_DEFECT = "_corrupt_record"
+_RSS = f"channel struct<item: array<{RSS_ITEM}>>, {_DEFECT} string"
+_RDF = f"item array<{RSS_ITEM}>, {_DEFECT} string"  # RSS 1.0: items stand beside the channel
+_ATOM = f"entry array<{ATOM_ENTRY}>, {_DEFECT} string"
 
 
 def _rss_fields(item: Column) -> Column:
@@ -85,28 +82,59 @@ def _atom_fields(entry: Column) -> Column:
     )
 
 
-def parse_outcomes(documents: DataFrame) -> DataFrame:
-    """(feed_url, status, message): whether each document is a feed that can be read."""
-    readable = feed_kind(F.col("xml")).isNotNull()
-    return documents.select(
+def parsed_documents(documents: DataFrame) -> DataFrame:
+    """(feed_url, xml) to (feed_url, kind, items, defect), one row a document.
+
+    Well-formed documents are read by Spark's parser. Of others, ampersands and named references of HTML are
+    mended; items that end before a worse defect are kept and the defect is told. ``kind`` is NULL for documents
+    that are no feed, which have no items.
+    """
+    xml, kind = F.col("xml"), F.col("kind")
+    known = documents.select("feed_url", "xml", feed_kind(F.col("xml")).alias("kind"))
+    strict = known.select(
         "feed_url",
-        F.when(readable, "success").otherwise("error").alias("status"),
-        F.when(readable, "").otherwise("parse_failed").alias("message"),
+        "xml",
+        "kind",
+        F.when(kind == "rss", F.from_xml(xml, _RSS)).alias("_rss"),
+        F.when(kind == "rdf", F.from_xml(xml, _RDF)).alias("_rdf"),
+        F.when(kind == "atom", F.from_xml(_unprefixed(xml), _ATOM)).alias("_atom"),
+    )
+    broken = F.coalesce(*[F.col(f"{c}.{_DEFECT}") for c in ("_rss", "_rdf", "_atom")]).isNotNull()
+    # Python sees the text of broken documents only.
+    mended = strict.withColumn("_mended", recovered_batch(F.when(broken, xml)))
+    items = (
+        F.when(broken, F.col("_mended.items"))
+        .when(kind == "rss", F.transform("_rss.channel.item", _rss_fields))
+        .when(kind == "rdf", F.transform("_rdf.item", _rss_fields))
+        .when(kind == "atom", F.transform("_atom.entry", _atom_fields))
     )
+    return mended.select("feed_url", "kind", items.alias("items"), F.col("_mended.defect").alias("defect"))
 
 
-def parse_feeds(documents: DataFrame) -> DataFrame:
-    """(feed_url, xml) to one row per item, RSS 2.0, RSS 1.0 and Atom alike, in document order.
+def document_outcomes(parsed: DataFrame) -> DataFrame:
+    """(feed_url, status, message, articles_found, detail) of ``parsed_documents``.
 
-    Documents of other kinds have no items; ``parse_outcomes`` tells which they are.
+    A document that could not be read to its end is an error, also if items before the defect were found.
     """
-    xml, kind = F.col("xml"), feed_kind(F.col("xml"))
-    items = (
-        F.when(kind == "atom", F.transform(_atom_entries(_unprefixed(xml)), _atom_fields))
-        .when(kind == "rdf", F.transform(_rdf_items(xml), _rss_fields))
-        .when(kind == "rss", F.transform(_rss_items(xml), _rss_fields))
+    readable = F.col("kind").isNotNull() & F.col("defect").isNull()
+    detail = F.concat(F.lit(PARSE_FAILED), F.coalesce("defect", F.lit("not a feed")))
+    return parsed.select(
+        "feed_url",
+        F.when(readable, "success").otherwise("error").alias("status"),
+        F.when(readable, "").otherwise("parse_failed").alias("message"),
+        F.coalesce(F.size("items"), F.lit(0)).alias("articles_found"),
+        F.when(readable, "").otherwise(detail).alias("detail"),
     )
-    return documents.select("feed_url", F.posexplode(items).alias("item_no", "item")).select(
+
+
+def parse_outcomes(documents: DataFrame) -> DataFrame:
+    """``document_outcomes`` of (feed_url, xml)."""
+    return document_outcomes(parsed_documents(documents))
+
+
+def feed_rows(parsed: DataFrame) -> DataFrame:
+    """One row per item of ``parsed_documents``, in document order."""
+    return parsed.select("feed_url", F.posexplode("items").alias("item_no", "item")).select(
         "feed_url",
         F.col("item_no").cast("long").alias("item_no"),
         trim_ws(F.col("item.link")).alias("link"),
@@ -116,6 +144,14 @@ def parse_feeds(documents: DataFrame) -> DataFrame:
     )
 
 
+def parse_feeds(documents: DataFrame) -> DataFrame:
+    """(feed_url, xml) to one row per item, RSS 2.0, RSS 1.0 and Atom alike, in document order.
+
+    Documents of other kinds have no items; ``parse_outcomes`` tells which they are, and which have defects.
+    """
+    return feed_rows(parsed_documents(documents))
+
+
 def read_rss_files(spark: SparkSession, path: str) -> DataFrame:
     """Items of landed RSS files, split by the reader, so one huge file is read by many tasks."""
     schema = "title string, link string, pubDate string, description string"

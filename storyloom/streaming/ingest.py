@@ -91,18 +91,23 @@ def ingest_stream(
 def _decisions(
     batch: DataFrame, stored: DataFrame, cutoff: datetime, initiation: datetime, folder: str, run: int
 ) -> DataFrame:
-    """The batch's items with ``status``, as decided when the batch was first seen."""
+    """The batch's items with ``status``, as decided when the batch was first seen.
+
+    The run is marked after its decisions are written whole; a folder without the mark is decided anew. Nothing
+    has been appended then.
+    """
     spark = batch.sparkSession
+    mark, marked = f"{folder}-whole", "run long"
     schema = T.StructType([*batch.schema.fields, T.StructField("status", T.StringType()), T.StructField("_run", T.LongType())])
     try:
-        kept = spark.read.schema(schema).parquet(folder)
-        first = kept.select("_run").first()
+        last = spark.read.schema(marked).parquet(mark).first()
     except AnalysisException:  # no such folder yet
-        first = None
-    if first is None or first["_run"] != run:
+        last = None
+    if last is None or last["run"] != run:
         batch.persist()
         statuses = admission_status(batch, linked_rows(batch, stored), cutoff, initiation)
         statuses.withColumn("_run", F.lit(run).cast("long")).write.mode("overwrite").parquet(folder)
+        spark.range(1).select(F.lit(run).cast("long").alias("run")).write.mode("overwrite").parquet(mark)
         batch.unpersist()
     return spark.read.schema(schema).parquet(folder).drop("_run")
 

@@ -124,13 +124,36 @@ def _(spark, sf):
     return spark.read.parquet(out).select("id", "story_cluster_id")
 
 
-@query("breaker_stream", BREAKER_SQL)
+def _in_batches(rows, time: str, span: int, jitter: int, name: str):
+    """``rows`` as a stream of files that are out of order: three spans of time, mixed by up to ``jitter`` seconds.
+
+    Each is a micro-batch, and its rows are in no order.
+    """
+    spark = rows.sparkSession
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(jitter))
+    first = rows.agg(F.min(F.unix_seconds(time))).first()[0] or 0
+    part = F.least(F.floor((F.unix_seconds(time) + late - first) / span), F.lit(2))
+    folder = shared_folder(spark, name)
+    dealt = rows.withColumn("part", part).persist()
+    for k in range(3):
+        dealt.filter(F.col("part") == k).drop("part").orderBy(F.xxhash64(*rows.columns)).coalesce(1).write.parquet(f"{folder}/part={k}")
+    dealt.unpersist()
+    landed = spark.readStream.schema(f"{rows._jdf.schema().toDDL()}, part int").option("maxFilesPerTrigger", 1)
+    return landed.parquet(f"{folder}/part=*").select(*rows.columns)
+
+
+@query(
+    "breaker_stream",
+    f"""WITH replayed AS MATERIALIZED ({BREAKER_SQL})
+        SELECT * FROM replayed WHERE ts < (SELECT max(ts) FROM replayed) - INTERVAL 10 HOUR""",
+)
 def _(spark, sf):
-    squeezed = F.timestamp_micros(F.expr("unix_micros(ts) div 10"))
-    attempts = _fetch_stream(spark, sf).select(
-        F.col("feed_url").alias("name"), squeezed.alias("ts"), F.col("id").alias("seq"), "ok"
+    squeezed = F.timestamp_micros(F.expr("unix_micros(created_at) div 10"))
+    logs = d.fetch_logs(spark, sf).select(
+        F.col("feed_url").alias("name"), squeezed.alias("ts"), F.col("id").alias("seq"), (F.col("status") == "success").alias("ok")
     )
-    return _drained(breaker_stream(attempts), "breaker")
+    # Three days of squeezed time, in batches that overlap by up to eight hours.
+    return _drained(breaker_stream(_in_batches(logs, "ts", 86_400, 28_800, "attempts"), delay="10 hours"), "breaker")
 
 
 ERROR_RULE = alerts.Rule("errors_in_a_day", "errors[1d]", "gt", 4.0, "warning", "many errors in a day")
@@ -144,7 +167,7 @@ ERROR_RULE = alerts.Rule("errors_in_a_day", "errors[1d]", "gt", 4.0, "warning",
        e AS (SELECT *, value > 4 AS firing, coalesce(lag(value > 4) OVER (PARTITION BY feed_url ORDER BY tick), false)
          AS was FROM s)
        SELECT 'errors_in_a_day' AS rule, feed_url AS series, CASE WHEN firing THEN 'firing' ELSE 'resolved' END
-         AS status, tick, value FROM e WHERE firing <> was""",
+         AS status, tick, value FROM e WHERE firing <> was AND tick < (SELECT max(tick) FROM s) - INTERVAL 3 DAY""",
 )
 def _(spark, sf):
     errors = _fetch_stream(spark, sf).filter(~F.col("ok"))
@@ -154,6 +177,7 @@ def _(spark, sf):
         F.col("window_end").alias("tick"),
         F.col("events").cast("double").alias("value"),
     )
-    # The closed windows are a table of their own, which the alert stream follows.
-    landed = spark.readStream.schema(samples.schema).parquet(_drain(samples, "samples"))
-    return _drained(alert_stream(landed, [ERROR_RULE]), "alerts")
+    # The closed windows are a table of their own, which the alert stream follows, out of order.
+    closed = spark.read.schema(samples.schema).parquet(_drain(samples, "samples"))
+    landed = _in_batches(closed, "tick", 10 * 86_400, 2 * 86_400, "samples")
+    return _drained(alert_stream(landed, [ERROR_RULE], delay="3 days"), "alerts")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import in_batches, numbered, pick, remove, written
 
-#: A shard ends with the first text beyond so many words, so what a task makes of it takes some 200 MB.
-SHARD_WORDS = 2_000_000
+#: A shard ends with the first text beyond so many words, so what a task makes of it takes some 100 MB.
+SHARD_WORDS = 1_500_000
 #: Bytes of a text that are cut into words at a time.
 CHUNK_BYTES = 1024 * 1024
 #: Words of the corpus for each bucket of phrases, whose counts are summed together.
@@ -131,13 +131,22 @@ def shards(docs: DataFrame, shard_words: int) -> DataFrame:
 # --- one index ----------------------------------------------------------------------------------
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct ones."""
+    order = np.argsort(keys, kind="stable")
+    ranks = np.empty(len(keys), np.int32)
+    ranks[order] = np.cumsum(np.diff(keys[order], prepend=keys[order[:1]]) != 0, dtype=np.int32)
+    return ranks
+
+
 def _suffixes(s: np.ndarray) -> np.ndarray:
     """Places of ``s`` in the order of the ``MOST_WORDS`` symbols from there on."""
-    ranks, ahead = s.astype(np.int64), 1
+    ranks, ahead = s, 1
     while ahead < MOST_WORDS:
-        after = np.append(ranks[ahead:], np.zeros(min(ahead, len(ranks)), np.int64))
-        _, ranks = np.unique(ranks * (ranks.max(initial=0) + 1) + after, return_inverse=True)
-        ahead *= 2
+        keys = ranks.astype(np.int64) * (int(ranks.max(initial=0)) + 1)
+        keys[:-ahead] += ranks[ahead:]
+        ranks, ahead = _ranks(keys), ahead * 2
+        del keys
     return np.argsort(ranks, kind="stable")
 
 

@@ -198,7 +198,7 @@ def breaker_trip_counts(replay: DataFrame) -> DataFrame:
 # -- histograms and gauges ----------------------------------------------
 
 
-def _bound_text(bound: float) -> str:
+def bound_text(bound: float) -> str:
     return f"{bound:g}"
 
 
@@ -209,7 +209,7 @@ def latency_histogram(df: DataFrame, seconds: Column, labels: Sequence[str], bou
     """
     counts = [F.count_if(seconds <= F.lit(b)).alias(f"_b{i}") for i, b in enumerate(bounds)]
     wide = df.groupBy(*labels).agg(*counts, F.count(seconds).alias("_inf"))
-    names = [*map(_bound_text, bounds), "+Inf"]
+    names = [*map(bound_text, bounds), "+Inf"]
     cells = [*(f"_b{i}" for i in range(len(bounds))), "_inf"]
     buckets = F.array(
         *[F.struct(F.lit(le).alias("le"), F.col(c).alias("n")) for le, c in zip(names, cells, strict=True)]
@@ -243,6 +243,12 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float) -> D
     return rows.groupBy(*labels).agg(F.min_by(value, "_bound").alias("quantile"))
 
 
+def own_buckets(buckets: DataFrame, bounds: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Of each stage's buckets (stage, le, n), those of its own histogram."""
+    own = [(F.col("stage") == s) & F.col("le").isin([*map(bound_text, bs), "+Inf"]) for s, bs in bounds.items()]
+    return buckets.filter(reduce(Column.__or__, own))
+
+
 def latency_p95(
     events: DataFrame,
     now: datetime,
@@ -253,9 +259,7 @@ def latency_p95(
     recent = _trailing(events, now, window)
     every = sorted({b for own in bounds.values() for b in own})
     buckets = latency_histogram(recent, F.col("seconds"), ["stage"], every)
-    own = [(F.col("stage") == s) & F.col("le").isin([*map(_bound_text, bs), "+Inf"]) for s, bs in bounds.items()]
-    buckets = buckets.filter(reduce(Column.__or__, own))
-    return histogram_quantile(buckets, ["stage"], 0.95).withColumnRenamed("quantile", "p95_seconds")
+    return histogram_quantile(own_buckets(buckets, bounds), ["stage"], 0.95).withColumnRenamed("quantile", "p95_seconds")
 
 
 def gauges(samples: DataFrame, series: Sequence[str]) -> DataFrame:

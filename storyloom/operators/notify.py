@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import SUMMARY_UNAVAILABLE, is_blank, truncate_words
 from storyloom.functions.time import rfc3339
 from storyloom.functions.urls import UNKNOWN_FEED, delivery_error_class, feed_excluded, feed_title, mask_webhook_url
+from storyloom.operators.ledger import call_once
 from storyloom.operators.ordering import SLICE_ROWS, number_rows
 from storyloom.operators.skew import lookup_join
 
@@ -149,6 +150,29 @@ def deliver(payloads: DataFrame, send: Callable[[str, str], int | None], attempt
     return payloads.mapInPandas(run, schema)
 
 
+def deliver_once(
+    payloads: DataFrame, send: Callable[[str, str], int | None], ledger: str, attempts: int = 3, **options
+) -> DataFrame:
+    """``deliver`` with a ledger: a message is sent at most once for each attempt, however often this is evaluated.
+
+    An attempt whose task went down during it is ``in_doubt``: it may have arrived, so it is not sent again and ends
+    the attempts of its message. ``options`` are those of ``call_once``.
+    """
+
+    def attempt(message: Row, _: int) -> dict:
+        return {"response_code": send(message.webhook_url, message.payload) if message.size_ok else None}
+
+    def delivered(outcome: dict) -> bool:
+        return bool(outcome["response_code"]) and 200 <= outcome["response_code"] < 300
+
+    made = call_once(
+        payloads, ledger, ["id", "webhook_url"], attempt, delivered, "response_code bigint", attempts, **options
+    )
+    ok = F.coalesce(F.col("response_code").between(200, 299), F.lit(False))
+    columns = ["id", "article_url", "webhook_url", F.col("attempt").cast("long").alias("attempt"), "response_code"]
+    return made.select(*columns, ok.alias("ok"), "in_doubt")
+
+
 def posted_updates(attempts: DataFrame) -> DataFrame:
     """(id, posted_to_discord) of articles that reached at least one webhook, for a keyed update."""
     return attempts.groupBy("id").agg(F.bool_or("ok").alias("posted_to_discord")).filter("posted_to_discord")

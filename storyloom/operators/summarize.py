@@ -9,7 +9,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import (
@@ -23,12 +23,15 @@ from storyloom.functions.text import (
     trim_ws,
 )
 
+from storyloom.operators.ledger import call_once
+
 MAX_RETRIES = 3
 
 # Attempt outcomes, as stored in the summary log.
 SUCCESS, RETRY_FAILED, FAILED = "success", "retry_failed", "failed"
 EMPTY_TEXT = "empty article text"
 EMPTY_ANSWER = "received empty summary"
+IN_DOUBT = "the attempt was cut off"
 
 Summarizer = Callable[[str, str], str]  # (prompt, article text) -> raw answer
 Embedder = Callable[[str], "np.ndarray"]
@@ -102,14 +105,21 @@ def summary_attempts(
     evaluated, so store it before using it twice.
     """
     articles = articles if tasks is None else articles.repartition(tasks)
-    asked = articles.select(
+    done = _asked(articles, max_words).mapInPandas(_attempts(summarizer, max_retries), _ATTEMPT_SCHEMA)
+    return _log_rows(done, model, max_words, slack)
+
+
+def _asked(articles: DataFrame, max_words: int) -> DataFrame:
+    return articles.select(
         "id",
         "url",
         F.coalesce("full_content", F.lit("")).alias("full_content"),
         is_blank(F.col("full_content")).alias("blank"),
         F.coalesce(summary_prompt(F.col("full_content"), max_words), F.lit("")).alias("prompt"),
     )
-    done = asked.mapInPandas(_attempts(summarizer, max_retries), _ATTEMPT_SCHEMA)
+
+
+def _log_rows(done: DataFrame, model: str, max_words: int, slack: int) -> DataFrame:
     cleaned = limit_words(clean_summary(trim_ws(F.col("raw"))), max_words, slack)
     return done.select(
         "id",
@@ -126,6 +136,62 @@ def summary_attempts(
     )
 
 
+def summary_attempts_once(
+    articles: DataFrame,
+    ledger: str,
+    summarizer: Summarizer = lead_sentences,
+    model: str = "lead-sentences",
+    max_words: int = MAX_SUMMARY_WORDS,
+    max_retries: int = MAX_RETRIES,
+    slack: int = WORD_SLACK,
+    **options,
+) -> DataFrame:
+    """``summary_attempts`` with a ledger: the model is asked once for each attempt, however often this is evaluated.
+
+    An attempt whose task went down during it counts as failed for good ("in doubt"); ``in_doubt="again"`` asks once
+    more. ``options`` are those of ``call_once``.
+    """
+
+    def attempt(article: Row, _: int) -> dict:
+        if article.blank:
+            return {"raw": None, "error": EMPTY_TEXT, "ms": 0}
+        start = time.monotonic()
+        try:
+            raw, error = summarizer(article.prompt, article.full_content).strip(), None
+            if not raw:
+                raw, error = None, EMPTY_ANSWER
+        except Exception as exc:  # any model failure counts as one failed attempt
+            raw, error = None, str(exc)
+        return {"raw": raw, "error": error, "ms": int((time.monotonic() - start) * 1000)}
+
+    def done(outcome: dict) -> bool:
+        return outcome["raw"] is not None or outcome["error"] == EMPTY_TEXT
+
+    asked = _asked(articles, max_words)
+    made = call_once(asked, ledger, ["id"], attempt, done, "raw string, error string, ms int", max_retries, **options)
+    blank = F.col("error") == EMPTY_TEXT
+    error = F.when(F.col("in_doubt"), IN_DOUBT).otherwise(F.coalesce("error", F.lit("")))
+    success = F.col("raw").isNotNull()
+    status = F.when(success, SUCCESS).when(blank, FAILED).otherwise(RETRY_FAILED)
+    tried = made.select(
+        "id",
+        F.col("url").alias("article_url"),
+        status.alias("status"),
+        "raw",
+        error.alias("error_message"),
+        F.coalesce("ms", F.lit(0)).alias("duration_ms"),
+        F.when(blank, 0).otherwise(F.col("attempt")).alias("retry_attempt"),
+    )
+    # At most ``max_retries`` rows an article; a final row for those without success.
+    last = tried.groupBy("id", "article_url").agg(
+        F.max(F.struct("retry_attempt", "status", "error_message")).alias("l"), F.sum("duration_ms").cast("int").alias("duration_ms")
+    )
+    failed = last.filter(F.col("l.status") == RETRY_FAILED).select(
+        "id", "article_url", F.lit(FAILED).alias("status"), F.lit(None).cast("string").alias("raw"), "l.error_message", "duration_ms", "l.retry_attempt"
+    )
+    return _log_rows(tried.unionByName(failed), model, max_words, slack)
+
+
 def final_summaries(attempts: DataFrame) -> DataFrame:
     """(id, url, summary): the text to store per article."""
     return attempts.filter(F.col("status").isin(SUCCESS, FAILED)).select(

@@ -20,7 +20,7 @@ EVENTS_SQL = f"""SELECT created_at AS ts, 'fetch' AS stage, status = 'success' A
     UNION ALL SELECT created_at, 'save', status = 'processed', NULL FROM save_logs"""
 
 
-def _stage_events(spark, sf):
+def stage_events(spark, sf):
     return (
         metrics.fetch_events(d.fetch_logs(spark, sf))
         .unionByName(metrics.summary_events(d.summary_logs(spark, sf)))
@@ -245,7 +245,7 @@ def _(spark, sf):
         FROM ({EVENTS_SQL}) GROUP BY 1""",
 )
 def _(spark, sf):
-    return metrics.success_ratio(_stage_events(spark, sf))
+    return metrics.success_ratio(stage_events(spark, sf))
 
 
 P95_SQL = f"""WITH ev AS (SELECT * FROM ({EVENTS_SQL}) WHERE ts > {L} - INTERVAL 1 DAY AND ts <= {L}
@@ -262,7 +262,7 @@ P95_SQL = f"""WITH ev AS (SELECT * FROM ({EVENTS_SQL}) WHERE ts > {L} - INTERVAL
 
 @query("latency_p95", P95_SQL)
 def _(spark, sf):
-    return metrics.latency_p95(_stage_events(spark, sf), d.LOG_NOW, DAY)
+    return metrics.latency_p95(stage_events(spark, sf), d.LOG_NOW, DAY)
 
 
 @query(
@@ -303,13 +303,13 @@ def _(spark, sf):
     )
 
 
-@query(
-    "daily_ingestion",
-    """SELECT day::DATE AS day, count(*) FILTER (WHERE status = 'processed') AS saved,
+DAILY_SQL = """SELECT day::DATE AS day, count(*) FILTER (WHERE status = 'processed') AS saved,
          count(*) FILTER (WHERE status = 'save_failed') AS failed
        FROM (SELECT unnest(generate_series(DATE '2025-06-16', DATE '2025-07-15', INTERVAL 1 DAY)) AS day)
-       LEFT JOIN save_logs ON created_at::DATE = day::DATE GROUP BY 1""",
-)
+       LEFT JOIN save_logs ON created_at::DATE = day::DATE GROUP BY 1"""
+
+
+@query("daily_ingestion", DAILY_SQL)
 def _(spark, sf):
     return metrics.daily_ingestion(d.save_logs(spark, sf), d.ARTICLE_NOW)
 

@@ -9,6 +9,7 @@ from storyloom.functions.time import parse_feed_time, parse_multi_timestamp, rfc
 from storyloom.operators import notify, reextract
 from storyloom.plans import derived as d
 from storyloom.plans.registry import query
+from storyloom.session import shared_folder
 from storyloom.sources.feeds import parse_feed_list, parse_feeds, parse_outcomes, solver_response
 from storyloom.sources.pages import page_scan
 
@@ -268,17 +269,27 @@ def payload_sql(where: str) -> str:
         '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') AS payload FROM ({where})"""
 
 
-@query("embed_payload", payload_sql("SELECT * FROM articles WHERE publish_date IS NOT NULL AND summary IS NOT NULL"))
+@query(
+    "embed_payload",
+    payload_sql(
+        """SELECT * REPLACE (coalesce(publish_date, TIMESTAMP '2025-07-15 14:30:00') AS publish_date,
+             coalesce(summary, 'no summary yet') AS summary) FROM articles"""
+    ),
+)
 def _(spark, sf):
-    rows = d.articles(spark, sf).filter(F.col("publish_date").isNotNull() & F.col("summary").isNotNull())
+    # As announced: articles without a date count as of now.
+    dated = {"publish_date": F.coalesce("publish_date", F.lit(d.ARTICLE_NOW).cast("timestamp"))}
+    rows = d.articles(spark, sf).withColumns({**dated, "summary": F.coalesce("summary", F.lit("no summary yet"))})
     feed = F.when(F.col("feed_url").isNull(), ux.UNKNOWN_FEED).otherwise(ux.feed_title(F.col("feed_url")))
     payload = notify.message_json(F.col("title"), F.col("url"), F.col("summary"), F.col("publish_date"), feed)
     return rows.select("id", "url", payload.alias("payload"))
 
 
-@query("payload_size_ok", "SELECT id, strlen(full_content) <= 2000 AS size_ok FROM articles")
+@query("payload_size_ok", f"SELECT id, strlen(payload) <= 2000 AS size_ok FROM ({payload_sql(ELIGIBLE_SQL)})")
 def _(spark, sf):
-    return d.articles(spark, sf).select("id", notify.payload_size_ok(F.col("full_content")).alias("size_ok"))
+    rows = notify.notify_eligible(d.articles(spark, sf), d.ARTICLE_NOW, d.CUTOFF, [" SRC4 ", ""])
+    payload = notify.message_json(*[F.col(c) for c in ("title", "url", "summary", "publish_date", "feed_title")])
+    return rows.select("id", notify.payload_size_ok(payload).alias("size_ok"))
 
 
 @query("notify_eligible", f"SELECT id, url FROM ({ELIGIBLE_SQL})")
@@ -300,20 +311,36 @@ def _answer(webhook_url: str, payload: str) -> int:
     return 204 if webhook_url.endswith("token-a") else 500
 
 
-@query(
-    "notification_delivery",
-    f"""SELECT id, url AS article_url, hook AS webhook_url, n AS attempt,
+DELIVERY_SQL = f"""SELECT id, url AS article_url, hook AS webhook_url, n AS attempt,
           CASE WHEN strlen(payload) > 2000 THEN NULL WHEN hook LIKE '%token-a' THEN 204 ELSE 500 END::BIGINT
             AS response_code, strlen(payload) <= 2000 AND hook LIKE '%token-a' AS ok
         FROM ({payload_sql(ELIGIBLE_SQL)}), unnest(['{d.WEBHOOKS[0]}', '{d.WEBHOOKS[1]}']) AS u(hook),
           unnest([1, 2, 3]::BIGINT[]) AS t(n)
-        WHERE n = 1 OR hook LIKE '%token-b' OR strlen(payload) > 2000""",
-)
+        WHERE n = 1 OR hook LIKE '%token-b' OR strlen(payload) > 2000"""
+
+
+@query("notification_delivery", DELIVERY_SQL)
 def _(spark, sf):
     payloads = notify.notification_payloads(d.articles(spark, sf), d.WEBHOOKS, d.ARTICLE_NOW, d.CUTOFF, ["src4"])
     return notify.deliver(payloads, _answer)
 
 
+def _unreachable(webhook_url: str, payload: str) -> int:
+    raise RuntimeError("a logged attempt must not be made again")
+
+
+@query("notification_delivery_once", f"SELECT *, false AS in_doubt FROM ({DELIVERY_SQL})")
+def _(spark, sf):
+    ledger = shared_folder(spark, "deliveries")
+
+    def sent(send):
+        payloads = notify.notification_payloads(d.articles(spark, sf), d.WEBHOOKS, d.ARTICLE_NOW, d.CUTOFF, ["src4"])
+        return notify.deliver_once(payloads, send, ledger, slots=8)
+
+    sent(_answer).write.format("noop").mode("overwrite").save()
+    return sent(_unreachable)
+
+
 @query(
     "article_details",
     """SELECT w.id, 'https://src' || ((w.article_id - 1) % 20) || '.example.com/a/' || (w.article_id - 1) AS url,

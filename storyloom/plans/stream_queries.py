@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.operators import alerts
 from storyloom.plans import derived as d
-from storyloom.plans.metric_queries import BREAKER_SQL
+from storyloom.plans.metric_queries import BREAKER_SQL, DAILY_SQL, EVENTS_SQL, P95_SQL, stage_events
 from storyloom.plans.registry import query
 from storyloom.plans.story_queries import leader_sql
 from storyloom.session import shared_folder
@@ -15,6 +17,7 @@ from storyloom.streaming.alerts import alert_stream, breaker_stream
 from storyloom.streaming.clusters import cluster_stream
 from storyloom.streaming.ingest import bounded_dedup, ingest_stream
 from storyloom.streaming.metrics import windowed_counts, windowed_rates
+from storyloom.streaming.rollups import BOUNDS, compact, read_totals, rollup_daily_ingestion, rollup_p95, rollup_stream
 
 DRAIN = {"availableNow": True}
 
@@ -181,3 +184,41 @@ def _(spark, sf):
     closed = spark.read.schema(samples.schema).parquet(_drain(samples, "samples"))
     landed = _in_batches(closed, "tick", 10 * 86_400, 2 * 86_400, "samples")
     return _drained(alert_stream(landed, [ERROR_RULE], delay="3 days"), "alerts")
+
+
+# -- roll-ups -------------------------------------------------------------
+
+
+def _rollups(spark, sf) -> str:
+    """Totals of all stage events, which arrive in four batches in no order of time; two are folded into a base."""
+    events = stage_events(spark, sf)
+    landing, path, state = (shared_folder(spark, n) for n in ("stage-events", "rollups", "rollup-state"))
+    dealt = events.withColumn("part", F.pmod(F.xxhash64(*events.columns), F.lit(4))).persist()
+    for k in range(4):
+        dealt.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(landing)
+    dealt.unpersist()
+    landed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    rollup_stream(landed, path, state, DRAIN).awaitTermination()
+    compact(spark, path, 1)
+    return path
+
+
+@query("rollup_daily_ingestion", DAILY_SQL)
+def _(spark, sf):
+    return rollup_daily_ingestion(spark, _rollups(spark, sf), d.ARTICLE_NOW)
+
+
+@query("rollup_latency_p95", P95_SQL)
+def _(spark, sf):
+    return rollup_p95(spark, _rollups(spark, sf), d.LOG_NOW, timedelta(days=1))
+
+
+@query(
+    "rollup_hours",
+    f"""SELECT stage, date_trunc('hour', ts) AS slot, count(*) AS events, count(*) FILTER (WHERE ok) AS good,
+          count(*) FILTER (WHERE seconds <= 1) AS within_second FROM ({EVENTS_SQL}) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    hours = read_totals(spark, _rollups(spark, sf), "hour")
+    second = F.sum(f"le_{BOUNDS.index(1.0)}").alias("within_second")
+    return hours.groupBy("stage", "slot").agg(F.sum("events").alias("events"), F.sum("good").alias("good"), second)

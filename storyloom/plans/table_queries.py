@@ -36,31 +36,32 @@ def _(spark, sf):
 
 @query(
     "first_per_url",
-    """SELECT feed_url, item_no, link, published FROM items WHERE link IS NOT NULL QUALIFY
+    """SELECT feed_url, item_no, link, published FROM items QUALIFY
        row_number() OVER (PARTITION BY link ORDER BY published NULLS LAST, feed_url NULLS FIRST, item_no) = 1""",
 )
 def _(spark, sf):
-    return admission.first_per_url(d.items(spark, sf).filter(F.col("link").isNotNull())).select(*ITEM)
+    return admission.first_per_url(d.items(spark, sf)).select(*ITEM)
 
 
 @query(
     "dedup_anti",
     """SELECT feed_url, item_no, link, published FROM items
-       WHERE link IS NOT NULL AND link NOT IN (SELECT url FROM stored_articles) QUALIFY
+       WHERE link IS NULL OR link NOT IN (SELECT url FROM stored_articles) QUALIFY
        row_number() OVER (PARTITION BY link ORDER BY published NULLS LAST, feed_url NULLS FIRST, item_no) = 1""",
 )
 def _(spark, sf):
-    rows = d.items(spark, sf).filter(F.col("link").isNotNull())
-    return admission.dedup_anti(rows, d.stored_articles(spark, sf)).select(*ITEM)
+    return admission.dedup_anti(d.items(spark, sf), d.stored_articles(spark, sf)).select(*ITEM)
 
 
 @query(
     "chronological_items",
     """SELECT feed_url, item_no, published, row_number() OVER (PARTITION BY feed_url
-         ORDER BY published NULLS LAST, item_no) AS position FROM items WHERE feed_url IS NOT NULL""",
+         ORDER BY published NULLS LAST, item_no) AS position
+       FROM (SELECT coalesce(feed_url, '') AS feed_url, item_no, published FROM items)""",
 )
 def _(spark, sf):
-    rows = d.items(spark, sf).filter(F.col("feed_url").isNotNull()).select("feed_url", "item_no", "published")
+    # Items of no feed are numbered together.
+    rows = d.items(spark, sf).select(F.coalesce("feed_url", F.lit("")).alias("feed_url"), "item_no", "published")
     return number_rows(rows, ["feed_url"], [F.col("published").asc_nulls_last(), F.col("item_no")], out="position")
 
 
@@ -434,16 +435,28 @@ LEAD_SQL = r"""SELECT id, url, CASE WHEN s = '' THEN
       FROM articles WHERE summary IS NULL AND regexp_replace(full_content, '\s+', '', 'g') <> ''))"""
 
 
+LOG_SQL = """SELECT url AS article_url, 'lead-sentences' AS model, 'success' AS status, '' AS error_message,
+         1 AS retry_attempt FROM articles WHERE summary IS NULL AND trim(full_content) <> ''"""
+
+
+def _no_model(prompt: str, text: str) -> str:
+    raise RuntimeError("a logged attempt must not be made again")
+
+
+@query("summary_log_once", LOG_SQL)
+def _(spark, sf):
+    ledger, pending = shared_folder(spark, "summaries"), summarize.pending_summary(d.articles(spark, sf))
+    summarize.summary_attempts_once(pending, ledger, slots=8).write.format("noop").mode("overwrite").save()
+    again = summarize.summary_attempts_once(pending, ledger, _no_model, slots=8)
+    return again.select("article_url", "model", "status", "error_message", "retry_attempt")
+
+
 @query("summarize_pending", LEAD_SQL)
 def _(spark, sf):
     return summarize.final_summaries(_summary_attempts(spark, sf))
 
 
-@query(
-    "summary_log_append",
-    """SELECT url AS article_url, 'lead-sentences' AS model, 'success' AS status, '' AS error_message,
-         1 AS retry_attempt FROM articles WHERE summary IS NULL AND trim(full_content) <> ''""",
-)
+@query("summary_log_append", LOG_SQL)
 def _(spark, sf):
     return _summary_attempts(spark, sf).select("article_url", "model", "status", "error_message", "retry_attempt")
 

@@ -10,6 +10,7 @@ from storyloom.plans.registry import query
 
 A = "TIMESTAMP '2025-07-15 14:30:00'"
 T = d.VECTOR_THRESHOLD
+BLOCK = 64  # vectors of a block where the path for large tables is forced
 
 
 @query(
@@ -109,6 +110,12 @@ def _(spark, sf):
     return found.select(F.col("id").alias("vec_id"), "seed_id", F.round("similarity", 9).alias("similarity"))
 
 
+@query("seed_match_blocked", SEED_MATCH_SQL)
+def _(spark, sf):
+    found = cluster.assign_to_seeds(_vectors(spark, sf), _known(spark, sf), T, block_rows=BLOCK)
+    return found.select(F.col("id").alias("vec_id"), "seed_id", F.round("similarity", 9).alias("similarity"))
+
+
 @query(
     "best_seed",
     f"SELECT seed_id, count(*) AS won, max(similarity) AS nearest FROM ({SEED_MATCH_SQL}) GROUP BY 1",
@@ -148,14 +155,22 @@ def leader_sql(source: str) -> str:
         SELECT e.id, coalesce(seed, e.id) AS story_cluster_id FROM e LEFT JOIN pick ON pick.arn = e.rn"""
 
 
-@query(
-    "leader_cluster",
-    leader_sql("SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"),
+LEADER_SQL = leader_sql(
+    "SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
 )
+
+
+@query("leader_cluster", LEADER_SQL)
 def _(spark, sf):
     return cluster.leader_cluster(_vectors(spark, sf), T)
 
 
+@query("leader_cluster_blocked", LEADER_SQL)
+def _(spark, sf):
+    # Small blocks: vectors meet in cells and shells, as they do on tables too large to ship.
+    return cluster.leader_cluster(_vectors(spark, sf), T, block_rows=BLOCK)
+
+
 def _cycle_articles(spark, sf):
     """Clusters are synthetic in ``articles``: keep the seeds among them, leave the rest to be clustered."""
     arts = d.articles(spark, sf, vectors=True).filter(F.col("summary_embedding").isNotNull())

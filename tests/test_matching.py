@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions.vectors import cosine_similarity
-from storyloom.operators import cluster
+from storyloom.operators import cluster, matching
 from storyloom.operators.matching import earlier_matches
 
 SCHEMA = "id long, pos long, vector array<float>"
@@ -106,3 +106,53 @@ def test_a_third_of_all_rows_in_one_story(spark):
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError, match="positive"):
         earlier_matches(frame(spark, []), frame(spark, []), 0.0)
+
+
+def topic_rows(n, dims, seed=11):
+    """Vectors of which a few directions hold most, and some that are near each other."""
+    rng = np.random.default_rng(seed)
+    basis = rng.normal(size=(8, dims))
+    return [(i, i, rng.normal(size=8) @ basis + 0.3 * rng.normal(size=dims)) for i in range(n)]
+
+
+@pytest.mark.parametrize("dims,threshold", [(96, 0.9), (96, 0.3), (200, 0.97)])
+def test_bounds_of_heads_lose_no_pair(spark, dims, threshold):
+    rows = topic_rows(240, dims)
+    df = frame(spark, rows).repartition(3)
+    unit = np.array([np.float32(v) for _, _, v in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    head = matching._rotation(unit)
+    near, whole = matching._in_reach(unit, unit, head, threshold)
+    assert (near | (unit @ unit.T < threshold - 1e-6)).all()
+    if threshold > 0.95:
+        assert whole is None and near.mean() < matching.SPARSE
+    found = {(r.id, r.match_id) for r in earlier_matches(df, df, threshold, 30).collect()}
+    sim = np.round(unit @ unit.T, 12)
+    want = set()
+    for i in range(len(rows)):
+        before = [j for j in range(i) if sim[i, j] >= threshold]
+        if before:
+            want.add((i, max(before, key=lambda j: (sim[i, j], -j))))
+    assert found == want
+
+
+def test_work_shrinks_where_vectors_lie_together(spark):
+    rng = np.random.default_rng(4)
+    centres = np.eye(12)
+    rows = [(i, i, centres[i % 12] + 0.02 * rng.normal(size=12)) for i in range(1200)]
+    df = frame(spark, rows)
+    work = matching.match_work(df, df, 0.9, block_rows=100).first()
+    # Twelve stories far from each other: most items meet their own only.
+    assert work.comparisons <= 1200 * 1200 / 4 and work.copies <= 8 * 1200
+    hot = frame(spark, [(i, i, [1.0, 0.0]) for i in range(500)])  # all alike: blocks stay bounded
+    left, right = matching.placed(hot, hot, 500, np.array([[1.0, 0.0]]), 0.9, 50)
+    for side in (left, right):
+        assert side.groupBy(*matching.BLOCK).count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_vectors_too_large_to_ship_meet_in_blocks(spark, monkeypatch):
+    rows = story_rows(6, n=120)
+    df = frame(spark, rows)
+    want = {(r.id, r.match_id) for r in earlier_matches(df, df, 0.7).collect()}
+    monkeypatch.setattr(matching, "SHIPPED_BYTES", 1000)
+    assert {(r.id, r.match_id) for r in earlier_matches(df, df, 0.7).collect()} == want

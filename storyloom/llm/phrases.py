@@ -512,13 +512,13 @@ def collocations(
     # its parts, so that one task ranks a bounded number of rows but for ties.
     best = scored.withColumn("_part", F.pmod(F.xxhash64("k1", "k2"), F.lit(RANKED_PARTS)))
     for keys in (["lang", "_part"], ["lang"]):
-        place = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("a").desc())
+        place = Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), F.col("a").desc_nulls_last())
         best = best.withColumn("_place", F.rank().over(place)).filter(F.col("_place") <= top)
     # Four rows at most for each of the best.
     spelled = best.select("lang", "k1", "k2", "a", "l", "r", "score", F.posexplode(F.array(*g)).alias("at", "gid")).filter("gid > 0")
     spelled = spelled.join(words.select("gid", "word"), "gid").groupBy("lang", "k1", "k2", "a", "l", "r", "score")
     in_order = F.sort_array(F.collect_list(F.struct("at", "word")))
     named = spelled.agg(F.array_join(F.transform(in_order, lambda x: x["word"]), " ").alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+    order = Window.partitionBy("lang").orderBy(F.col("score").desc_nulls_last(), F.col("a").desc_nulls_last(), F.col("phrase"))
     ranked = named.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -58,7 +58,7 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
         F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)).alias("tid"),
         F.octet_length(text).cast("long").alias("size"),
     ).filter("conv_id IS NOT NULL")
-    order = [F.col("turn").asc_nulls_first(), F.col("tid").asc()]
+    order = [F.col("turn").asc_nulls_first(), F.col("tid").asc_nulls_first()]
     placed = number_rows(turns, ["conv_id"], order, out="pos").withColumn("pos", F.col("pos") - 1)
     return written(placed.select("conv_id", "pos", "tid", "size"), "turns")
 

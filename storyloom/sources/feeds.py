@@ -134,14 +134,18 @@ def parse_outcomes(documents: DataFrame) -> DataFrame:
 
 def feed_rows(parsed: DataFrame) -> DataFrame:
     """One row per item of ``parsed_documents``, in document order."""
-    return parsed.select("feed_url", F.posexplode("items").alias("item_no", "item")).select(
-        "feed_url",
-        F.col("item_no").cast("long").alias("item_no"),
-        trim_ws(F.col("item.link")).alias("link"),
-        F.col("item.title").alias("title"),
-        parse_feed_time(F.col("item.published")).alias("published"),
-        F.col("item.description").alias("description"),
-    )
+
+    def fields(item: Column) -> Column:
+        return F.struct(
+            trim_ws(item["link"]).alias("link"),
+            item["title"].alias("title"),
+            parse_feed_time(item["published"]).alias("published"),
+            item["description"].alias("description"),
+        )
+
+    # Dates are read inside the lists: as part of the stage that lists the items, their code is too long to compile.
+    read = parsed.select("feed_url", F.posexplode(F.transform("items", fields)).alias("item_no", "item"))
+    return read.select("feed_url", F.col("item_no").cast("long").alias("item_no"), "item.*")
 
 
 def parse_feeds(documents: DataFrame) -> DataFrame:

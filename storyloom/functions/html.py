@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -164,13 +165,33 @@ def _main_text_batch(html: pd.Series) -> pd.Series:
     return html.map(main_text)
 
 
-@F.pandas_udf(T.StructType().add("pre", T.StringType()).add("body", T.StringType()))
+_COPY_START = re.compile(rf"""<([A-Za-z]\w*)[^>]*\bid=["']?{SOURCE_COPY_ID}["']?[^>]*>""")
+
+
+def source_copy(html: str) -> str:
+    """The markup inside a viewer's source copy, up to the end tag that closes it; '' if there is none."""
+    start = _COPY_START.search(html)
+    if start is None:
+        return ""
+    # Comments and CDATA sections hold no tags.
+    tags = re.compile(rf"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(/?){start[1]}(?=[\s/>])[^>]*?(/?)>", re.DOTALL | re.IGNORECASE)
+    depth = 1
+    for tag in tags.finditer(html, start.end()):
+        if tag[1] is not None and not tag[2]:
+            depth += -1 if tag[1] else 1
+        if not depth:
+            return html[start.end() : tag.start()]
+    return ""
+
+
+@F.pandas_udf(T.StructType().add("pre", T.StringType()).add("body", T.StringType()).add("source", T.StringType()))
 def _shell_texts_batch(html: pd.Series) -> pd.DataFrame:
     pages = [None if h is None else _regions(h) for h in html]
     return pd.DataFrame(
         {
             "pre": [None if p is None else p.first("pre") for p in pages],
             "body": [None if p is None else p.body() for p in pages],
+            "source": [None if h is None else source_copy(h) for h in html],
         }
     )
 
@@ -187,9 +208,6 @@ def unwrap_feed_xml(text: Column) -> Column:
     is_feed = F.lit(False)
     for start in FEED_STARTS:
         is_feed = is_feed | F.startswith(trimmed, F.lit(start))
-    source_copy = F.regexp_extract(
-        text, rf"""(?s)<(\w+)[^>]*\bid=["']?{SOURCE_COPY_ID}["']?[^>]*>(.*)</\1>""", 2
-    )
     shell = _shell_texts_batch(F.when(~is_feed, text))
 
     def sliced(tag: str) -> Column:
@@ -200,7 +218,7 @@ def unwrap_feed_xml(text: Column) -> Column:
 
     return F.when(is_feed, trimmed).otherwise(
         F.coalesce(
-            F.when(F.contains(source_copy, F.lit("<")), trim_ws(source_copy)),
+            F.when(F.contains(shell["source"], F.lit("<")), trim_ws(shell["source"])),
             non_empty(trim_ws(shell["pre"])),
             non_empty(trim_ws(shell["body"])),
             non_empty(sliced("rss")),

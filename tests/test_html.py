@@ -56,3 +56,16 @@ def test_unwrap_feed_xml(apply):
         "nothing here": "nothing here",
     }
     assert apply(list(cases), "string", unwrap_feed_xml) == list(cases.values())
+
+
+def test_a_source_copy_ends_with_its_own_element(apply):
+    feed = "<rss><channel><item><description><div>a</div><!-- </div> --><![CDATA[</div>]]></description></item></channel></rss>"
+    copy = f'<div class="x" id="webkit-xml-viewer-source-xml">{feed}</div>'
+    pages = [
+        f"<html><body>{copy}</body></html>",
+        f"<html><body><div>head</div>{copy}<div class='viewer'><div>rendered &lt;rss&gt;</div></div><div/></body></html>",
+        "<html><body><div id='webkit-xml-viewer-source-xml'>plain</div><pre>p</pre></body></html>",
+        "<html><body><div id='webkit-xml-viewer-source-xml'><rss>never closed</body></html>",
+    ]
+    found = apply(pages, "string", unwrap_feed_xml)
+    assert found[:3] == [feed, feed, "p"] and "never closed" in found[3]

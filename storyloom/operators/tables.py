@@ -49,11 +49,23 @@ def _max_id(df: DataFrame) -> int:
 
 
 def with_new_ids(
-    rows: DataFrame, existing: DataFrame, order: Sequence[Column], slice_rows: int = SLICE_ROWS
+    rows: DataFrame,
+    existing: DataFrame,
+    order: Sequence[Column],
+    slice_rows: int = SLICE_ROWS,
+    narrow: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Give ``rows`` the ids that follow the highest stored one. ``order`` must be total."""
-    numbered = number_rows(rows, [], order, out="_no", slice_rows=slice_rows)
-    return numbered.withColumn("id", F.col("_no") + F.lit(_max_id(existing))).drop("_no")
+    """Give ``rows`` the ids that follow the highest stored one. ``order`` must be total.
+
+    ``narrow`` names the columns that ``order`` is made of, the first of which tells rows apart. Only they are
+    numbered then, a slice at a time, and the rows, which may hold whole texts, meet their ids in a join.
+    """
+    numbered = number_rows(rows if narrow is None else rows.select(*narrow), [], order, out="_no", slice_rows=slice_rows)
+    given = F.col("_no") + F.lit(_max_id(existing))
+    if narrow is None:
+        return numbered.withColumn("id", given).drop("_no")
+    ids = numbered.select(F.col(narrow[0]).alias("_key"), given.alias("id"))
+    return rows.drop("id").join(ids, F.col(narrow[0]).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def new_by_url(articles: DataFrame, incoming: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -63,10 +75,16 @@ def new_by_url(articles: DataFrame, incoming: DataFrame, order: Sequence[Column]
     return first.join(articles.select("url"), "url", "left_anti")
 
 
-def insert_ignore(articles: DataFrame, incoming: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """The table after inserting, with rows of already stored urls left alone."""
+def insert_ignore(
+    articles: DataFrame, incoming: DataFrame, order: Sequence[Column], order_cols: Sequence[str] | None = None
+) -> DataFrame:
+    """The table after inserting, with rows of already stored urls left alone.
+
+    With ``order_cols``, the columns that ``order`` is made of, new rows are numbered by these alone.
+    """
     fresh = new_by_url(articles, incoming, order)
-    rows = with_new_ids(fresh, articles, [*order, F.col("url")])
+    narrow = None if order_cols is None else ["url", *[c for c in order_cols if c != "url"]]
+    rows = with_new_ids(fresh, articles, [*order, F.col("url")], narrow=narrow)
     return articles.unionByName(rows.select(*articles.columns))
 
 
@@ -96,7 +114,8 @@ def upsert(articles: DataFrame, incoming: DataFrame, now: datetime, order_col: s
     Stored rows keep id, creation time, vector and cluster. New rows are numbered in batch order.
     """
     batch = fold_batch(incoming, order_col)
-    fresh = with_new_ids(batch.join(articles.select("url"), "url", "left_anti"), articles, [F.col(order_col)])
+    fresh = batch.join(articles.select("url"), "url", "left_anti")
+    fresh = with_new_ids(fresh, articles, [F.col(order_col)], narrow=["url", order_col])
     return updated_rows(articles, batch, now).unionByName(inserted_rows(fresh, articles.schema, now))
 
 

@@ -112,7 +112,7 @@ def _admitted_rows(spark, sf):
 @query("article_insert_ignore", INSERT_SQL)
 def _(spark, sf):
     order = [F.col("publish_date").asc_nulls_last(), F.col("feed_url").asc_nulls_first()]
-    merged = tables.insert_ignore(d.stored_articles(spark, sf), _admitted_rows(spark, sf), order)
+    merged = tables.insert_ignore(d.stored_articles(spark, sf), _admitted_rows(spark, sf), order, ["publish_date", "feed_url"])
     return merged.select(*INSERT_COLUMNS)
 
 

@@ -54,6 +54,24 @@ def test_insert_ignore_leaves_stored_urls_alone(spark):
     assert {u: r.id for u, r in got.items()} == {"u4": 4, "a": 5, "b": 6} and got["u4"].title == "kept"
 
 
+def test_new_rows_are_numbered_without_their_texts(spark, monkeypatch):
+    seen = []
+
+    def spy(df, *args, **options):
+        seen.append(df.columns)
+        return number_rows(df, *args, **options)
+
+    monkeypatch.setattr(tables, "number_rows", spy)
+    arts = table(spark, [article(4)])
+    batch = incoming(spark, [("a", "z", "s", "body", True), ("b", None, "n", "none", True), ("c", "y", None, "long", True)])
+    got = by_url(tables.upsert(arts, batch, LATER))
+    assert {u: (r.id, r.full_content) for u, r in got.items()} == {"u4": (4, "text"), "z": (5, "body"), None: (6, "none"), "y": (7, "long")}
+    new = table(spark, [article(9, url="b", title="2"), article(9, url="c", title="1"), article(9, url="a", title="3")])
+    got = by_url(tables.insert_ignore(arts, new, [F.col("title")], ["title"]))
+    assert {u: r.id for u, r in got.items()} == {"u4": 4, "c": 5, "b": 6, "a": 7}
+    assert seen == [["url", "batch_no"], ["url", "title"]]
+
+
 def test_keyed_update_and_unmatched(spark):
     arts = table(spark, [article(1, summary="s"), article(2, summary="s")])
     updates = spark.createDataFrame([(1, None), (9, "x")], "id long, summary string")

@@ -8,13 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.session import shared_folder
+from storyloom.session import bound_batches, shared_folder
 
 #: Words are maximal runs of anything but these six characters, which are also what ``bytes.split()``
 #: and ``bytes.strip()`` take for white space.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-BATCH_BYTES = 4 * 1024 * 1024
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -49,7 +48,7 @@ def in_batches(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, since single texts may be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.session import bound_batches
+
 #: Slots of a new ledger, and calls that are logged together.
 SLOTS, TOGETHER = 256, 20
 SKIP, AGAIN = "skip", "again"
@@ -169,4 +171,5 @@ def call_once(
                 ]
                 yield pa.RecordBatch.from_pylist(out, arrow)
 
+    bound_batches(dealt.sparkSession)
     return dealt.mapInArrow(work, schema)

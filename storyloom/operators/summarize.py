@@ -22,8 +22,8 @@ from storyloom.functions.text import (
     summary_prompt,
     trim_ws,
 )
-
 from storyloom.operators.ledger import call_once
+from storyloom.session import bound_batches
 
 MAX_RETRIES = 3
 
@@ -104,6 +104,7 @@ def summary_attempts(
     sets how many model calls run side by side. The model is called again each time the result is
     evaluated, so store it before using it twice.
     """
+    bound_batches(articles.sparkSession)
     articles = articles if tasks is None else articles.repartition(tasks)
     done = _asked(articles, max_words).mapInPandas(_attempts(summarizer, max_retries), _ATTEMPT_SCHEMA)
     return _log_rows(done, model, max_words, slack)
@@ -214,4 +215,5 @@ def embed_rows(rows: DataFrame, embedder: Embedder = word_hash_vector) -> DataFr
             if ids:  # a batch may consist of failures alone
                 yield pd.DataFrame({"id": ids, "summary_embedding": vectors})
 
+    bound_batches(rows.sparkSession)
     return rows.select("id", "summary").mapInPandas(run, "id long, summary_embedding array<float>")

@@ -28,6 +28,18 @@ def build_session(app: str = "storyloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+#: Bytes of texts that one Arrow batch takes to Python.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession | None = None) -> None:
+    """From now on, Arrow batches of this session are bounded in bytes, whatever it was set up with.
+
+    Batches are counted in rows otherwise, and ten thousand long texts, and what Python makes of them, are large.
+    """
+    (spark or SparkSession.active()).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the shared folder named by ``spark.checkpoint.dir``; pick one only in local mode."""
     sc = spark.sparkContext

@@ -9,6 +9,7 @@ from storyloom.functions.feed_xml import recovered_batch
 from storyloom.functions.html import unwrap_feed_xml
 from storyloom.functions.text import trim_ws
 from storyloom.functions.time import parse_feed_time
+from storyloom.session import bound_batches
 
 # An accepted answer of a challenge solver.
 SOLVER_SCHEMA = "status string, message string, solution struct<status: int, response: string>"
@@ -101,6 +102,7 @@ def parsed_documents(documents: DataFrame) -> DataFrame:
     )
     broken = F.coalesce(*[F.col(f"{c}.{_DEFECT}") for c in ("_rss", "_rdf", "_atom")]).isNotNull()
     # Python sees the text of broken documents only.
+    bound_batches(documents.sparkSession)
     mended = strict.withColumn("_mended", recovered_batch(F.when(broken, xml)))
     items = (
         F.when(broken, F.col("_mended.items"))

@@ -1,6 +1,10 @@
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from storyloom.functions.html import extract_main_content, main_text, unwrap_feed_xml
+from storyloom.functions.html import _shell_texts_batch, extract_main_content, main_text, unwrap_feed_xml
+from storyloom.operators import summarize
+from storyloom.sources.feeds import parsed_documents
 
 LONG = "The long story. " * 40
 
@@ -69,3 +73,37 @@ def test_a_source_copy_ends_with_its_own_element(apply):
     ]
     found = apply(pages, "string", unwrap_feed_xml)
     assert found[:3] == [feed, feed, "p"] and "never closed" in found[3]
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    articles = spark.range(300).select("id", F.lit("u").alias("url"), F.expr("repeat('x', 100000)").alias("full_content"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    def largest():
+        return articles.coalesce(1).mapInPandas(sizes, "n long").agg(F.max("n")).first()[0]
+
+    try:
+        for build in (
+            lambda: unwrap_feed_xml(F.col("full_content")),
+            lambda: extract_main_content(F.col("full_content")),
+            lambda: parsed_documents(articles.select(F.col("url").alias("feed_url"), F.col("full_content").alias("xml"))),
+            lambda: summarize.summary_attempts(articles),
+            lambda: summarize.embed_rows(articles.withColumn("summary", F.col("full_content"))),
+        ):
+            spark.conf.set(key, str(1 << 30))
+            build()
+            assert largest() <= 50
+    finally:
+        spark.conf.set(key, held)
+
+
+def test_shell_texts_of_a_batch():
+    pages = pd.Series([None, "<html><body>b<pre>p</pre></body></html>", ""])
+    found = [tuple(r) for r in _shell_texts_batch.func(pages).itertuples(index=False)]
+    assert found == [(None, None, None), ("p", "bp", ""), ("", "", "")]
+    assert list(_shell_texts_batch.func(pages[:0]).columns) == ["pre", "body", "source"]

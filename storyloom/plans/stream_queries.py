@@ -22,10 +22,8 @@ from storyloom.streaming.rollups import BOUNDS, compact, read_totals, rollup_dai
 DRAIN = {"availableNow": True}
 
 
-def _drain(stream: DataFrame, name: str) -> str:
-    """Run an append-mode stream to its end; returns the folder it wrote."""
-    spark = stream.sparkSession
-    out, state = shared_folder(spark, f"{name}-out"), shared_folder(spark, f"{name}-state")
+def _drain_into(stream: DataFrame, out: str, state: str) -> None:
+    """Run an append-mode stream to the end of what there is now."""
     run = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -35,6 +33,12 @@ def _drain(stream: DataFrame, name: str) -> str:
         .start()
     )
     run.awaitTermination()
+
+
+def _drain(stream: DataFrame, name: str) -> str:
+    """Run an append-mode stream to its end; returns the folder it wrote."""
+    out, state = (shared_folder(stream.sparkSession, f"{name}-{part}") for part in ("out", "state"))
+    _drain_into(stream, out, state)
     return out
 
 
@@ -127,22 +131,24 @@ def _(spark, sf):
     return spark.read.parquet(out).select("id", "story_cluster_id")
 
 
-def _in_batches(rows, time: str, span: int, jitter: int, name: str):
-    """``rows`` as a stream of files that are out of order: three spans of time, mixed by up to ``jitter`` seconds.
+def _in_batches(rows, time: str, span: int, jitter: int, name: str, follow):
+    """What ``follow`` makes of ``rows`` as a stream that is out of order: three spans of time, mixed by up to ``jitter`` seconds.
 
-    Each is a micro-batch, and its rows are in no order.
+    They land one after the other, each a micro-batch of as many files as tasks wrote, its rows in no order.
     """
     spark = rows.sparkSession
     late = F.pmod(F.xxhash64(*rows.columns), F.lit(jitter))
     first = rows.agg(F.min(F.unix_seconds(time))).first()[0] or 0
     part = F.least(F.floor((F.unix_seconds(time) + late - first) / span), F.lit(2))
-    folder = shared_folder(spark, name)
+    folder, out, state = (shared_folder(spark, f"{name}{end}") for end in ("", "-out", "-state"))
     dealt = rows.withColumn("part", part).persist()
     for k in range(3):
-        dealt.filter(F.col("part") == k).drop("part").orderBy(F.xxhash64(*rows.columns)).coalesce(1).write.parquet(f"{folder}/part={k}")
+        landing = dealt.filter(F.col("part") == k).drop("part").orderBy(F.xxhash64(*rows.columns))
+        landing.write.mode("append").parquet(folder)
+        stream = follow(spark.readStream.schema(rows.schema).parquet(folder))
+        _drain_into(stream, out, state)
     dealt.unpersist()
-    landed = spark.readStream.schema(f"{rows._jdf.schema().toDDL()}, part int").option("maxFilesPerTrigger", 1)
-    return landed.parquet(f"{folder}/part=*").select(*rows.columns)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query(
@@ -156,7 +162,7 @@ def _(spark, sf):
         F.col("feed_url").alias("name"), squeezed.alias("ts"), F.col("id").alias("seq"), (F.col("status") == "success").alias("ok")
     )
     # Three days of squeezed time, in batches that overlap by up to eight hours.
-    return _drained(breaker_stream(_in_batches(logs, "ts", 86_400, 28_800, "attempts"), delay="10 hours"), "breaker")
+    return _in_batches(logs, "ts", 86_400, 28_800, "attempts", lambda landed: breaker_stream(landed, delay="10 hours"))
 
 
 ERROR_RULE = alerts.Rule("errors_in_a_day", "errors[1d]", "gt", 4.0, "warning", "many errors in a day")
@@ -182,8 +188,9 @@ def _(spark, sf):
     )
     # The closed windows are a table of their own, which the alert stream follows, out of order.
     closed = spark.read.schema(samples.schema).parquet(_drain(samples, "samples"))
-    landed = _in_batches(closed, "tick", 10 * 86_400, 2 * 86_400, "samples")
-    return _drained(alert_stream(landed, [ERROR_RULE], delay="3 days"), "alerts")
+    return _in_batches(
+        closed, "tick", 10 * 86_400, 2 * 86_400, "landed-samples", lambda landed: alert_stream(landed, [ERROR_RULE], delay="3 days")
+    )
 
 
 # -- roll-ups -------------------------------------------------------------
@@ -195,10 +202,10 @@ def _rollups(spark, sf) -> str:
     landing, path, state = (shared_folder(spark, n) for n in ("stage-events", "rollups", "rollup-state"))
     dealt = events.withColumn("part", F.pmod(F.xxhash64(*events.columns), F.lit(4))).persist()
     for k in range(4):
-        dealt.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(landing)
+        # A batch is what has landed since the one before, in as many files as tasks wrote.
+        dealt.filter(F.col("part") == k).drop("part").write.mode("append").parquet(landing)
+        rollup_stream(spark.readStream.schema(events.schema).parquet(landing), path, state, DRAIN).awaitTermination()
     dealt.unpersist()
-    landed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    rollup_stream(landed, path, state, DRAIN).awaitTermination()
     compact(spark, path, 1)
     return path
 

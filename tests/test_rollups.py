@@ -6,6 +6,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from storyloom.plans import stream_queries
+from storyloom.plans.metric_queries import stage_events
 from storyloom.operators import metrics
 from storyloom.streaming import rollups
 
@@ -73,3 +75,11 @@ def test_a_base_without_its_mark_does_not_count(spark, tmp_path):
 def test_minutes_hold_whole_minutes(spark, tmp_path):
     with pytest.raises(ValueError):
         rollups.rollup_p95(spark, str(tmp_path), T0 + timedelta(seconds=1), timedelta(minutes=1))
+
+
+def test_stage_events_land_in_files_of_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(stream_queries, "shared_folder", lambda _, name: str(tmp_path / name))
+    path = stream_queries._rollups(spark, "/root/testdata/sf0.001")
+    assert len(list((tmp_path / "stage-events").glob("*.parquet"))) > 4
+    assert sorted(p.name for p in (tmp_path / "rollups" / "hour").glob("run=*")) == [f"run={k}" for k in range(4)]
+    assert rollups.read_totals(spark, path, "day").agg({"events": "sum"}).first()[0] == stage_events(spark, "/root/testdata/sf0.001").count()

@@ -16,7 +16,11 @@ from storyloom.llm.tokens import encoder
 
 #: Pieces that are packed together. Shards are drawn at random, so all have the same mix of lengths.
 SHARD_PIECES = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 5, 4
+ISLANDS, EPOCHS, POPULATION = 2, 2, 4
+#: Packings that an island holds where those it begins with take more bins than the tokens need.
+GROWN = 12
+#: An island ends when it has as few bins as the tokens need, or after this many generations in a row without progress.
+STALE = 40
 #: Bins at least this full are handed on whole.
 WELL_FILLED = 0.995
 
@@ -107,31 +111,35 @@ def _cross(one: list[list[int]], other: list[list[int]], lengths: list[int], cap
 
 
 def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int) -> list[int]:
-    """The bin of each item after ``GENERATIONS`` on one island that starts with ``elites`` from others."""
+    """The bin of each item once evolution comes to rest on one island that starts with ``elites`` from others."""
     rng = np.random.default_rng(seed)
     base = np.array(lengths, float)
     population: list[tuple[tuple[int, float], list[list[int]]]] = []
+    least, size = -(-sum(lengths) // capacity), POPULATION
 
     def admit(bins: list[list[int]]) -> None:
         population.append((_fitness(bins, lengths, capacity), bins))
         population.sort(key=lambda p: p[0], reverse=True)
-        del population[POPULATION:]
+        del population[size:]
 
     for elite in elites:
         held: dict[int, list[int]] = {}
         for item, b in enumerate(elite):
             held.setdefault(b, []).append(item)
         admit(list(held.values()))
-    while len(population) < POPULATION:
-        noise = rng.uniform(0.9, 1.1, len(base)) if population else 1.0
-        order = np.argsort(-base * noise, kind="stable").tolist()
-        admit(_pack(order, lengths, capacity, []))
-    least = -(-sum(lengths) // capacity)
-    for _ in range(GENERATIONS):
-        if -population[0][0][0] <= least:
+    for size in (POPULATION, GROWN):
+        if len(population) >= POPULATION and -population[0][0][0] <= least:
             break
+        while len(population) < size:
+            noise = rng.uniform(0.9, 1.1, len(base)) if population else 1.0
+            order = np.argsort(-base * noise, kind="stable").tolist()
+            admit(_pack(order, lengths, capacity, []))
+    stale = 0
+    while -population[0][0][0] > least and stale < STALE:
+        best = population[0][0]
         a, b = rng.choice(len(population), 2, replace=False)
         admit(_cross(population[a][1], population[b][1], lengths, capacity, rng))
+        stale = 0 if population[0][0] > best else stale + 1
     out = [0] * len(lengths)
     for number, bin_items in enumerate(population[0][1]):
         for item in bin_items:

@@ -122,6 +122,16 @@ def test_evolution_is_no_worse_than_best_fit(seed):
     assert max(packing.evolve(lengths, 100, [found, found], seed + 1)) <= max(found)
 
 
+def test_evolution_goes_past_best_fit():
+    saved = 0
+    for seed in range(4):
+        rng = random.Random(seed)
+        lengths = [rng.randint(20, 100) for _ in range(500)]
+        first = packing._pack(sorted(range(500), key=lambda i: -lengths[i]), lengths, 150, [])
+        saved += len(first) - (max(packing.evolve(lengths, 150, [], seed)) + 1)
+    assert saved >= 4
+
+
 def test_crossover_keeps_every_document_once():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 50, 200).tolist()

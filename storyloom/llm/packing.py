@@ -128,9 +128,8 @@ def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int
             held.setdefault(b, []).append(item)
         admit(list(held.values()))
     for size in (POPULATION, GROWN):
-        if len(population) >= POPULATION and -population[0][0][0] <= least:
-            break
-        while len(population) < size:
+        # No packing takes fewer bins than the tokens need: with one that takes no more, nothing is left to evolve.
+        while len(population) < size and not (population and -population[0][0][0] <= least):
             noise = rng.uniform(0.9, 1.1, len(base)) if population else 1.0
             order = np.argsort(-base * noise, kind="stable").tolist()
             admit(_pack(order, lengths, capacity, []))

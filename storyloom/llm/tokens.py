@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces whose ids a worker keeps; the memory is started afresh when it is full.
-KEPT_PIECES = 500_000
+#: Pieces whose ids a worker keeps, half of them at most from the memory before; it is started afresh when it is full.
+KEPT_PIECES = 1_000_000
 #: Longer pieces are encoded but not kept, so that the memory is bounded in bytes as well.
 KEPT_CHARS = 64
 
@@ -43,9 +44,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-#: A word of letters that no normalization touches but lower case, and marks behind it. Both patterns cut
-#: between the two, so each can be encoded on its own.
-_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A word of letters that no normalization touches but lower case, a newline before and marks behind it. Both
+#: patterns cut between these, so each can be encoded on its own.
+_SIMPLE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_TRIED = (" the", "Straße", " Éclairs", "QU")
 
 
 class _Pieces(dict):
@@ -54,35 +56,51 @@ class _Pieces(dict):
     def __init__(self, tokenizer: Tokenizer, dtype: np.dtype) -> None:
         self.tokenizer = tokenizer
         self.dtype = dtype
+        self.before: dict[str, bytes] = {}
         self.model = tokenizer.model
         self.as_word = next((f for f in (_spaced, _bare) if self._agrees(f)), None)
+        self.cut_lines = all(self._by_tokenizer("\n" + w) == self._by_tokenizer("\n") + self._by_tokenizer(w) for w in _TRIED)
 
     def _agrees(self, as_word: Callable[[str], str]) -> bool:
         """Whether words can go to the tokenizer's model directly, which saves most of the time of a call."""
-        return all(self._by_model(as_word(w)) == self._by_tokenizer(w) for w in (" the", "Straße", " Éclairs", "QU"))
+        return all(self._by_model(as_word(w)) == self._by_tokenizer(w) for w in _TRIED)
 
     def _by_model(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
     def _by_tokenizer(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
+    def _encoded(self, piece: str) -> bytes:
         simple = _SIMPLE.fullmatch(piece) if self.as_word else None
         if simple is None:
-            ids = self._by_tokenizer(piece)
-        elif simple[2]:
-            ids = self[simple[1]] + self[simple[2]]
-        else:
-            ids = self._by_model(self.as_word(piece))
+            return self._by_tokenizer(piece)
+        line, word, marks = simple.groups()
+        if line:
+            return self[line] + self[piece[1:]] if self.cut_lines else self._by_tokenizer(piece)
+        return self[word] + self[marks] if marks else self._by_model(self.as_word(piece))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            word = piece[1:] if piece[:1] == " " else piece
+            if word.isascii() and word.isalpha() and self.as_word:
+                ids = self._by_model(self.as_word(piece))
+            else:
+                ids = self._encoded(piece)
         if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
+            # Pieces that come back are kept over a fresh start; only those that do not are forgotten.
+            if len(self) >= KEPT_PIECES // 2:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
 def _spaced(word: str) -> str:
+    if word.isascii():  # letters, and a blank before them
+        return word.replace(" ", _LETTERS[32])
     return word.encode().decode("latin-1").translate(_LETTERS)
 
 

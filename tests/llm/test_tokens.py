@@ -139,3 +139,24 @@ def test_crossover_keeps_every_document_once():
     child = packing._cross(one, other, lengths, 100, rng)
     assert sorted(i for b in child for i in b) == list(range(200))
     assert max(sum(lengths[i] for i in b) for b in child) <= 100
+
+
+def test_nothing_is_packed_again_once_the_bound_is_met(monkeypatch):
+    calls = []
+    plain = packing._pack
+    monkeypatch.setattr(packing, "_pack", lambda *a: calls.append(1) or plain(*a))
+    found = packing.evolve([60, 40, 70, 30, 50, 50], 100, [], 3)
+    assert max(found) == 2 and len(calls) == 1
+    assert max(packing.evolve([60, 40, 70, 30, 50, 50], 100, [found, found], 4)) == 2 and len(calls) == 1
+
+
+def test_pieces_that_come_back_outlast_a_fresh_start(monkeypatch):
+    monkeypatch.setattr("storyloom.llm.tokens.KEPT_PIECES", 40)
+    held = Encoder(tokenizer_path("byte_bpe_50k.json"), np.uint32)
+    made = []
+    plain = held.kept._by_model
+    monkeypatch.setattr(held.kept, "_by_model", lambda word: made.append(word) or plain(word))
+    rare = [f" {a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    for i in range(0, len(rare), 10):
+        held.encode([" often" + "".join(rare[i : i + 10])])
+    assert made.count("Ġoften") == 1

@@ -1,28 +1,34 @@
 """Circuit-breaker replay over attempt logs.
 
 The breaker is a small state machine per name. A name with very many attempts is cut into time
-slices that replay in parallel; each slice is replayed again only if the state it was assumed to
-start from turns out wrong. Breakers forget quickly (a success while closed clears them), so few
-slices need a second pass. The result equals one sequential replay.
+slices that replay in parallel, each where it lies. Only the first name of a slice can have begun
+in an earlier one; its state there is carried from slice to slice. A slice is looked into again only
+if it holds that name alone and the state it was assumed to start from turns out wrong, and only until
+both states meet: breakers forget quickly (a success while closed clears them). The result equals one
+sequential replay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.operators.ordering import SLICE_ROWS, order_slices
-from storyloom.session import durable
+from storyloom.operators.ordering import order_slices
 
 CLOSED, HALF_OPEN, OPEN = "closed", "half_open", "open"
 
+#: Attempts replayed by one task.
+REPLAY_ROWS = 250_000
 STATE_SCHEMA = "state string, failures int, successes int, last_failure long"
 STATE_FIELDS = ["state", "failures", "successes", "last_failure"]
+ENDS_SCHEMA = f"_slice int, first string, last string, alone boolean, {STATE_SCHEMA}"
 REPLAY_SCHEMA = (
     "name string, ts timestamp, seq long, ok boolean, allowed boolean, "
     "state_before string, state_after string, trip boolean"
@@ -84,11 +90,6 @@ def _sorted_events(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, boo
     return pdf, list(zip(micros.tolist(), pdf["ok"].tolist(), strict=True))
 
 
-def _state_of(row) -> tuple:
-    last = None if pd.isna(row.last_failure) else int(row.last_failure)
-    return (row.state, int(row.failures), int(row.successes), last)
-
-
 def replay_frame(pdf: pd.DataFrame, start: tuple, config: BreakerConfig) -> tuple[pd.DataFrame, tuple]:
     pdf, events = _sorted_events(pdf)
     rows, end = replay(events, start, config)
@@ -97,72 +98,103 @@ def replay_frame(pdf: pd.DataFrame, start: tuple, config: BreakerConfig) -> tupl
 
 
 def breaker_replay(
-    attempts: DataFrame, config: BreakerConfig = FEED_BREAKER, slice_rows: int = SLICE_ROWS
+    attempts: DataFrame, config: BreakerConfig = FEED_BREAKER, slice_rows: int = REPLAY_ROWS
 ) -> DataFrame:
     """``attempts``: name, ts, seq (breaks ties), ok. Adds what the breaker did with each attempt.
 
     ``ok`` of a rejected attempt is the logged outcome and has no effect.
     """
     events = attempts.select("name", "ts", F.col("seq").cast("long").alias("seq"), "ok")
-    sliced, slices = order_slices(events, ["name"], [F.col("ts"), F.col("seq")], slice_rows)
-    key = ["name", "_slice"]
+    order = [F.col("ts").asc_nulls_last(), F.col("seq").asc_nulls_last()]
+    sliced, slices = order_slices(events, ["name"], order, slice_rows, sort=True)
     if slices == 1:
         return sliced.groupBy("name").applyInPandas(lambda pdf: replay_frame(pdf, FRESH, config)[0], REPLAY_SCHEMA)
-    starts = _settled_starts(sliced, config)
-
-    def run(_, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        return replay_frame(rows, _state_of(next(start.itertuples())), config)[0]
-
-    return sliced.groupBy(*key).cogroup(starts.groupBy(*key)).applyInPandas(run, REPLAY_SCHEMA)
-
-
-def _settled_starts(sliced: DataFrame, config: BreakerConfig) -> DataFrame:
-    """The state in which each slice of each name begins: one row per (name, slice)."""
-    key = ["name", "_slice"]
-    fresh = [F.lit(v).cast(t).alias(n) for v, (n, t) in zip(FRESH, _state_types(), strict=True)]
-    starts = _renewed(durable(sliced.select(*key).distinct().select(*key, *fresh)))
-
-    def end_state(group, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if not len(start):
-            return pd.DataFrame(columns=[*key, *STATE_FIELDS])
-        _, events = _sorted_events(rows)
-        _, end = replay(events, _state_of(next(start.itertuples())), config)
-        return pd.DataFrame([(*group, *end)], columns=[*key, *STATE_FIELDS])
-
-    by_slice = Window.partitionBy("name").orderBy("_slice")  # one row per slice
-    todo, ends = starts, None
+    starts = _settled_starts(sliced, config)  # a state a slice
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state = None, None
+        for batch in batches:
+            if state is None and batch.num_rows:
+                name, state = batch.column("name")[0].as_py(), starts.get(batch.column("_slice")[0].as_py(), FRESH)
+            steps: list[tuple] = []
+            for own, events in _runs(batch):
+                rows, state = replay(events, state if own == name else FRESH, config)
+                name = own
+                steps += rows
+            kinds = {"allowed": pa.bool_(), "state_before": pa.string(), "state_after": pa.string(), "trip": pa.bool_()}
+            columns = zip(*steps, strict=True) if steps else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in ("name", "ts", "seq", "ok")],
+                    *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)],
+                ],
+                ["name", "ts", "seq", "ok", *kinds],
+            )
+
+    return sliced.mapInArrow(run, REPLAY_SCHEMA)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[int, bool]]]]:
+    """(name, (micros, ok) events) of each run of rows of one name. Times that are null come last, as in pandas."""
+    codes = batch.column("name").dictionary_encode(null_encoding="encode")
+    micros = batch.column("ts").cast(pa.int64()).fill_null(-(2**63)).to_pylist()
+    events = list(zip(micros, batch.column("ok").to_pylist(), strict=True))
+    at = [*np.flatnonzero(np.diff(codes.indices.to_numpy(), prepend=-1)).tolist(), len(events)]
+    for lo, hi in zip(at, at[1:], strict=False):
+        yield codes[lo].as_py(), events[lo:hi]
+
+
+def _settled_starts(sliced: DataFrame, config: BreakerConfig) -> dict[int, tuple]:
+    """The state in which the first name of each slice begins there. What reaches the driver is a row a slice."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, name, alone, state, at = None, None, True, None, None
+        for batch in batches:
+            for own, events in _runs(batch):
+                if state is None:
+                    first, state, at = own, FRESH, batch.column("_slice")[0].as_py()
+                elif own != name:
+                    alone, state = False, FRESH
+                _, state = replay(events, state, config)
+                name = own
+        if state is not None:
+            yield _end_row(at, first, name, alone, state)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new, at, name = None, None, None, None
+        for batch in batches:
+            for own, events in _runs(batch):
+                if at is None:
+                    at, name = batch.column("_slice")[0].as_py(), own
+                    old, new = todo[at]
+                if old != new:  # from where they meet, all is as before
+                    old, new = replay(events, old, config)[1], replay(events, new, config)[1]
+        if old != new:
+            yield _end_row(at, name, name, True, new)
+
+    slices = {r["_slice"]: r for r in sliced.mapInArrow(ends, ENDS_SCHEMA).collect()}
+    assumed = dict.fromkeys(slices, FRESH)
+    end = {s: tuple(r[f] for f in STATE_FIELDS) for s, r in slices.items()}
     while True:
-        rows = sliced.join(todo.select(*key), key, "left_semi")
-        again = rows.groupBy(*key).cogroup(todo.groupBy(*key)).applyInPandas(
-            end_state, f"name string, _slice int, {STATE_SCHEMA}"
-        )
-        kept = ends.join(todo.select(*key), key, "left_anti") if ends is not None else None
-        ends = durable(again if kept is None else kept.unionByName(again))
-        carried = ends.select(
-            *key, *[F.lag(c).over(by_slice).alias(c) for c in STATE_FIELDS], F.lag("state").over(by_slice).alias("_prev")
-        ).select(
-            *key,
-            *[
-                F.when(F.col("_prev").isNull(), f).otherwise(F.col(c)).alias(c)
-                for c, f in zip(STATE_FIELDS, fresh, strict=True)
-            ],
-        )
-        carried = _renewed(durable(carried))
-        old = starts.select(*key, F.struct(*STATE_FIELDS).alias("_old"))
-        changed = ~F.struct(*STATE_FIELDS).eqNullSafe(F.col("_old"))
-        todo = _renewed(durable(carried.join(old, key).filter(changed).drop("_old")))
-        starts = carried
-        if todo.isEmpty():
+        starts, before = {}, None
+        for s in sorted(slices):
+            carried = before is not None and slices[before]["last"] == slices[s]["first"]
+            starts[s], before = end[before] if carried else FRESH, s
+        # Where another name follows, the end does not depend on the start.
+        todo = {s: (assumed[s], starts[s]) for s in slices if slices[s]["alone"] and starts[s] != assumed[s]}
+        if not todo:
             return starts
+        found = sliced.filter(F.col("_slice").isin(list(todo))).mapInArrow(again, ENDS_SCHEMA).collect()
+        end |= {r["_slice"]: tuple(r[f] for f in STATE_FIELDS) for r in found}
+        assumed |= {s: new for s, (_, new) in todo.items()}
 
 
-def _renewed(df: DataFrame) -> DataFrame:
-    """The same rows under new column identities, for joins with frames they came from."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _state_types() -> list[tuple[str, str]]:
-    return [tuple(part.split()) for part in STATE_SCHEMA.split(", ")]
+def _end_row(at: int, first: str | None, last: str | None, alone: bool, state: tuple) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int64())
+    row = (at, first, last, alone, *state)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["_slice", "first", "last", "alone", *STATE_FIELDS]
+    )
 
 
 def breaker_states(replayed: DataFrame) -> DataFrame:

@@ -14,18 +14,20 @@ SLICE_ROWS = 1_000_000
 
 
 def order_slices(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_rows: int = SLICE_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_rows: int = SLICE_ROWS, sort: bool = False
 ) -> tuple[DataFrame, int]:
     """Add ``_slice``: consecutive ranges of (keys, order) holding about ``slice_rows`` rows each.
 
     A hot key spreads over many slices. The ranged rows are checkpointed so that every use,
-    and every retry, sees the same boundaries. Data that fits one slice is left as it is.
-    Also returns the number of slices.
+    and every retry, sees the same boundaries. With ``sort``, a slice's rows lie in order, too.
+    Data that fits one slice is left as it is. Also returns the number of slices.
     """
     slices = -(-df.count() // slice_rows)
     if slices <= 1:
         return df.withColumn("_slice", F.lit(0)), 1
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
+    if sort:
+        ranged = ranged.sortWithinPartitions(*[F.col(k) for k in keys], *order)
     return durable(ranged.withColumn("_slice", F.spark_partition_id())), slices
 
 

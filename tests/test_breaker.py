@@ -66,3 +66,29 @@ def test_slices_replay_like_one_sequence(spark, slice_rows):
     legal = {("closed", "closed"), ("closed", "open"), ("open", "open"), ("open", "half_open"), ("half_open", "half_open"),
              ("half_open", "open"), ("half_open", "closed")}
     assert {(b, a) for _, b, a, _ in got.values()} <= legal
+
+
+def test_slices_replay_where_they_lie_and_take_null_names(spark):
+    rng = random.Random(9)
+    rows, at = [], 0.0
+    for seq in range(400):
+        at += rng.choice([1, 5, 30, 121, 301])
+        rows.append((None if seq % 4 else "b", T0 + timedelta(seconds=at), seq, rng.random() < 0.4))
+    df = spark.createDataFrame(rows, "name string, ts timestamp, seq long, ok boolean")
+    replayed = br.breaker_replay(df, slice_rows=30)
+    assert "Exchange" not in replayed._jdf.queryExecution().executedPlan().toString()
+    got = {r.seq: (r.allowed, r.state_before, r.state_after, r.trip) for r in replayed.collect()}
+    want = {}
+    for name in (None, "b"):
+        mine = [r for r in rows if r[0] == name]
+        events = [(int((r[1] - T0).total_seconds() * SECOND), r[3]) for r in mine]
+        want |= {r[2]: out for r, out in zip(mine, br.replay(events, br.FRESH, br.FEED_BREAKER)[0], strict=True)}
+    assert got == want
+
+
+def test_an_open_breaker_is_carried_over_many_slices(spark):
+    # Rejected all along after three failures: no slice but the first may begin afresh.
+    rows = [("a", T0 + timedelta(milliseconds=100 * i), i, i > 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "name string, ts timestamp, seq long, ok boolean")
+    got = {r.seq: r.allowed for r in br.breaker_replay(df, slice_rows=25).collect()}
+    assert got == {i: i <= 2 for i in range(600)}

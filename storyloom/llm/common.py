@@ -44,6 +44,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What gives back the memory that operators keep in a worker process from task to task.
+_KEPT: list[Callable[[], None]] = []
+
+
+def kept(clear: Callable[[], None]) -> None:
+    """Name what clears a memory that outlasts its tasks."""
+    _KEPT.append(clear)
+
+
+def forget() -> None:
+    """Give back what other operators keep in this worker process, before work that takes much memory itself."""
+    for clear in _KEPT:
+        clear()
+
+
 def in_batches(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -13,14 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import by_place, in_batches, parallelism, texts, written
+from storyloom.llm.common import by_place, forget, in_batches, parallelism, texts, written
 from storyloom.llm.components import components
 from storyloom.operators.skew import lookup_join
 
 SEED = 42
 #: Hashes counted, and fingerprint pairs compared, at one time: bounds memory for any text or tile.
 HASHES_AT_ONCE = 1 << 16
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
 #: Distinct fingerprints of a tile. Small inputs take smaller tiles, so that tasks stay many.
 MIN_TILE, MAX_TILE, TILES = 1 << 11, 1 << 16, 48
 #: Bytes of shingle hashes of a block of texts that are checked against each other.
@@ -305,6 +305,7 @@ def similar_groups(
     pairs = _block_pairs(rows, written(placed, "simhash-near"), width)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        forget()
         for batch in batches:
             a, b = [], []
             for left, right in zip(batch.column("left"), batch.column("right")):
@@ -327,6 +328,7 @@ def _sketched(rows: DataFrame, width: int, lanes: int) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        forget()
         for batch in batches:
             nodes, prints, sizes = [], [], []
             for text in batch.column("text").to_pylist():

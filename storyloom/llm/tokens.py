@@ -10,6 +10,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from storyloom.llm.common import kept
+
 #: Pieces whose ids a worker keeps, half of them at most from the memory before; it is started afresh when it is full.
 KEPT_PIECES = 1_000_000
 #: Longer pieces are encoded but not kept, so that the memory is bounded in bytes as well.
@@ -124,3 +126,6 @@ class Encoder:
 def encoder(path: str, dtype: type[np.unsignedinteger]) -> Encoder:
     """The encoder of this worker process, kept from task to task with the pieces that it knows."""
     return Encoder(path, dtype)
+
+
+kept(encoder.cache_clear)

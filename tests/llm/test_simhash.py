@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,9 +10,9 @@ import pytest
 import xxhash
 
 from corpus import ODD, SF, clashing, docs, words_of
-from storyloom.llm import simhash
+from storyloom.llm import simhash, tokens
 from storyloom.llm.components import components
-from storyloom.llm.queries import QUERIES
+from storyloom.llm.queries import QUERIES, tokenizer_path
 
 
 def fold(text):
@@ -195,3 +196,27 @@ def test_texts_that_differ_in_repeats_are_found(spark):
         texts += [" ".join(words), " ".join(words[:48] + words[40:48] * times + words[48:]), " ".join([*words, "end"])]
     kept, wanted = kept_and_wanted(spark, texts)
     assert kept == wanted == set(range(0, 18, 3))
+
+
+def test_memory_of_a_group_of_near_copies_stays_small():
+    rng = np.random.default_rng(3)
+    prints = np.unique(np.uint64(1) << rng.integers(0, 64, (1500, 2)).astype(np.uint64), axis=0)
+    simhash._forest(prints[:8], prints[:8], 4, True)
+    tracemalloc.start()
+    root, moved = simhash._forest(prints, prints, 4, True)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(moved) == len(prints) - 1 and (root == prints[0]).all()
+    assert peak < 25e6
+
+
+def test_near_duplicates_give_back_what_tokenizing_kept(spark, monkeypatch):
+    path, works = tokenizer_path("byte_bpe_50k.json"), []
+    monkeypatch.setattr(simhash, "in_batches", lambda df, work, schema: works.append(work))
+    rows = spark.createDataFrame([(1, "a b c d e f g")], "key long, text string")
+    simhash._sketched(rows, 5, 2)
+    tokens.encoder(path, np.uint32).encode(["a b c"])
+    assert tokens.encoder.cache_info().currsize == 1
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"a b c"])], ["key", "text"])
+    assert [b.num_rows for b in works[0](iter([batch]))] == [1]
+    assert tokens.encoder.cache_info().currsize == 0
